@@ -6,7 +6,8 @@ probability is the noisy-or 1 - prod(1 - p_s), and the sentence model is
 trained through it from the documents' labels alone. Afterwards the sentence
 scores locate what offends.
 
-A sentence's features are its words and their prefixes of four to six letters.
+A sentence's features are its distinct words and their prefixes of four to six
+letters.
 The vocabulary is the ``vocabulary`` features that tell the two labels apart
 best among the training documents, counted by Spark; features that fewer than
 ``least`` documents hold are left out. Training sees at most ``max_rows``
@@ -42,8 +43,8 @@ def word_features(word: str) -> list[str]:
 
 
 def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of each run of text between sentence ends that has words."""
-    return [(m.start(), m.end(), words) for m in _SENTENCE.finditer(text or "") if (words := _WORD.findall(m[0].lower()))]
+    """(start, end, distinct lower-case words) of each run of text between sentence ends that has words."""
+    return [(m.start(), m.end(), words) for m in _SENTENCE.finditer(text or "") if (words := list(dict.fromkeys(_WORD.findall(m[0].lower()))))]
 
 
 @dataclass
@@ -68,7 +69,7 @@ class _Weights(dict):
         return w
 
 
-def train(bags: list[tuple[int, int, list[int], list[int]]], size: int, steps: int = 300, rate: float = 0.08, ridge: float = 0.01) -> tuple[float, np.ndarray]:
+def train(bags: list[tuple[int, int, list[int], list[int]]], size: int, steps: int = 400, rate: float = 0.08, ridge: float = 0.03) -> tuple[float, np.ndarray]:
     """Bias and weights from (label, number of sentences, sentence of each hit, feature of each hit)."""
     y = np.array([b[0] for b in bags], float)
     n = np.array([b[1] for b in bags])
@@ -92,7 +93,7 @@ def train(bags: list[tuple[int, int, list[int], list[int]]], size: int, steps: i
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, vocabulary: int = 4096, least: int = 4) -> NoisyOrModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, vocabulary: int = 4096, least: int = 4) -> NoisyOrModel:
     sample = training_rows(docs, labels, label, max_rows).dropDuplicates(["doc_id"])
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
