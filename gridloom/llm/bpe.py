@@ -5,7 +5,7 @@ by ``overlap``. Chunks are pre-tokenised in parallel, each from its own start.
 A match of the pattern depends only on what follows its start, so once two
 neighbours have a boundary in common they agree from there on: the first common
 boundary in the overlap is where their pieces are stitched. Each chunk then
-encodes what lies between its two seams. A document with a pair of chunks that
+encodes the pieces between its two seams. A document with a pair of chunks that
 never agree in their overlap (a match longer than it) is encoded in one go.
 Texts of one chunk have no seam and take no shuffle.
 
@@ -165,13 +165,15 @@ def encode(
         chunks.alias("a")
         .join(stitched.alias("b"), same[0] & same[1] & same[2] & same[3])
         .where("not apart")
-        .select(*[F.col(f"a.{c}").alias(c) for c in (*key, "k")], F.expr(f"substring(part, from - a.k * {chunk} + 1, coalesce(to - from, {chunk + overlap}))").alias("text"))
+        .select(*[F.col(f"a.{c}").alias(c) for c in (*key, "k")], F.expr(f"from - a.k * {chunk}").alias("start"), F.expr(f"coalesce(to - a.k * {chunk}, length(part))").alias("stop"), "part")
     )
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = rank_encoder(ranks_path, pattern)
+        enc, pieces = rank_encoder(ranks_path, pattern), regex.compile(pattern)
         for b in batches:
-            ids = id_lists([enc(t) for t in b.column("text").to_pylist()])
+            # pieces are found in the whole part, as what follows a seam decides where white space before it ends
+            spans = zip(*(b.column(c).to_pylist() for c in ("part", "start", "stop")), strict=True)
+            ids = id_lists([b"".join(enc.whole[m[0]] for m in pieces.finditer(part, start) if m.end() <= stop) for part, start, stop in spans])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*key, "k")], ids], names=[*key, "k", "ids"])
 
     joined = (
