@@ -23,7 +23,9 @@ column and ``ids``, so that other columns never clash.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 
 _BESIDE = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_CACHE_WORDS, _CACHE_LENGTH = 400_000, 200
+_CACHE_WORDS, _CACHE_LENGTH = 600_000, 64
+_ROWS = 500  # of a batch encoded or decoded at once, which bounds what a worker holds
 #: Of a match that ends nearer than this to a cut, more text could change the end: contractions have three code points.
 _MARGIN = 2
 
@@ -48,36 +51,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordCache(dict):
-    """Ids of words as little-endian 32-bit integers; new words go to ``encode``."""
+    """Ids of words as little-endian 32-bit integers. New words go to ``encode_many``; once full, it keeps the words that came first, common ones among them."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str = "") -> None:
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], lead: str = "") -> None:
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode_many, self.lead = encode_many, lead
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.lead + word)
-        if len(word) <= _CACHE_LENGTH:
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.joined([word])
+
+    def joined(self, words: list[str]) -> bytes:
+        """The words' ids, one after the other."""
+        new = [w for w in {*words} if w not in self]
+        if new:
+            ids = dict(zip(new, self.encode_many([self.lead + w for w in new]), strict=True))
+            if len(self) + len(new) > _CACHE_WORDS or max(map(len, new)) > _CACHE_LENGTH:
+                return b"".join([ids[w] if w in ids else self[w] for w in words])
+            self.update(ids)
+        return b"".join(map(self.__getitem__, words))
 
 
 class CachedEncoder:
     """bytes of ids of a text, by words between safe boundaries."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.whole, self.spaced = WordCache(encode), WordCache(encode, " ")
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]) -> None:
+        self.whole, self.spaced = WordCache(encode_many), WordCache(encode_many, " ")
         self.whole[""] = b""
 
     def __call__(self, text: str) -> bytes:
         if _BESIDE.search(text):
-            return b"".join(map(self.whole.__getitem__, _SAFE.split(text)))
+            return self.whole.joined(_SAFE.split(text))
         first, *rest = text.split(" ")
-        return self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return self.whole[first] + self.spaced.joined(rest)
 
 
+@functools.cache
 def rank_encoder(path: str, pattern: str) -> CachedEncoder:
+    """One for each worker process, which keeps its words from task to task."""
     ranks = read_ranks(path)
     merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     pieces = regex.compile(pattern)
@@ -90,9 +103,9 @@ def rank_encoder(path: str, pattern: str) -> CachedEncoder:
                 ids += merges.encode_ordinary(piece)
             else:
                 ids.append(known)
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
-    return CachedEncoder(encode)
+    return CachedEncoder(lambda texts: [encode(t) for t in texts])
 
 
 def id_lists(parts: list[bytes]) -> pa.ListArray:
@@ -101,6 +114,12 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, _ROWS):
+            yield b.slice(k, _ROWS)
+
+
 def boundaries(text: str, pieces, last: bool) -> list[int]:
     """Starts of pieces that no text beyond a cut could change, and the end of a text's last chunk."""
     out = [0]
@@ -121,7 +140,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = rank_encoder(ranks_path, pattern)
-        for b in batches:
+        for b in parts_of(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), id_lists([enc(t) for t in b.column("text").to_pylist()])], names=["doc_id", "ids"])
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
@@ -170,10 +189,10 @@ def encode(
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pieces = rank_encoder(ranks_path, pattern), regex.compile(pattern)
-        for b in batches:
+        for b in parts_of(batches):
             # pieces are found in the whole part, as what follows a seam decides where white space before it ends
             spans = zip(*(b.column(c).to_pylist() for c in ("part", "start", "stop")), strict=True)
-            ids = id_lists([b"".join(enc.whole[m[0]] for m in pieces.finditer(part, start) if m.end() <= stop) for part, start, stop in spans])
+            ids = id_lists([enc.whole.joined([m[0] for m in pieces.finditer(part, start) if m.end() <= stop]) for part, start, stop in spans])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*key, "k")], ids], names=[*key, "k", "ids"])
 
     joined = (
@@ -202,6 +221,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         by_id = {i: t for t, i in read_ranks(ranks_path).items()}
         for b in batches:
-            yield pd.Series([b"".join(map(by_id.__getitem__, x.tolist() if x is not None else ())) for x in b])
+            for k in range(0, len(b), _ROWS):
+                yield pd.Series([b"".join(map(by_id.__getitem__, x.tolist() if x is not None else ())) for x in b.iloc[k : k + _ROWS]])
 
     return df.withColumn(out, of(F.col(ids)))

@@ -31,9 +31,12 @@ not stored.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -188,13 +191,15 @@ def _lines(data: bytes) -> list[bytes]:
     return [data[i : i + _INDEX.size] for i in range(0, len(data), _INDEX.size)]
 
 
+@functools.cache
 def tokenizer_encoder(path: str) -> CachedEncoder:
-    """Encoder of a tokenizers file, without special tokens; words met before are looked up."""
+    """Encoder of a tokenizers file, without special tokens; one for each worker process, which keeps its words from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return CachedEncoder(lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4").tobytes())
+    return CachedEncoder(lambda texts: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
 
 def write(
