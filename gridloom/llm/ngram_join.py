@@ -13,12 +13,20 @@ d common tokens lie in the first size - a + d tokens of both.
   ``pairs_up_to`` tokens, whose pairs would be many, index frequent tokens
   singly; sets that could be similar to one of either kind do both.
 
-So every similar pair shares a signature. Of the documents that share one,
-the smallest set is the centre. All are compared with it; those that reach the
-threshold are in one component already, and whatever does not is compared with
-all others of that centre. Members of a centre are gathered by blocks of
-bounded size, and no pairs are emitted: what leaves a block are the links that
-span it.
+So every similar pair shares a signature. The documents that share one are
+split where sizes are too far apart to be similar; of each part, the smallest
+set is the centre, and the others are its members. Members of a centre are
+gathered by blocks of bounded size and verified in two steps:
+
+* With prefixes alone: common tokens number at most those common to the
+  prefixes and what is behind the prefix of one of the two. Who can reach the
+  threshold with none of the block goes.
+* With whole sets: all are compared with the centre; those that reach the
+  threshold are in one component already, and whatever does not is compared
+  with all others of that block. No pairs are emitted: what leaves a block are
+  the links that span it. At first each set goes to one centre alone, the one
+  with most members. Then all blocks are done whose sets are not in one
+  component yet and were not all there the first time.
 
 Equal sets count as one set from the start, under their smallest document.
 All comparisons are exact counts of common tokens.
@@ -40,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -120,36 +128,41 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int, classes: int, pairs_up_to: int) -> np.ndarray:
-    """Signatures of one set; ``frequent`` is sorted, ``counts`` are theirs."""
-    n = len(tokens)
+def ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rare tokens, and frequent ones from the least frequent on; ``frequent`` is sorted, ``counts`` are theirs."""
+    if not len(frequent):
+        return tokens, tokens[:0]
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    often = frequent[at] == tokens
+    return tokens[~often], tokens[often][np.lexsort((tokens[often], counts[at[often]]))]
+
+
+def signatures(rare: np.ndarray, common: np.ndarray, percent: int, classes: int, pairs_up_to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set in order, and its prefix, as 32-bit hashes of the tokens."""
+    n = len(rare) + len(common)
     if not n:
-        return tokens
-    at = np.searchsorted(frequent, tokens)
-    at[at == len(frequent)] = 0
-    often = (frequent[at] == tokens) if len(frequent) else np.zeros(n, bool)
-    rare = tokens[~often]
-    common = tokens[often][np.lexsort((tokens[often], counts[at[often]]))] if often.any() else tokens[:0]
+        return rare, rare.astype(np.uint32)
     near = n - least_overlap(n, percent) + 1
+    head = np.r_[rare[:near], common[: max(0, near - len(rare))]]
     out = [rare[:near]]
-    if not len(common):
-        return out[0]
-    small = classes * 100 // percent * 100 // percent  # sets that could be similar to one without classes + 1 common tokens
-    if n <= small or 100 * n >= percent * pairs_up_to:
-        out.append(common[: max(0, near - len(rare))])
-    if percent * n <= 100 * pairs_up_to:
-        far = common[: max(0, near + classes - len(rare))]
-        kind = mix(far, 4) % _U(classes)
-        for k in np.unique(kind):
-            same = np.sort(far[kind == k])
-            i, j = np.triu_indices(len(same), 1)
-            out.append(mix(same[i] * _BASE + mix(same[j], 5), 6))
-    return np.unique(np.concatenate(out))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    if len(common):
+        small = classes * 100 // percent * 100 // percent  # sets that could be similar to one without classes + 1 common tokens
+        if n <= small or 100 * n >= percent * pairs_up_to:
+            out.append(head[len(rare) :])
+        if percent * n <= 100 * pairs_up_to:
+            far = common[: max(0, near + classes - len(rare))]
+            kind = mix(far, 4) % _U(classes)
+            for k in np.unique(kind):
+                same = np.sort(far[kind == k])
+                i, j = np.triu_indices(len(same), 1)
+                out.append(mix(same[i] * _BASE + mix(same[j], 5), 6))
+    return np.unique(np.concatenate(out)), (head >> _U(32)).astype(np.uint32)
+
+
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, _U)]).view(np.int64)))
+    unsigned = np.uint32 if kind is np.int32 else _U
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, unsigned)]).view(kind)))
 
 
 def frequent_tokens(docs: DataFrame, width: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,19 +201,44 @@ class _Union:
         return i != j
 
 
+class _Postings:
+    """Which sets have which tokens; a token that a set has twice counts twice."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets = sets
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def common(self, i: int) -> np.ndarray:
+        """Tokens that set i has in common with each."""
+        a, b = (np.searchsorted(self.tokens, self.sets[i], side=s) for s in ("left", "right"))
+        span = b - a
+        at = np.repeat(a - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(span.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sets))
+
+
+def could_link(heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets could be similar to another, by their prefixes; what repeats in 32 bits can only add to a count."""
+    least = -(-percent * sizes // 100)
+    posts, out = _Postings(heads), np.zeros(len(heads), bool)
+    for i in range(len(heads)):
+        most = posts.common(i) + np.maximum(least, least[i]) - 1
+        fits = (percent * (sizes + sizes[i]) <= (100 + percent) * most) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        fits[i] = False
+        out[i] |= fits.any()
+        out |= fits
+    return out
+
+
 def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span what is similar among a centre, which comes first, and its members."""
+    """Links that span what is similar among sets of one centre; the first, the centre if it is here, is compared with all."""
     sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+    posts = _Postings(sets)
 
     def similar(i: int) -> np.ndarray:
-        a, b = np.searchsorted(tokens, sets[i], side="left"), np.searchsorted(tokens, sets[i], side="right")
-        span = b - a
-        at = np.repeat(a - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(span.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
+        both = posts.common(i)
         return np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + sizes[i] - both)))
 
     one = _Union(len(sets))
@@ -213,17 +251,46 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: int, block_tokens: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links that span the components of the classes' sets. classes_of: rep, n, sigs."""
-    from pyspark.sql import Window
+def _groups(batches: Iterator[pa.RecordBatch], value: str, kind: type) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list[np.ndarray]] | None]:
+    """Key (c, i, j), ids, sizes and arrays of each run of rows with one key; None where a batch ends."""
+    key, ids, sizes, found = None, [], [], []
+    for b in batches:
+        column = b.column(value)
+        values, ends = np.array(column.values, kind), np.array(column.offsets)
+        keys = zip(*(b.column(k).to_pylist() for k in "cij"), strict=True)
+        for k, x, n, s, e in zip(keys, b.column("x").to_pylist(), b.column("n").to_pylist(), ends[:-1], ends[1:], strict=True):
+            if k != key:
+                if len(ids) > 1:
+                    yield key, ids, sizes, found
+                key, ids, sizes, found = k, [], [], []
+            ids.append(x)
+            sizes.append(n)
+            found.append(values[s:e])
+        yield None
+    if len(ids) > 1:
+        yield key, ids, sizes, found
+
+
+def _if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast, behind a count; beyond ``rows`` rows the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
 
-    posts = classes_of.select(F.explode("sigs").alias("sig"), F.struct("n", "rep").alias("x"))
-    centre = F.min("x").over(Window.partitionBy("sig"))
+def _dealt(rows: DataFrame, value: str) -> DataFrame:
+    return rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("x") != F.col("c"), "x").select("c", "i", "j", "x", "n", value)
+
+
+def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: int, block_tokens: int, broadcast_rows: int) -> DataFrame:
+    """(a, b): links that span the components of the classes' sets. classes_of: rep, n, sigs, head."""
+    posts = classes_of.select(F.explode("sigs").alias("sig"), "n", "rep")
+    by_size = Window.partitionBy("sig").orderBy("n", "rep")
+    apart = F.coalesce(percent * F.col("n") > 100 * F.lag("n").over(by_size), F.lit(True))
     stars = cut(
-        posts.withColumn("c", centre)
-        .where(F.col("c.rep") != F.col("x.rep"))
-        .groupBy(F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("x.rep").alias("x"))
-        .agg(F.max("x.n").alias("n"))
+        posts.withColumn("apart", apart)
+        .withColumn("c", F.last(F.when(F.col("apart"), F.struct("rep", "n")), ignorenulls=True).over(by_size))
+        .where(F.col("c.rep") != F.col("rep"))
+        .groupBy(F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("rep").alias("x"))
+        .agg(F.max("n").alias("n"))
     )
     blocks = stars.groupBy("c").agg(F.ceil((F.sum("n") + F.max("cn")) / block_tokens).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
@@ -233,50 +300,70 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
     centres = blocks.select("c", F.col("c").alias("x"), F.explode(every).alias("t"))
     wanted = cut(members.unionByName(centres).select("c", "x", F.col("t.i").alias("i"), F.col("t.j").alias("j")))
 
-    nodes = wanted.select(F.col("x").alias("doc_id")).distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= broadcast_rows else nodes
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, int]] = []
+        for group in _groups(batches, "head", np.int32):
+            if group:
+                (c, i, j), ids, sizes, heads = group
+                out += [(c, i, j, ids[k]) for k in np.flatnonzero(could_link(heads, np.array(sizes), percent))]
+            else:
+                yield rows_of(out)
+                out = []
+        yield rows_of(out)
 
+    def rows_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        c, i, j, x = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x, pa.int64())], names=["c", "i", "j", "x"])
+
+    heads = classes_of.select(F.col("rep").alias("x"), "n", "head")
+    left = cut(_dealt(heads.join(_if_small(wanted, broadcast_rows), "x"), "head").mapInArrow(kept, "c long, i int, j int, x long"))
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(list(shingler.sets(b.column(1))))], names=["x", "tokens"])
-
-    tokens = docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, tokens array<long>").where(F.size("tokens") > 0)
-    grouped = (
-        wanted.join(tokens, "x")
-        .repartition("c", "i", "j")
-        .sortWithinPartitions("c", "i", "j", (F.col("x") != F.col("c")), "x")
-        .select("c", "i", "j", "x", "tokens")
-    )
+            found = list(shingler.sets(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), _lists(found)], names=["x", "n", "tokens"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, found, out = None, [], [], []
-
-        def made() -> pa.RecordBatch:
-            a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            column = b.column("tokens")
-            values = np.array(column.values, np.int64).view(_U)
-            ends = np.array(column.offsets)
-            keys = list(zip(*(b.column(k).to_pylist() for k in "cij"), strict=True))
-            for k, x, s, e in zip(keys, b.column("x").to_pylist(), ends[:-1], ends[1:], strict=True):
-                if k != key:
-                    out += links_of(ids, found, percent) if len(ids) > 1 else []
-                    key, ids, found = k, [], []
-                ids.append(x)
-                found.append(values[s:e])
-            yield made()
-            out = []
-        out += links_of(ids, found, percent) if len(ids) > 1 else []
-        yield made()
-
-    return grouped.mapInArrow(links, "a long, b long")
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, "tokens", np.int64):
+            if group:
+                out += links_of(group[1], group[3], percent)
+            else:
+                yield pairs_of(out)
+                out = []
+        yield pairs_of(out)
+
+    def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def verified(rows: DataFrame) -> DataFrame:
+        nodes = rows.select(F.col("x").alias("doc_id")).distinct()
+        tokens = docs.join(_if_small(nodes, broadcast_rows), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens array<long>").where("n > 0")
+        return cut(_dealt(tokens.join(_if_small(rows, broadcast_rows), "x"), "tokens").mapInArrow(links, "a long, b long"))
+
+    tile = ["c", "i", "j"]
+    members = left.where("x <> c").select("c", "x").distinct()
+    best = members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c").groupBy("x").agg(F.max(F.struct("m", -F.col("c"))).alias("b")).select("x", (-F.col("b.col2")).alias("c"))
+    chosen = left.join(best, ["c", "x"], "left_semi")
+    here = chosen.select(*tile).distinct()
+    once = cut(chosen.unionByName(left.where("x = c").join(here, tile, "left_semi").select(*chosen.columns)))
+    first = verified(once)
+    label = connected(first).select(F.col("node").alias("x"), "component")
+    seen = once.withColumn("seen", F.lit(True))
+    open_tiles = (
+        left.join(label, "x", "left")
+        .join(seen, [*tile, "x"], "left")
+        .withColumn("label", F.coalesce("component", "x"))
+        .groupBy(*tile)
+        .agg((F.min("label") != F.max("label")).alias("apart"), F.bool_and(F.coalesce("seen", F.lit(False))).alias("done"))
+        .where("apart and not done")
+    )
+    return first.unionByName(verified(cut(left.join(open_tiles.select(*tile), tile, "left_semi").select("c", "i", "j", "x"))))
 
 
 def join(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, share: float = 0.002, least: int = 32,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, share: float = 0.0001, least: int = 8,
     classes: int = 32, pairs_up_to: int = 2000, block_tokens: int = 2_000_000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
@@ -289,16 +376,22 @@ def join(
             found = list(shingler.sets(b.column(1)))
             k1, k2 = (np.array([mix(s, salt).sum(dtype=_U) for s in found], _U).view(np.int64) for salt in (7, 8))
             n = pa.array([len(s) for s in found], pa.int64())
-            sigs = _lists([signatures(s, frequent, counts, percent, classes, pairs_up_to) for s in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(k1), pa.array(k2), sigs], names=["doc_id", "n", "k1", "k2", "sigs"])
+            signs = [signatures(*ordered(s, frequent, counts), percent, classes, pairs_up_to) for s in found]
+            arrays = [b.column(0), n, pa.array(k1), pa.array(k2), _lists([s for s, _ in signs]), _lists([h for _, h in signs], np.int32)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k1", "k2", "sigs", "head"])
 
-    signed_rows = cut(rows.mapInArrow(signed, "doc_id long, n long, k1 long, k2 long, sigs array<long>"))
+    signed_rows = cut(rows.mapInArrow(signed, "doc_id long, n long, k1 long, k2 long, sigs array<long>, head array<int>"))
     reps = cut(signed_rows.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    classes_of = signed_rows.join(reps.withColumnRenamed("rep", "doc_id"), ["n", "k1", "k2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sigs")
-    links = similar_links(classes_of, rows, width, percent, block_tokens, broadcast_rows)
-    again = (  # rows of one id are one document
-        signed_rows.join(reps, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # rows that are no class's representative: copies, and rows of one id that hold other texts
+    copies = cut(signed_rows.select("doc_id", "n", "k1", "k2").where("doc_id is not null and n > 0").join(reps, ["n", "k1", "k2"]).where("doc_id <> rep"))
+    gone = copies.select("doc_id", "n", "k1", "k2").distinct()
+    classes_of = (
+        signed_rows.where("doc_id is not null and n > 0")
+        .join(_if_small(gone, broadcast_rows), ["doc_id", "n", "k1", "k2"], "left_anti")
+        .select(F.col("doc_id").alias("rep"), "n", "sigs", "head")
     )
+    links = similar_links(classes_of, rows, width, percent, block_tokens, broadcast_rows)
+    again = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     component = connected(links.unionByName(again))
     out = signed_rows.select("doc_id", F.col("n").alias("n_shingles")).join(component, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
