@@ -71,14 +71,14 @@ def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, content, size, changed in zip(b["path"], b["content"], b["length"], b["modificationTime"], strict=True):
+            for path, content, size, changed in zip(b["path"], b["content"], b["length"], b["changed"], strict=True):
                 data = gzip.decompress(content)[:HEADER_BYTES] if content[:2] == b"\x1f\x8b" else content[:HEADER_BYTES]
                 h = parse_header(data)
-                out.append((path, list(h.dim), h.n_times, h.dtype, list(h.affine), h.tr, size, str(changed)))
+                out.append((path, list(h.dim), h.n_times, h.dtype, list(h.affine), h.tr, size, changed))
             yield pd.DataFrame(out, columns=["path", "dims", "n_times", "dtype", "affine", "tr", "size", "changed"])
 
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.mapInPandas(of, "path string, dims array<int>, n_times int, dtype string, affine array<double>, tr double, size long, changed string")
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content", "length", F.unix_micros("modificationTime").alias("changed"))
+    return files.mapInPandas(of, "path string, dims array<int>, n_times int, dtype string, affine array<double>, tr double, size long, changed long")
 
 
 def nifti_source(spark: SparkSession, paths: Sequence[str], mask: Sequence[int] | None = None) -> tuple[ArraySource, VolumeSpace]:
@@ -95,7 +95,7 @@ def nifti_source(spark: SparkSession, paths: Sequence[str], mask: Sequence[int]
         starts.append((r["path"], n, r["changed"]))
         n += r["n_times"]
     at = np.array(support) - 1
-    begin = spark.createDataFrame(starts, "path string, start long, changed string")
+    begin = spark.createDataFrame(starts, "path string, start long, changed long")
 
     def volumes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -103,7 +103,7 @@ def nifti_source(spark: SparkSession, paths: Sequence[str], mask: Sequence[int]
                 _, values = read_volumes(content)
                 yield pd.DataFrame({"obs_idx": np.arange(start + 1, start + 1 + len(values)), "chunk": 0, "values": list(values[:, at])})
 
-    fresh = F.when(F.col("modificationTime").cast("string") == F.col("changed"), F.col("content")).otherwise(F.raise_error(F.lit("a file changed")).cast("binary"))
+    fresh = F.when(F.unix_micros("modificationTime") == F.col("changed"), F.col("content")).otherwise(F.raise_error(F.lit("a file changed")).cast("binary"))
     files = spark.read.format("binaryFile").load(list(paths)).join(F.broadcast(begin), "path").select("start", fresh.alias("content"))
     pieces = files.mapInPandas(volumes, "obs_idx long, chunk int, values array<double>")
     space = VolumeSpace(tuple(first["dims"]), tuple(first["affine"]), None if mask is None else tuple(support))
