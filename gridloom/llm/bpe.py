@@ -77,8 +77,9 @@ class WordCache(dict):
 class CachedEncoder:
     """bytes of ids of a text, by words between safe boundaries."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]) -> None:
-        self.whole, self.spaced = WordCache(encode_many), WordCache(encode_many, " ")
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_spaced: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        """``encode_spaced`` may take its texts to be words with a space before each."""
+        self.whole, self.spaced = WordCache(encode_many), WordCache(encode_spaced or encode_many, " ")
         self.whole[""] = b""
 
     def __call__(self, text: str) -> bytes:

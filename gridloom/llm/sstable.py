@@ -199,7 +199,24 @@ def tokenizer_encoder(path: str) -> CachedEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return CachedEncoder(lambda texts: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    vocabulary = tokenizer.get_vocab()
+    size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte-level token has a character for each
+    for token, i in vocabulary.items():
+        size[i] = len(token)
+
+    def many(texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(texts: list[str]) -> list[bytes]:
+        """Words in a row: the space before each is a boundary, so their ids are those of one text, cut where the bytes are."""
+        if len(texts) < 2 or min(map(len, texts)) < 2:
+            return many(texts)
+        raw = many(["".join(texts)])[0]
+        ends = np.searchsorted(np.cumsum(size[np.frombuffer(raw, "<i4")]), np.cumsum([len(t.encode()) for t in texts])) + 1
+        cuts = [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    return CachedEncoder(many, spaced)
 
 
 def write(
