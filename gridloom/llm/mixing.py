@@ -107,17 +107,15 @@ def mix(
         w = {s: named.get(s, min(named.values())) for s in counts}
     units = weight_units(w, period) if w else {}
     length = sum(units.values())
+    places = {x: t for t, x in enumerate(edf_period(units))} if units else {}
     slots = spark.createDataFrame(
-        [(s, i, t, units[s], i * length // units[s], -(-(i + 1) * length // units[s])) for t, (s, i) in enumerate(edf_period(units) if units else [])],
-        f"{_SOURCE} string, __i long, __t long, __units long, __release long, __due long",
+        [(s, i, t, i * length // units[s], -(-(i + 1) * length // units[s])) for (s, i), t in places.items()],
+        f"{_SOURCE} string, __i long, __t long, __release long, __due long",
     )
+    shares = spark.createDataFrame(list(units.items()), f"{_SOURCE} string, __units long")
     # the first slot that finds its source empty; every slot before it keeps the weights
-    ends = [
-        (b // units[s]) * length + next(t for t, x in enumerate(_period(units)) if x == (s, b % units[s]))
-        for s, n in counts.items()
-        for b in [-(-n // block_rows)]
-    ]
-    end = min(ends, default=0)
+    blocks_of = {s: -(-n // block_rows) for s, n in counts.items()}
+    end = min((b // units[s] * length + places[s, b % units[s]] for s, b in blocks_of.items()), default=0)
 
     salts = max(1, -(-sum(counts.values()) // salt_rows))
     rows = df.drop("block", "slot", "release", "due", "place", "in_mix").withColumns(
@@ -134,11 +132,11 @@ def mix(
     )
     rank = F.row_number().over(Window.partitionBy(_SOURCE, _SALT).orderBy(F.xxhash64(row_id, F.lit(1)), row_id)) - 1
     ranked = rows.withColumn("__rank", rank.cast("long")).join(before, [_SOURCE, _SALT]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    per = F.create_map(*[F.lit(x) for s, u in sorted(units.items()) for x in (s, u)]) if units else F.create_map()
     blocks = (
-        ranked.withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
+        ranked.join(F.broadcast(shares), _SOURCE)
+        .withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
         .withColumn("place", (F.col("__rank") % block_rows).cast("int"))
-        .withColumn("__i", (F.col("block") % per[F.col(_SOURCE)] if units else F.lit(0)).cast("long"))
+        .withColumn("__i", F.col("block") % F.col("__units"))
         .join(F.broadcast(slots), [_SOURCE, "__i"])
     )
     shift = F.floor(F.col("block") / F.col("__units")) * length
@@ -155,10 +153,6 @@ def mix(
     )
 
 
-def _period(units: Mapping[str, int]) -> list[tuple[str, int]]:
-    return edf_period(units)
-
-
 def interleaved(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df``, same columns, in the order of the mix: by slot, then place."""
     mixed = mix(df, **options)
