@@ -36,10 +36,11 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 _BESIDE = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_CACHE_WORDS, _CACHE_LENGTH = 600_000, 64
-_ROWS = 500  # of a batch encoded or decoded at once, which bounds what a worker holds
+_CACHE_WORDS, _CACHE_LENGTH = 500_000, 64
 #: Of a match that ends nearer than this to a cut, more text could change the end: contractions have three code points.
 _MARGIN = 2
 
@@ -115,12 +116,6 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, _ROWS):
-            yield b.slice(k, _ROWS)
-
-
 def boundaries(text: str, pieces, last: bool) -> list[int]:
     """Starts of pieces that no text beyond a cut could change, and the end of a text's last chunk."""
     out = [0]
@@ -218,11 +213,10 @@ def encode(
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """Add the bytes that the ids stand for: those of each id, one after the other. Null ids decode to no bytes."""
 
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         by_id = {i: t for t, i in read_ranks(ranks_path).items()}
-        for b in batches:
-            for k in range(0, len(b), _ROWS):
-                yield pd.Series([b"".join(map(by_id.__getitem__, x.tolist() if x is not None else ())) for x in b.iloc[k : k + _ROWS]])
+        for b in parts_of(batches):
+            yield pa.array([b"".join(map(by_id.__getitem__, x or ())) for x in b.to_pylist()], pa.binary())
 
     return df.withColumn(out, of(F.col(ids)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written as cut
 
-__all__ = ["cut", "file_system", "held_out", "shared_dir", "shuffle_partitions", "table", "training_rows"]
+__all__ = ["cut", "file_system", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "training_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     )
 
 
+def parts_of(batches, rows: int = 500):
+    """Arrow batches or arrays in parts of at most ``rows`` rows, which bounds what a worker holds beside its input."""
+    for b in batches:
+        for k in range(0, max(1, len(b)), rows):
+            yield b.slice(k, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

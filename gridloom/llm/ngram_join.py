@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_of
 from .components import connected
 
 _U = np.uint64
@@ -173,7 +173,7 @@ def frequent_tokens(docs: DataFrame, width: int, share: float, least: int) -> tu
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in parts_of(batches, 2500):
             found, n = np.unique(np.concatenate([*shingler.sets(b.column(0)), np.zeros(0, _U)]), return_counts=True)
             again = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(found[again].view(np.int64)), pa.array(n[again].astype(np.int64))], names=["token", "n"])
@@ -319,7 +319,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
     left = cut(_dealt(heads.join(_if_small(wanted, broadcast_rows), "x"), "head").mapInArrow(kept, "c long, i int, j int, x long"))
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in parts_of(batches):
             found = list(shingler.sets(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), _lists(found)], names=["x", "n", "tokens"])
 
@@ -372,7 +372,7 @@ def join(
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in parts_of(batches):
             found = list(shingler.sets(b.column(1)))
             k1, k2 = (np.array([mix(s, salt).sum(dtype=_U) for s in found], _U).view(np.int64) for salt in (7, 8))
             n = pa.array([len(s) for s in found], pa.int64())

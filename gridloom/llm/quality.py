@@ -24,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import parts_of, training_rows
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "upper", "digits", "symbols", "shouts", "pipes", "stops",
@@ -183,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of label 1 to every row."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))))
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in parts_of(batches):
+            yield pa.array(model.score(np.array([features(t) for t in b.to_pylist()], float).reshape(len(b), len(FEATURES))))
 
     return docs.withColumn(out, of(F.col(text)))
 

@@ -28,14 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import parts_of, training_rows
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -143,18 +144,20 @@ def score(docs: DataFrame, model: NoisyOrModel, text: str = "text", out: str = "
     Starts and ends count code points; ``located`` None leaves the list out.
     """
 
-    @F.pandas_udf("struct<score double, spans array<struct<start int, end int, score double>>>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+    @F.arrow_udf("struct<score double, spans array<struct<start int, end int, score double>>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight = model.word_weights()
-        for texts in batches:
+        for texts in parts_of(batches):
             scores, spans = [], []
-            for t in texts:
+            for t in texts.to_pylist():
                 found = sentences(t)
                 z = np.array([sum(map(weight.__getitem__, ws)) for _, _, ws in found], float) + model.bias
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 scores.append(1 - float(np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
                 spans.append([{"start": a, "end": b, "score": float(q)} for (a, b, _), q in zip(found, p, strict=True) if q >= sentence_threshold])
-            yield pd.DataFrame({"score": scores, "spans": spans})
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=["score", "spans"])
 
     scored = docs.withColumn("__tox", of(F.col(text))).withColumn(out, F.col("__tox.score"))
     if located:
