@@ -89,7 +89,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
 
 def search(
     vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, n_pivots: int = 256, prefix: int = 32,
-    rerank: float = 0.25, least: int = 500, block_rows: int = 4096, query_rows: int = 1024,
+    rerank: float = 0.35, least: int = 500, block_rows: int = 4096, query_rows: int = 1024,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k nearest found for each query, over all vectors."""
     rows = cut(usable(vectors, vec_id, embedding))
