@@ -6,11 +6,13 @@ blocks of the whole mix. Each slot goes to the released block that is due
 first. As the weights sum to 1, every block meets its window, so that at any
 time a source has had less than one block more or less than its share.
 
-Weights are whole units of a period, so that the schedule repeats: the slot of
-block i is (i-1 div units) periods plus the slot of its place in the period.
-Only that one period, whose length is a parameter and not a matter of the
-data, is worked out on the driver; all rows get their slots by DataFrame
-operations.
+Weights are taken as they are: as whole numbers in their exact ratio. The
+schedule has a row for each block; it is worked out on the driver, block by
+block, and handed to Spark in parts of ``chunk`` blocks, so that the driver
+holds one line for each source and one part at a time. Rows get their slots by
+a join on (source, block), without Python on executors. A ``period`` rounds the
+weights to whole units of it first, for a mix that is to repeat; what it holds
+to is then those units.
 
 Ranks within a source are not taken by one window over the source, which may
 hold a third of all rows: rows are dealt by a hash of their id to salts of
@@ -19,42 +21,66 @@ the counts of the salts before.
 
 Defined cases: null sources form one source of their own; null ids rank first
 within their salt; repeated rows each get a place; an empty table gives an
-empty result; sources beyond the end of another keep their slots, so that
-``in_mix`` (true before the first source runs out) marks where the weights hold
-and no row is dropped.
+empty result. No row is dropped: once the first source has run out, the blocks
+left keep their windows but not the weights, so ``in_mix`` is true before that.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, Window
+import math
+import uuid
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 _SOURCE, _SALT = "__source", "__salt"
 
 
-def edf_period(units: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, place from 0 among its blocks) of every slot of one period."""
-    period = sum(units.values())
-    release = lambda s, i: i * period // units[s]
-    due = lambda s, i: -(-(i + 1) * period // units[s])
-    waiting = [(0, s, 0) for s in sorted(units)]  # by release
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # by deadline
-    slots = []
-    for t in range(period):
+def edf_slots(units: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(source, block, slot, release, due, in_mix) of all ``blocks``, in order of their slots; weights are units over their sum."""
+    total = sum(units.values())
+    release = lambda s, i: i * total // units[s]
+    waiting = [(0, s, 0) for s in sorted(blocks)]  # by release
+    ready: list[tuple[int, str, int, int]] = []  # by deadline
+    t, in_mix = 0, True
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, i), s, i))
-        d, s, i = heapq.heappop(ready)
-        if t >= d:
+            r, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // units[s]), s, i, r))
+        due, s, i, r = heapq.heappop(ready)
+        if i == blocks[s]:  # its turn, and nothing left
+            in_mix = False
+            continue
+        if t >= due:
             raise AssertionError("a block missed its deadline")
-        slots.append((s, i))
-        if i + 1 < units[s]:
-            heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
-    return slots
+        yield s, i, t, r, due, in_mix
+        heapq.heappush(waiting, (release(s, i + 1), s, i + 1))
+        t += 1
+
+
+def edf_period(units: Mapping[str, int]) -> list[tuple[str, int]]:
+    """(source, place from 0 among its blocks) of every slot of one period."""
+    return [(s, i) for s, i, *_ in edf_slots(units, units)]
+
+
+def exact_units(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in the exact ratio of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if exact and min(exact.values()) <= 0:
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
 def weight_units(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -78,16 +104,42 @@ def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy(F.coalesce(source, F.lit("\u0000")).alias(_SOURCE)).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _schedule(spark: SparkSession, units: Mapping[str, int], blocks: Mapping[str, int], chunk: int) -> DataFrame:
+    """Every block's slot; beyond one part of ``chunk`` blocks, parts are written to the shared folder as they are made."""
+    lines = edf_slots(units, blocks)
+    names = sorted(blocks)
+    at = {s: k for k, s in enumerate(names)}
+
+    def part() -> DataFrame:
+        columns = [array("q") for _ in range(6)]
+        for s, *rest in islice(lines, chunk):
+            for c, x in zip(columns, (at[s], *rest), strict=True):
+                c.append(x)
+        source, *numbers, in_mix = [pa.array(np.frombuffer(c, np.int64)) for c in columns]
+        arrays = [pa.array(names, pa.string()).take(source), *numbers, in_mix.cast(pa.bool_())]
+        return spark.createDataFrame(pa.table(arrays, [_SOURCE, "block", "slot", "release", "due", "in_mix"]), schema)
+
+    schema = f"{_SOURCE} string, block long, slot long, release long, due long, in_mix boolean"
+    n = sum(blocks.values())
+    if n <= chunk:
+        return F.broadcast(part())
+    base = f"{shared_dir(spark)}/gridloom-slots-{uuid.uuid4().hex}"
+    for _ in range(-(-n // chunk)):
+        part().write.mode("append").parquet(base)
+    return spark.read.schema(schema).parquet(base)
+
+
 def mix(
     df: DataFrame,
     weights: Mapping[str | None, float] | None = None,
     source: str = "source",
     row_id: str = "doc_id",
     block_rows: int = 16,
-    period: int = 1024,
+    period: int | None = None,
     temperature: float = 0.5,
     salt_rows: int = 20_000,
     max_sources: int = 100_000,
+    chunk: int = 250_000,
 ) -> DataFrame:
     """Add ``block`` (from 0, within the source), ``slot``, ``release``, ``due``, ``place`` (within the block) and ``in_mix``.
 
@@ -105,17 +157,8 @@ def mix(
     else:
         named = {("\u0000" if s is None else s): v for s, v in weights.items()}
         w = {s: named.get(s, min(named.values())) for s in counts}
-    units = weight_units(w, period) if w else {}
-    length = sum(units.values())
-    places = {x: t for t, x in enumerate(edf_period(units))} if units else {}
-    slots = spark.createDataFrame(
-        [(s, i, t, i * length // units[s], -(-(i + 1) * length // units[s])) for (s, i), t in places.items()],
-        f"{_SOURCE} string, __i long, __t long, __release long, __due long",
-    )
-    shares = spark.createDataFrame(list(units.items()), f"{_SOURCE} string, __units long")
-    # the first slot that finds its source empty; every slot before it keeps the weights
-    blocks_of = {s: -(-n // block_rows) for s, n in counts.items()}
-    end = min((b // units[s] * length + places[s, b % units[s]] for s, b in blocks_of.items()), default=0)
+    units = exact_units(w) if period is None or not w else weight_units(w, period)
+    slots = _schedule(spark, units, {s: -(-n // block_rows) for s, n in counts.items()}, chunk)
 
     salts = max(1, -(-sum(counts.values()) // salt_rows))
     rows = df.drop("block", "slot", "release", "due", "place", "in_mix").withColumns(
@@ -132,25 +175,8 @@ def mix(
     )
     rank = F.row_number().over(Window.partitionBy(_SOURCE, _SALT).orderBy(F.xxhash64(row_id, F.lit(1)), row_id)) - 1
     ranked = rows.withColumn("__rank", rank.cast("long")).join(before, [_SOURCE, _SALT]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    blocks = (
-        ranked.join(F.broadcast(shares), _SOURCE)
-        .withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
-        .withColumn("place", (F.col("__rank") % block_rows).cast("int"))
-        .withColumn("__i", F.col("block") % F.col("__units"))
-        .join(F.broadcast(slots), [_SOURCE, "__i"])
-    )
-    shift = F.floor(F.col("block") / F.col("__units")) * length
-    return (
-        blocks.withColumns(
-            {
-                "slot": (shift + F.col("__t")).cast("long"),
-                "release": (shift + F.col("__release")).cast("long"),
-                "due": (shift + F.col("__due")).cast("long"),
-            }
-        )
-        .withColumn("in_mix", F.col("slot") < end)
-        .drop(_SOURCE, _SALT, "__rank", "__before", "__i", "__t", "__units", "__release", "__due")
-    )
+    blocks = ranked.withColumns({"block": F.floor(F.col("__rank") / block_rows).cast("long"), "place": (F.col("__rank") % block_rows).cast("int")})
+    return blocks.join(slots, [_SOURCE, "block"]).drop(_SOURCE, _SALT, "__rank", "__before")
 
 
 def interleaved(df: DataFrame, **options) -> DataFrame:

@@ -110,6 +110,32 @@ def test_interleaved_keeps_columns_and_rows(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(100))
 
 
+@pytest.mark.parametrize("weights, blocks", [({f"s{i:02d}": 1.0 for i in range(20)}, 400), ({f"s{i:02d}": (i + 1) ** 0.5 for i in range(7)}, 3000)])
+def test_sources_stay_within_a_block_of_their_true_weights(weights, blocks):
+    units, total, had = mixing.exact_units(weights), sum(weights.values()), Counter()
+    for s, i, t, _, _, in_mix in mixing.edf_slots(units, dict.fromkeys(weights, blocks)):
+        assert i == had[s] and i * total / weights[s] - 1 < t < (i + 1) * total / weights[s] + 1
+        had[s] += 1
+        assert not in_mix or all(abs(had[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+    assert set(had.values()) == {blocks}
+
+
+@pytest.mark.parametrize("chunk", [250_000, 700])
+def test_a_hot_source_beside_more_than_1024_others_gets_its_weight(spark, chunk):
+    rows = [(i, "hot") for i in range(600)] + [(1000 + i, f"s{i}") for i in range(1100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, chunk=chunk).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    weight, had = 600**0.5 / (600**0.5 + 1100), 0
+    of_slot = {r["slot"]: r for r in got}
+    assert len(of_slot) == len(rows) and all(r["release"] <= r["slot"] < r["due"] for r in got)
+    end = sum(r["in_mix"] for r in got)
+    assert end >= 1100 and all(of_slot[t]["in_mix"] for t in range(end))
+    for t in range(end):
+        had += of_slot[t]["source"] == "hot"
+        assert abs(had - weight * (t + 1)) < 1
+    assert had > 20
+
+
 # classifiers
 
 
