@@ -81,7 +81,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = sstable.write(docs, lambda: sstable.tokenizer_encoder(path), end_id=END_ID)
+    manifest = sstable.write(docs, lambda: sstable.tokenizer_encoder(path, match_added=True), end_id=END_ID)
     return sstable.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -192,13 +192,19 @@ def _lines(data: bytes) -> list[bytes]:
 
 
 @functools.cache
-def tokenizer_encoder(path: str) -> CachedEncoder:
-    """Encoder of a tokenizers file, without special tokens; one for each worker process, which keeps its words from task to task."""
+def tokenizer_encoder(path: str, match_added: bool = False) -> Callable[[str], bytes]:
+    """Encoder of a tokenizers file that adds no special tokens; one for each worker process, which keeps its words from task to task.
+
+    With ``match_added``, as is the library's default, the file's added tokens
+    are found in texts; a text that holds one is encoded whole, as it may lie
+    across words. Without, special tokens are encoded as any other text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not match_added
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if match_added else []
     vocabulary = tokenizer.get_vocab()
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte-level token has a character for each
     for token, i in vocabulary.items():
@@ -216,11 +222,14 @@ def tokenizer_encoder(path: str) -> CachedEncoder:
         cuts = [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    return CachedEncoder(many, spaced)
+    cached = CachedEncoder(many, spaced)
+    if not added:
+        return cached
+    return lambda text: many([text])[0] if any(a in text for a in added) else cached(text)
 
 
 def write(
-    docs: DataFrame, make_encoder: Callable[[], CachedEncoder], end_id: int | None = None, vocabulary: int = 1 << 16, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, make_encoder: Callable[[], Callable[[str], bytes]], end_id: int | None = None, vocabulary: int = 1 << 16, doc_id: str = "doc_id", text: str = "text",
     folder: str | None = None, partitions: int | None = None, block_bytes: int = 64 << 10, shard_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Write shards to ``folder`` (by default a new one in the shared folder); the manifest has a row for each."""

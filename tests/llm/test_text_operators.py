@@ -193,6 +193,23 @@ def test_shards_hold_what_the_library_encodes(spark, tmp_path):
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in found) == Counter((i, b) for i, bs in by_id.items() for b in bs)
 
 
+def test_op8_finds_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from gridloom.llm import entries
+
+    tokenizer = Tokenizer.from_file(JSON)
+    rows = [(1, "x <|endoftext|> y"), (2, "a <|endoftext|><|endoftext|>b  c\nd<|endoftext|>"), (3, "<|endoftext|>"), (4, "<|endoftext |> <|endof text|>"), (5, None), (6, "words behind one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, start = [], 0
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert want[0][2] == 5
+    assert sorted(map(tuple, entries.op8_sstable(spark, str(tmp_path)).collect())) == want
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     manifest = sstable.write(frame(spark, []), lambda: sstable.tokenizer_encoder(JSON), end_id=2, folder=str(tmp_path / "s"))
     assert sstable.read(manifest).count() == 0
