@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import entries, mixing, ngram_join, quality, toxicity
 from gridloom.llm.common import shared_dir, table
 
+MIX = ("slot", "place", "in_mix")
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,8 +40,8 @@ def in_mix_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids and of what they decode to."""
-    return entries._encoded(docs)
+    """Digests of the token ids and of what they decode to, with each row's slot and place in the mix; both follow from the ids and sources, so they are those of the stage before."""
+    return entries._encoded(mixing.mix(docs), MIX)
 
 
 STAGES = [
@@ -56,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's digests, in the order of the mix."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/gridloom-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -63,4 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}-{name}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    return docs.orderBy("slot", "place").drop(*MIX)

@@ -17,7 +17,7 @@ and only words new to the worker are pre-tokenised and merged.
 
 Defined cases: null texts count as empty and have no ids; repeated rows and
 null ids get a row each; empty tables give empty results; results have the id
-column and ``ids``, so that other columns never clash.
+column, ``ids`` and columns named to be carried, so that others never clash.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import base64
 import functools
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -127,34 +127,35 @@ def boundaries(text: str, pieces, last: bool) -> list[int]:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 512
+    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 512, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """(doc_id, ids array<int>) of every row, as encoding each match of the pattern separately gives."""
+    """(doc_id, ``carry`` columns, ids array<int>) of every row, as encoding each match of the pattern separately gives."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    schema = f"doc_id {kind}, ids array<int>"
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *carry)
+    schema = f"doc_id {kind}{more}, ids array<int>"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = rank_encoder(ranks_path, pattern)
         for b in parts_of(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), id_lists([enc(t) for t in b.column("text").to_pylist()])], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carry)], id_lists([enc(t) for t in b.column("text").to_pylist()])], names=["doc_id", *carry, "ids"])
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
 
     # repeated rows are encoded once; the hash stands for the text in keys
     long = (
         rows.where(F.length("text") > chunk)
-        .groupBy("doc_id", "text")
+        .groupBy("doc_id", "text", *carry)
         .agg(F.count(F.lit(1)).alias("copies"))
-        .select("doc_id", F.xxhash64("text").alias("h"), "copies", "text")
+        .select("doc_id", F.xxhash64("text").alias("h"), "copies", *carry, "text")
     )
-    key = ["doc_id", "h", "copies"]
+    key = ["doc_id", "h", "copies", *carry]
     chunks = (
         long.select(*key, "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)).alias("k"))
         .select(*key, "k", (F.length("text") <= (F.col("k") + 1) * chunk).alias("last"), F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"))
         .repartition(*key, "k")
     )
-    key_schema = f"doc_id {kind}, h long, copies long, k int"
+    key_schema = f"doc_id {kind}, h long, copies long{more}, k int"
 
     def seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = regex.compile(pattern)
@@ -178,7 +179,7 @@ def encode(
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "k")]
     pieces_of = (
         chunks.alias("a")
-        .join(stitched.alias("b"), same[0] & same[1] & same[2] & same[3])
+        .join(stitched.alias("b"), functools.reduce(lambda x, y: x & y, same))
         .where("not apart")
         .select(*[F.col(f"a.{c}").alias(c) for c in (*key, "k")], F.expr(f"from - a.k * {chunk}").alias("start"), F.expr(f"coalesce(to - a.k * {chunk}, length(part))").alias("stop"), "part")
     )
@@ -197,7 +198,8 @@ def encode(
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     )
     apart = stitched.where("apart").select(*key).distinct().alias("b")
-    in_one = long.alias("a").join(apart, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left_semi")
+    same_text = functools.reduce(lambda x, y: x & y, same[:-1])
+    in_one = long.alias("a").join(apart, same_text, "left_semi")
 
     def in_one_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = rank_encoder(ranks_path, pattern)
@@ -205,8 +207,8 @@ def encode(
             ids = id_lists([enc.whole.encode(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in key], ids], names=[*key, "ids"])
 
-    rest = in_one.select(*key, "text").mapInArrow(in_one_go, f"doc_id {kind}, h long, copies long, ids array<int>")
-    each = joined.unionByName(rest).select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "ids")
+    rest = in_one.select(*key, "text").mapInArrow(in_one_go, f"doc_id {kind}, h long, copies long{more}, ids array<int>")
+    each = joined.unionByName(rest).select("doc_id", *carry, "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *carry, "ids")
     return short.unionByName(each)
 
 

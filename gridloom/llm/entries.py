@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +51,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, ["doc_id", "fingerprint"]).select(*rows.columns, "group_id")
 
 
-def _encoded(docs: DataFrame) -> DataFrame:
+def _encoded(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=carry)
     return bpe.decode(ids, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *carry
     )
 
 

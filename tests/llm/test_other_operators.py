@@ -313,3 +313,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {"9000"} == {k for k in kept if k.isdigit() and int(k) >= 9000}
     got = corpus_pipeline.run(spark, sf)
     assert {str(x["doc_id"]) for x in got.collect()} == kept and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_result_keeps_the_target_weights_up_to_the_end_of_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    r = random.Random(6)
+    rows = [(i, plain_text(r, 9000 if i % 400 == 0 else 5), "en", "hot" if i < 900 else f"s{i % 4}", 1) for i in range(1300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(rows[0][1]) > 32_768
+    source = {i: s for i, _, _, s, _ in rows}
+    order = [x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(order) == sorted(source)
+    counts = Counter(source.values())
+    total, had = sum(n**0.5 for n in counts.values()), Counter()
+    end = 16 * 24  # each of four sources of 100 rows has a seventh of the weights and six whole blocks
+    for k, i in enumerate(order[:end]):
+        had[source[i]] += 1
+        if k % 16 == 15:
+            assert all(abs(had[s] / 16 - n**0.5 / total * (k + 1) / 16) < 1 + 1e-9 for s, n in counts.items())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    slots = {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in mixing.mix(docs).collect()}
+    assert {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in got.collect()} == slots
