@@ -128,12 +128,16 @@ class VolumeSpace(Space):
         """(feat_idx, value) of a table (linear, value)."""
         return self.features(grid.sparkSession).select("feat_idx", "linear").join(grid, "linear", "left").select("feat_idx", "value")
 
-    def reconstruct(self, vector: DataFrame) -> DataFrame:
-        """(linear, value) of the whole grid; cells that no feature covers are null, not 0."""
-        spark = vector.sparkSession
-        every = spark.range(1, math.prod(self.dim) + 1).withColumnRenamed("id", "linear")
-        cells = self.features(spark).select("feat_idx", "linear").join(vector, "feat_idx").select("linear", "value")
-        return every.join(cells, "linear", "left")
+    def reconstruct(self, vector: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """(linear, value) of the whole grid; cells that no feature covers are null, not 0.
+
+        ``of`` has a row for each of many vectors; they are told apart by its columns, which ``vector`` has too.
+        """
+        spark, keys = vector.sparkSession, [] if of is None else of.columns
+        grid = F.sequence(F.lit(1), F.lit(math.prod(self.dim)).cast("long"))
+        every = (spark.range(1) if of is None else of).select(*keys, F.explode(grid.cast("array<bigint>")).alias("linear"))
+        cells = self.features(spark).select("feat_idx", "linear").join(vector, "feat_idx").select(*keys, "linear", "value")
+        return every.join(cells, [*keys, "linear"], "left")
 
 
 @dataclass(frozen=True)

@@ -506,3 +506,42 @@ def bids_event_ids(spark, sf_dir):
     return bids.event_ids(e).select(F.col("event_id").alias("label"), "input_pos")
 
 
+
+# Whole tables, where a query above reads a part
+
+
+@query(f"SELECT ((obs_idx - 1) // 100 + 1)::INT AS run_id, ((obs_idx - 1) % 100 + 1)::INT AS timepoint, feat_idx AS voxel, value AS signal FROM ({CELLS})")
+def series_long_whole(spark, sf_dir):
+    f = _vectors(spark, sf_dir)
+    z = F.col("idx") - 1
+    times = f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint"))
+    return series.series(f.assays["value"].source.long(), times, GRID.features(spark))
+
+
+@query("SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 128) g(linear)")
+def reconstruct_volume_whole(spark, sf_dir):
+    half = spaces.VolumeSpace((4, 4, 8), support=tuple(range(2, 129, 2)))
+    f = _vectors(spark, sf_dir)
+    return half.reconstruct(f.assays["value"].source.long().select("obs_idx", "feat_idx", "value"), f.observations.table.select(F.col("idx").alias("obs_idx")))
+
+
+@query("WITH r AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS e FROM conversations GROUP BY 1), t AS (SELECT conv_id, n, e, unnest(generate_series(1, n)) AS timepoint FROM r) SELECT (e - n + timepoint)::BIGINT AS \"index\", conv_id AS run_id, timepoint::BIGINT AS timepoint FROM t")
+def temporal_info_whole(spark, sf_dir):
+    runs = series.run_table(_table(spark, sf_dir, "conversations"), "conv_id", 2.0)
+    return series.temporal_info(runs, order=["run_id"])
+
+
+@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, feat_idx, value FROM ({CELLS})")
+def bind_observations_whole(spark, sf_dir):
+    n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 2
+    both = bind_observations([_vectors(spark, sf_dir, f"vec_id < {n}"), _vectors(spark, sf_dir, f"vec_id >= {n}", n)])
+    return both.cells().select("obs_id", "feat_idx", "value")
+
+
+@query("SELECT event_id::VARCHAR AS id, 'c' || f AS component_id, CASE WHEN vec_id IS NOT NULL THEN embedding[f]::DOUBLE END AS value FROM events CROSS JOIN generate_series(1, 64) g(f) LEFT JOIN embeddings ON vec_id = user_id * 4")
+def lift_entity_block_whole(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    names = [f"c{i}" for i in range(1, 65)]
+    wide = e.select("vec_id", *[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(names, 1)])
+    of = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), (F.col("user_id") * 4).alias("vec"))
+    return ent.lift_block(of, "event_id", "vec", axes.block(wide, "vec_id", names))
