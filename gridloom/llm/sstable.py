@@ -32,11 +32,11 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,8 +48,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CachedEncoder
-from .common import cut, file_system, shared_dir, shuffle_partitions
+from .common import cut, file_system, parts_of, shared_dir, shuffle_partitions
+from .words import WordEncoder
 
 MAGIC = b"GLSST001"
 _INDEX = struct.Struct("<8sQIIQI")
@@ -153,9 +153,10 @@ class ShardReader:
             raise ValueError(f"{path} is no shard")
         self.index = [_INDEX.unpack(line) for line in _lines(self.file.read_at(index_len, index_at))]
         self.first = [line[0] for line in self.index]
+        self.bloom = b""
 
     def may_hold(self, doc_id: int) -> bool:
-        data = self.file.read_at(self.bloom_len, self.bloom_at)
+        data = self.bloom = self.bloom or self.file.read_at(self.bloom_len, self.bloom_at)
         bits = struct.unpack("<Q", data[:8])[0]
         return all(data[8 + (p >> 3)] >> (p & 7) & 1 for p in _probes(key_of(doc_id), bits))
 
@@ -192,52 +193,50 @@ def _lines(data: bytes) -> list[bytes]:
 
 
 @functools.cache
-def tokenizer_encoder(path: str, match_added: bool = False) -> Callable[[str], bytes]:
-    """Encoder of a tokenizers file that adds no special tokens; one for each worker process, which keeps its words from task to task.
+def tokenizer_encoder(path: str, match_added: bool = False) -> WordEncoder:
+    """Encoder of a tokenizers file that adds no special tokens; one for each worker process.
 
     With ``match_added``, as is the library's default, the file's added tokens
     are found in texts; a text that holds one is encoded whole, as it may lie
-    across words. Without, special tokens are encoded as any other text.
+    across words. Without, special tokens are encoded as any other text. Texts
+    are encoded by words if the file's tokens are bytes and a space begins a
+    word (byte-level, with the library's own pattern and nothing before it),
+    and whole otherwise.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not match_added
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if match_added else []
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     vocabulary = tokenizer.get_vocab()
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte-level token has a character for each
     for token, i in vocabulary.items():
         size[i] = len(token)
+    made = json.loads(tokenizer.to_str())
+    before = made["pre_tokenizer"] or {}
+    by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made["normalizer"]
+    special = {t["content"] for t in made["added_tokens"] if t["special"]}
+    found = [t for t in added if match_added or t not in special]
 
-    def many(texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def spaced(texts: list[str]) -> list[bytes]:
-        """Words in a row: the space before each is a boundary, so their ids are those of one text, cut where the bytes are."""
-        if len(texts) < 2 or min(map(len, texts)) < 2:
-            return many(texts)
-        raw = many(["".join(texts)])[0]
-        ends = np.searchsorted(np.cumsum(size[np.frombuffer(raw, "<i4")]), np.cumsum([len(t.encode()) for t in texts])) + 1
-        cuts = [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    cached = CachedEncoder(many, spaced)
-    if not added:
-        return cached
-    return lambda text: many([text])[0] if any(a in text for a in added) else cached(text)
+    return WordEncoder(encode, size, (lambda text: any(t in text for t in found)) if by_words and found else None if by_words else lambda text: True, joined=not any(" " in t for t in found))
 
 
 def write(
-    docs: DataFrame, make_encoder: Callable[[], Callable[[str], bytes]], end_id: int | None = None, vocabulary: int = 1 << 16, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, make_encoder: Callable[[], WordEncoder], end_id: int | None = None, doc_id: str = "doc_id", text: str = "text",
     folder: str | None = None, partitions: int | None = None, block_bytes: int = 64 << 10, shard_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Write shards to ``folder`` (by default a new one in the shared folder); the manifest has a row for each."""
+    """Write shards to ``folder`` (by default a new one in the shared folder); the manifest has a row for each.
+
+    An id takes two bytes in the files if the encoder's largest and ``end_id`` fit, four otherwise.
+    """
     spark = docs.sparkSession
     base = (folder or f"{shared_dir(spark)}/gridloom-shards-{uuid.uuid4().hex}").rstrip("/")
     fs, at = file_system(base)
     fs.create_dir(at)
-    width = 2 if vocabulary <= 1 << 16 else 4
     rows = (
         docs.where(F.col(doc_id).isNotNull())
         .select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -247,7 +246,8 @@ def write(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = make_encoder(), TaskContext.get()
-        end = np.array([] if end_id is None else [end_id], "<i4").tobytes()
+        end = np.array([] if end_id is None else [end_id], np.int32)
+        width = 2 if max(len(encode.id_bytes) - 1, end_id or 0) < 1 << 16 else 4
         writer, roll, span, out = None, 0, [0, 0], []
 
         def close() -> None:
@@ -257,16 +257,22 @@ def write(
                 out.append({"path": name, "part": task.partitionId(), "roll": roll, "first_id": span[0], "last_id": span[1], "docs": len(writer.keys), "ids": writer.ids, "bytes": writer.offset})
                 writer, roll = None, roll + 1
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if writer is None:
-                    name = f"{base}/{task.partitionId():06d}-{roll:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
-                    there, path = file_system(name)
-                    writer, span[0] = ShardWriter(there.open_output_stream(path), width, block_bytes), i
-                writer.add(i, np.frombuffer(encode(t) + end, "<i4"))
-                span[1] = i
-                if writer.offset >= shard_bytes:
-                    close()
+        def entries() -> Iterator[tuple[int, np.ndarray]]:
+            for b in parts_of(batches, 2000):
+                ids = encode(b.column(1))
+                values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                for i, x, y in zip(b.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                    yield i, np.r_[values[x:y], end]
+
+        for i, ids in entries():
+            if writer is None:
+                name = f"{base}/{task.partitionId():06d}-{roll:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
+                there, path = file_system(name)
+                writer, span[0] = ShardWriter(there.open_output_stream(path), width, block_bytes), i
+            writer.add(i, ids)
+            span[1] = i
+            if writer.offset >= shard_bytes:
+                close()
         close()
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("roll", pa.int32()), *[(c, pa.int64()) for c in ("first_id", "last_id", "docs", "ids", "bytes")]]))
 
@@ -298,9 +304,19 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of the documents asked for: ids go to the shards whose range holds them, and each is searched there."""
+    """(doc_id, ids) of the documents asked for: ids go to the shards whose range holds them, and each is searched there.
+
+    Ids and shards meet by equal stretches of the ids between the first and the
+    last, about four to a shard; a shard lies in as many as its range touches.
+    """
     asked = wanted.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    routed = asked.join(manifest.select("path", "first_id", "last_id"), F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    shards = manifest.select("path", "first_id", "last_id")
+    ends = shards.agg(F.min("first_id").alias("a"), F.max("last_id").alias("z"), F.count(F.lit(1)).alias("n")).first()
+    low, stretch = float(ends["a"] or 0), max(1.0, (float(ends["z"] or 0) - float(ends["a"] or 0)) / (4 * ends["n"] + 1))
+    at = lambda c: F.floor((F.col(c).cast("double") - low) / stretch)  # noqa: E731  never falls as ids grow
+    there = shards.withColumn("at", F.explode(F.sequence(at("first_id"), at("last_id"))))
+    inside = F.col("doc_id").between(F.col("first_id"), F.col("last_id"))
+    routed = asked.withColumn("at", at("doc_id")).join(there, "at").where(inside)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_shards: tuple[str | None, ShardReader | None] = (None, None)
