@@ -11,9 +11,8 @@ Texts of one chunk have no seam and take no shuffle.
 
 Decoding concatenates the bytes of the ids.
 
-Encoding looks words up that it met before: a text is split at spaces between
-two non-spaces, which are boundaries of the pattern whatever surrounds them,
-and only words new to the worker are pre-tokenised and merged.
+Seams lie behind something other than white space: there a piece ends whatever
+follows it, so that the text between two seams is encoded as it stands.
 
 Defined cases: null texts count as empty and have no ids; repeated rows and
 null ids get a row each; empty tables give empty results; results have the id
@@ -24,25 +23,23 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts_of
+from .words import WordEncoder, lists
 
-_BESIDE = re.compile(r" \s|\s ")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
-_CACHE_WORDS, _CACHE_LENGTH = 500_000, 64
 #: Of a match that ends nearer than this to a cut, more text could change the end: contractions have three code points.
 _MARGIN = 2
+_ROWS = 2000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,94 +48,67 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class WordCache(dict):
-    """Ids of words as little-endian 32-bit integers. New words go to ``encode_many``; once full, it keeps the words that came first, common ones among them."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], lead: str = "") -> None:
-        super().__init__()
-        self.encode_many, self.lead = encode_many, lead
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.joined([word])
-
-    def joined(self, words: list[str]) -> bytes:
-        """The words' ids, one after the other."""
-        new = [w for w in {*words} if w not in self]
-        if new:
-            ids = dict(zip(new, self.encode_many([self.lead + w for w in new]), strict=True))
-            if len(self) + len(new) > _CACHE_WORDS or max(map(len, new)) > _CACHE_LENGTH:
-                return b"".join([ids[w] if w in ids else self[w] for w in words])
-            self.update(ids)
-        return b"".join(map(self.__getitem__, words))
-
-
-class CachedEncoder:
-    """bytes of ids of a text, by words between safe boundaries."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_spaced: Callable[[list[str]], list[bytes]] | None = None) -> None:
-        """``encode_spaced`` may take its texts to be words with a space before each."""
-        self.whole, self.spaced = WordCache(encode_many), WordCache(encode_spaced or encode_many, " ")
-        self.whole[""] = b""
-
-    def __call__(self, text: str) -> bytes:
-        if _BESIDE.search(text):
-            return self.whole.joined(_SAFE.split(text))
-        first, *rest = text.split(" ")
-        return self.whole[first] + self.spaced.joined(rest)
-
-
 @functools.cache
-def rank_encoder(path: str, pattern: str) -> CachedEncoder:
-    """One for each worker process, which keeps its words from task to task."""
+def rank_encoder(path: str, pattern: str) -> WordEncoder:
+    """One for each worker process."""
     ranks = read_ranks(path)
     merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    pieces = regex.compile(pattern)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = list(map(len, ranks))
+    return WordEncoder(lambda text: np.array(merges.encode_ordinary(text), np.int32), size)
 
-    def encode(text: str) -> bytes:
-        ids: list[int] = []
-        for piece in pieces.findall(text):
-            known = ranks.get(piece.encode())
-            if known is None:
-                ids += merges.encode_ordinary(piece)
-            else:
-                ids.append(known)
-        return array("i", ids).tobytes()
 
-    return CachedEncoder(lambda texts: [encode(t) for t in texts])
+@functools.cache
+def rank_decoder(path: str) -> Callable[[pa.ListArray], pa.BinaryArray]:
+    """Bytes of lists of ids: each id's bytes, taken from one table."""
+    ranks = read_ranks(path)
+    by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        by_id[i] = token
+    tokens = pa.array(by_id, pa.binary())
 
+    def decoded(ids: pa.ListArray) -> pa.BinaryArray:
+        size = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+        taken = tokens.take(ids.flatten())  # flatten leaves out what null lists have
+        if taken.null_count:
+            raise ValueError("an id stands for no bytes")
+        at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :][np.r_[0, np.cumsum(size)]]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), taken.buffers()[2] or pa.py_buffer(b"")])
 
-def id_lists(parts: list[bytes]) -> pa.ListArray:
-    """An Arrow list of ids for each element."""
-    ends = np.r_[0, np.cumsum([len(p) // 4 for p in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+    return decoded
 
 
 def boundaries(text: str, pieces, last: bool) -> list[int]:
-    """Starts of pieces that no text beyond a cut could change, and the end of a text's last chunk."""
+    """Starts of pieces behind something other than white space that no text beyond a cut could change, and the end of a text's last chunk."""
     out = [0]
     for m in pieces.finditer(text):
         if not last and m.end() > len(text) - _MARGIN:
             break
-        out.append(m.end())
+        if not text[m.end() - 1].isspace() or m.end() == len(text):
+            out.append(m.end())
     return out
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 512, carry: Sequence[str] = ()
-) -> DataFrame:
-    """(doc_id, ``carry`` columns, ids array<int>) of every row, as encoding each match of the pattern separately gives."""
+    docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 32_768, overlap: int = 512, carry: Sequence[str] = (),
+    decoded: str | None = None,
+) -> DataFrame:
+    """(doc_id, ``carry`` columns, ids array<int>) of every row, as encoding each match of the pattern separately gives.
+
+    ``decoded`` names a further column, of the bytes that the ids decode to:
+    what decode() adds, worked out beside the encoding where one task does both.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *carry)
-    schema = f"doc_id {kind}{more}, ids array<int>"
+    schema = f"doc_id {kind}{more}, ids array<int>{f', {decoded} binary' if decoded else ''}"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = rank_encoder(ranks_path, pattern)
-        for b in parts_of(batches):
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *carry)], id_lists([enc(t) for t in b.column("text").to_pylist()])], names=["doc_id", *carry, "ids"])
+        for b in parts_of(batches, _ROWS):
+            ids = enc(b.column("text"))
+            back = {decoded: rank_decoder(ranks_path)(ids)} if decoded else {}
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("doc_id", *carry)} | {"ids": ids} | back)
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
 
@@ -185,11 +155,10 @@ def encode(
     )
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pieces = rank_encoder(ranks_path, pattern), regex.compile(pattern)
-        for b in parts_of(batches):
-            # pieces are found in the whole part, as what follows a seam decides where white space before it ends
+        enc = rank_encoder(ranks_path, pattern)
+        for b in parts_of(batches, _ROWS):
             spans = zip(*(b.column(c).to_pylist() for c in ("part", "start", "stop")), strict=True)
-            ids = id_lists([enc.whole.joined([m[0] for m in pieces.finditer(part, start) if m.end() <= stop]) for part, start, stop in spans])
+            ids = enc(pa.array([part[start:stop] for part, start, stop in spans], pa.string()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*key, "k")], ids], names=[*key, "k", "ids"])
 
     joined = (
@@ -203,13 +172,13 @@ def encode(
 
     def in_one_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = rank_encoder(ranks_path, pattern)
-        for b in batches:
-            ids = id_lists([enc.whole.encode(t) for t in b.column("text").to_pylist()])
+        for b in parts_of(batches, 1):
+            ids = lists([enc.encode(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in key], ids], names=[*key, "ids"])
 
     rest = in_one.select(*key, "text").mapInArrow(in_one_go, f"doc_id {kind}, h long, copies long{more}, ids array<int>")
     each = joined.unionByName(rest).select("doc_id", *carry, "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *carry, "ids")
-    return short.unionByName(each)
+    return short.unionByName(decode(each, ranks_path, out=decoded) if decoded else each)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -217,8 +186,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes")
 
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        by_id = {i: t for t, i in read_ranks(ranks_path).items()}
-        for b in parts_of(batches):
-            yield pa.array([b"".join(map(by_id.__getitem__, x or ())) for x in b.to_pylist()], pa.binary())
+        for b in batches:
+            yield pa.concat_arrays([rank_decoder(ranks_path)(x) for x in parts_of([b], _ROWS)])
 
     return df.withColumn(out, of(F.col(ids)))
