@@ -7,22 +7,26 @@ first. As the weights sum to 1, every block meets its window, so that at any
 time a source has had less than one block more or less than its share.
 
 Weights are taken as they are: as whole numbers in their exact ratio. The
-schedule has a row for each block; it is worked out on the driver, block by
-block, and handed to Spark in parts of ``chunk`` blocks, so that the driver
-holds one line for each source and one part at a time. Rows get their slots by
-a join on (source, block), without Python on executors. A ``period`` rounds the
-weights to whole units of it first, for a mix that is to repeat; what it holds
-to is then those units.
+schedule has a line for each block. It is worked out on the driver, block by
+block, and handed to Spark in parts of ``chunk`` blocks as one row for each
+source in it. What passes there is bounded: a block has ``block_rows`` rows, or
+as many as make at most ``max_blocks`` blocks of all rows, so that the driver's
+work is the same for any larger input; the guarantee is in blocks and does not
+change. Rows get their slots by a join on (source, block). A ``period`` rounds
+the weights to whole units of it first, for a mix that is to repeat; what it
+holds to is then those units.
 
 Ranks within a source are not taken by one window over the source, which may
-hold a third of all rows: rows are dealt by a hash of their id to salts of
-about ``salt_rows`` rows in all, ranked within (source, salt), and shifted by
-the counts of the salts before.
-
-Defined cases: null sources form one source of their own; null ids rank first
-within their salt; repeated rows each get a place; an empty table gives an
-empty result. No row is dropped: once the first source has run out, the blocks
-left keep their windows but not the weights, so ``in_mix`` is true before that.
+hold a third of all rows: rows are dealt by a hash of all their columns to
+salts of about ``salt_rows`` rows in all, 64 at least, ranked within (source,
+salt) by a hash of the id, and shifted by the counts of the salts before.
+
+Defined cases: null sources form one source of their own; rows whose id is null
+or repeats are dealt by their other columns, and rows alike in all columns are
+interchangeable; an empty table gives an empty result; input columns with a
+result's name are replaced by mix() and returned as they were by interleaved().
+No row is dropped: once the first source has run out, the blocks left keep
+their windows but not the weights, so ``in_mix`` is true before that.
 """
 
 from __future__ import annotations
@@ -30,19 +34,18 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
-from array import array
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-_SOURCE, _SALT = "__source", "__salt"
+_SOURCE, _SALT, _TIE = "__source", "__salt", "__tie"
+ADDED = ("block", "slot", "release", "due", "place", "in_mix")
 
 
 def edf_slots(units: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
@@ -100,33 +103,46 @@ def weight_units(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return units
 
 
+def _key(source: str) -> Column:
+    """A key for every source; the null source's is no other's."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
-    return df.groupBy(F.coalesce(source, F.lit("\u0000")).alias(_SOURCE)).agg(F.count(F.lit(1)).alias("rows"))
+    return df.groupBy(_key(source).alias(_SOURCE)).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _schedule(spark: SparkSession, units: Mapping[str, int], blocks: Mapping[str, int], chunk: int) -> DataFrame:
     """Every block's slot; beyond one part of ``chunk`` blocks, parts are written to the shared folder as they are made."""
     lines = edf_slots(units, blocks)
-    names = sorted(blocks)
-    at = {s: k for k, s in enumerate(names)}
+    schema = f"{_SOURCE} string, first long, slots array<long>, releases array<long>, dues array<long>, n_mix int"
 
     def part() -> DataFrame:
-        columns = [array("q") for _ in range(6)]
-        for s, *rest in islice(lines, chunk):
-            for c, x in zip(columns, (at[s], *rest), strict=True):
-                c.append(x)
-        source, *numbers, in_mix = [pa.array(np.frombuffer(c, np.int64)) for c in columns]
-        arrays = [pa.array(names, pa.string()).take(source), *numbers, in_mix.cast(pa.bool_())]
-        return spark.createDataFrame(pa.table(arrays, [_SOURCE, "block", "slot", "release", "due", "in_mix"]), schema)
-
-    schema = f"{_SOURCE} string, block long, slot long, release long, due long, in_mix boolean"
+        rows: dict[str, list] = {}
+        for s, i, slot, release, due, in_mix in islice(lines, chunk):
+            row = rows.setdefault(s, [i, [], [], [], 0])
+            for to, x in zip(row[1:4], (slot, release, due), strict=True):
+                to.append(x)
+            row[4] += in_mix
+        return spark.createDataFrame([(s, *row) for s, row in rows.items()], schema)
+
     n = sum(blocks.values())
     if n <= chunk:
-        return F.broadcast(part())
-    base = f"{shared_dir(spark)}/gridloom-slots-{uuid.uuid4().hex}"
-    for _ in range(-(-n // chunk)):
-        part().write.mode("append").parquet(base)
-    return spark.read.schema(schema).parquet(base)
+        found = part()
+    else:
+        base = f"{shared_dir(spark)}/gridloom-slots-{uuid.uuid4().hex}"
+        for _ in range(-(-n // chunk)):
+            part().write.mode("append").parquet(base)
+        found = spark.read.schema(schema).parquet(base)
+    each = found.select(_SOURCE, "first", "n_mix", F.posexplode(F.arrays_zip("slots", "releases", "dues")).alias("k", "x"))
+    out = each.select(_SOURCE, (F.col("first") + F.col("k")).alias("block"), F.col("x.slots").alias("slot"), F.col("x.releases").alias("release"), F.col("x.dues").alias("due"), (F.col("k") < F.col("n_mix")).alias("in_mix"))
+    return F.broadcast(out) if n <= chunk else out
+
+
+def _hash_of_all(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().count("map<") and not isinstance(f.dataType, T.VariantType)]
+    return F.xxhash64(*plain)
 
 
 def mix(
@@ -135,18 +151,21 @@ def mix(
     source: str = "source",
     row_id: str = "doc_id",
     block_rows: int = 16,
+    max_blocks: int = 1_000_000,
     period: int | None = None,
     temperature: float = 0.5,
     salt_rows: int = 20_000,
     max_sources: int = 100_000,
     chunk: int = 250_000,
+    deal_by: Column | None = None,
 ) -> DataFrame:
     """Add ``block`` (from 0, within the source), ``slot``, ``release``, ``due``, ``place`` (within the block) and ``in_mix``.
 
     Without ``weights``, a source's weight is its row count to the power
     ``temperature``; sources that ``weights`` doesn't name get its least weight.
     More than ``max_sources`` sources is an error, as their weights are held on
-    the driver.
+    the driver. ``deal_by`` is a whole number by which rows go to salts; without
+    it, it is a hash of all columns.
     """
     spark = df.sparkSession
     counts = {r[_SOURCE]: r["rows"] for r in source_counts(df, source).limit(max_sources + 1).collect()}
@@ -155,15 +174,16 @@ def mix(
     if weights is None:
         w = {s: n**temperature for s, n in counts.items()}
     else:
-        named = {("\u0000" if s is None else s): v for s, v in weights.items()}
+        named = {("" if s is None else f"={s}"): v for s, v in weights.items()}
         w = {s: named.get(s, min(named.values())) for s in counts}
     units = exact_units(w) if period is None or not w else weight_units(w, period)
+    total = sum(counts.values())
+    block_rows = max(block_rows, -(-total // max(1, max_blocks - len(counts))))
     slots = _schedule(spark, units, {s: -(-n // block_rows) for s, n in counts.items()}, chunk)
 
-    salts = max(1, -(-sum(counts.values()) // salt_rows))
-    rows = df.drop("block", "slot", "release", "due", "place", "in_mix").withColumns(
-        {_SOURCE: F.coalesce(source, F.lit("\u0000")), _SALT: F.pmod(F.xxhash64(row_id), F.lit(salts))}
-    )
+    salts = max(64, -(-total // salt_rows))
+    deal = _hash_of_all(df) if deal_by is None else deal_by
+    rows = df.withColumns({_SOURCE: _key(source), _TIE: deal}).withColumn(_SALT, F.pmod(_TIE, F.lit(salts))).drop(*ADDED)
     before = (
         rows.groupBy(_SOURCE, _SALT)
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -173,13 +193,15 @@ def mix(
         )
         .drop("__n")
     )
-    rank = F.row_number().over(Window.partitionBy(_SOURCE, _SALT).orderBy(F.xxhash64(row_id, F.lit(1)), row_id)) - 1
+    rank = F.row_number().over(Window.partitionBy(_SOURCE, _SALT).orderBy(F.xxhash64(row_id, F.lit(1)), row_id, _TIE)) - 1
     ranked = rows.withColumn("__rank", rank.cast("long")).join(before, [_SOURCE, _SALT]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     blocks = ranked.withColumns({"block": F.floor(F.col("__rank") / block_rows).cast("long"), "place": (F.col("__rank") % block_rows).cast("int")})
-    return blocks.join(slots, [_SOURCE, "block"]).drop(_SOURCE, _SALT, "__rank", "__before")
+    return blocks.join(slots, [_SOURCE, "block"]).drop(_SOURCE, _SALT, _TIE, "__rank", "__before")
 
 
-def interleaved(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df``, same columns, in the order of the mix: by slot, then place."""
-    mixed = mix(df, **options)
-    return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select(*df.columns)
+def interleaved(df: DataFrame, source: str = "source", row_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df``, same columns, in the order of the mix: by slot, then place. Slots are those that mix() gives the same rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    packed = df.select(F.col(source).alias("__from"), F.col(row_id).alias("__id"), _hash_of_all(df).alias("__deal"), row.alias("__row"))
+    mixed = mix(packed, source="__from", row_id="__id", deal_by=F.col("__deal"), **options)
+    return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("__row.*")
