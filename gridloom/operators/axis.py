@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import ordinals
+from ..functions.storage import written
 
 
 class InvalidAxis(ValueError):
@@ -58,7 +59,7 @@ def axis(df: DataFrame, id: str | None = None, order: Sequence[str] = (), blocks
     """An axis over ``df``. Without ``id``, identifiers are made; without ``idx``, rows are numbered by ``order`` (or id)."""
     if id is None:
         id = f"{prefix}_id"
-        df = df.withColumn(id, F.concat(F.lit(f"{prefix}-"), F.uuid()))
+        df = written(df.withColumn(id, F.concat(F.lit(f"{prefix}-"), F.uuid())))  # made once: a plan that ran again would make others
     df = df.withColumn(id, F.col(id).cast("string"))
     if check:
         empty, repeated = key_problems(df, id)

@@ -64,8 +64,9 @@ class SparseRelation:
         if not self.directed and self.source == self.target:
             a, b = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
         again = self.edges.groupBy(a.alias("a"), b.alias("b")).count().where("count > 1").count()
-        odd = self.edges.where(F.col("from_id").isNull() | F.col("to_id").isNull() | F.isnan(F.col("weight").cast("double"))).count() if "weight" in self.edges.columns else 0
-        return again + odd
+        w = F.col("weight").cast("double") if "weight" in self.edges.columns else F.lit(1.0)
+        odd = F.col("from_id").isNull() | F.col("to_id").isNull() | w.isNull() | F.isnan(w) | (F.abs(w) == float("inf"))
+        return again + self.edges.where(odd).count()
 
     def restricted(self, source_ids: DataFrame | None, target_ids: DataFrame | None) -> SparseRelation:
         """Edges whose ends survive."""

@@ -1,16 +1,17 @@
 """Linear maps between feature spaces.
 
-An operator is a table (target, source, w); absent entries are 0. Values map by
-a join on the source feature and a sum by target. Only entries that are not
-zero contribute; a null among them makes the target null. The operator is
-broadcast behind a count of its rows and shuffled beyond; either way only
-columns that contribute are cut out of the arrays.
+An operator is a table (target, source, w); absent entries are 0. Only entries
+that are not zero contribute; a null among them makes the target null. Arrays
+of one chunk are mapped within their row, without a shuffle, by an operator of
+at most ``ROW_ENTRIES`` entries (16 MB), which is broadcast as one row. Larger operators and
+arrays of several chunks map by a join on the source feature and a sum by
+target. With targets named, only columns that contribute are cut out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .source import ArraySource
 from .spaces import BasisSpace, ParcelSpace, Space
 
 BROADCAST_ROWS = 1_000_000
+ROW_ENTRIES = 1_000_000
 RULES = ("linear", "independent_variance")
 
 
@@ -57,8 +59,39 @@ def apply_map(cells: DataFrame, operator: DataFrame, rule: str = "linear", keys:
     return cells.join(w, feature).groupBy(*keys, "__target").agg(propagating_sum(F.col("value"), F.col("__w")).alias("value")).withColumnRenamed("__target", feature)
 
 
+def map_rows(source: ArraySource, m: FeatureMap, rule: str = "linear", columns: Sequence[int] | None = None) -> DataFrame | None:
+    """(obs_idx, values) with a value for each target, mapped within the row; None where that does not fit.
+
+    ``columns`` are the positions in the array of the map's source features, in
+    their order; without them, the array's columns are those features. A target
+    without entries is 0.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule}")
+    if source.shape[1] > source.width or m.operator.count() > ROW_ENTRIES:
+        return None
+    spark = m.operator.sparkSession
+    w = F.col("w") * F.col("w") if rule == RULES[1] else F.col("w")
+    entries = m.operator.where("w <> 0").select("target", F.col("source").alias("s"), w.alias("w"))
+    if columns is not None:
+        at = spark.createDataFrame(list(enumerate(columns, 1)), "s int, at int")
+        entries = entries.join(at, "s").select("target", F.col("at").alias("s"), "w")
+    per_target = entries.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("s", "w"))).alias("e"))
+    every = spark.range(1, m.target.n_features + 1).select(F.col("id").cast("int").alias("target")).join(per_target, "target", "left")
+    none = F.array().cast("array<struct<s:int,w:double>>")
+    ops = every.agg(F.sort_array(F.collect_list(F.struct("target", F.coalesce("e", none).alias("e")))).alias("__ops")).select(F.lit(0).alias("chunk"), "__ops")
+    value = lambda t: F.aggregate(t["e"], F.lit(0.0), lambda total, x: total + F.element_at("values", x["s"]) * x["w"])
+    return source.pieces.join(F.broadcast(ops), "chunk").select("obs_idx", F.transform("__ops", value).alias("values"))
+
+
 def mapped(source: ArraySource, m: FeatureMap, rule: str = "linear", targets: Sequence[int] | None = None) -> DataFrame:
-    """(obs_idx, feat_idx, value); with ``targets``, only columns that these need are read."""
+    """(obs_idx, feat_idx, value) of targets that have entries; with ``targets``, only columns that these need are read."""
+    if targets is None:
+        rows = map_rows(source, m, rule)
+        if rows is not None:
+            have = m.operator.where("w <> 0").select(F.col("target").cast("int").alias("feat_idx")).distinct()
+            cells = rows.select("obs_idx", F.posexplode("values").alias("p", "value")).select("obs_idx", (F.col("p") + 1).cast("int").alias("feat_idx"), "value")
+            return cells if have.count() == m.target.n_features else cells.join(F.broadcast(have), "feat_idx", "left_semi").select("obs_idx", "feat_idx", "value")
     op = m.operator if targets is None else m.operator.where(F.col("target").isin(list(targets)))
     needed = None if targets is None else [r["source"] for r in op.where("w <> 0").select("source").distinct().collect()]
     return apply_map(source.long(needed), op, rule)
@@ -70,6 +103,3 @@ def regular_parcels(cells: DataFrame, size: int, aggregation: str = "mean") -> D
     value = propagating_sum(F.col("value"))
     return cells.groupBy("obs_idx", parcel).agg((value / F.count(F.lit(1)) if aggregation == "mean" else value).alias("value"))
 
-
-def with_operator(m: FeatureMap, operator: DataFrame) -> FeatureMap:
-    return replace(m, operator=operator)

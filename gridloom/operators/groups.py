@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import ordinals
 from .axis import InvalidAxis, key_problems
 
 
@@ -47,18 +48,31 @@ def left_join_subjects(subjects: DataFrame, other: DataFrame, id: str, by: Seque
 
 
 def sample_subjects(subjects: DataFrame, n: int | Mapping[str, int], seed: int, strata: str | None = None, id: str = "subject_id", replace: bool = False) -> DataFrame:
-    """Exactly ``n`` rows, or as many of each stratum; with replacement, drawn as ranks modulo the stratum's size."""
+    """Exactly ``n`` rows, or as many of each stratum; with replacement, drawn as ranks modulo the stratum's size.
+
+    More rows than there are is an error without replacement; so is any row of none with it.
+    """
     key = F.xxhash64(F.col(id), F.lit(seed))
     group = [strata] if strata else []
-    wanted = F.lit(n) if isinstance(n, int) else F.coalesce(F.create_map(*[F.lit(x) for kv in n.items() for x in kv])[F.col(strata)], F.lit(0))
+    counts = {r[0] if strata else None: r["n"] for r in subjects.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = dict.fromkeys(counts or [None], n) if isinstance(n, int) else dict(n)
+    if short := {s: k for s, k in asked.items() if k > (counts.get(s, 0) if not replace else k * counts.get(s, 0))}:
+        raise ValueError(f"more rows are asked for than there are: {short}")
+    if not replace and not strata:
+        return subjects.orderBy(key, id).limit(int(n))
+    spark = subjects.sparkSession
+    kind = subjects.schema[strata].dataType.simpleString() if strata else "string"
+    wanted = spark.createDataFrame(list(asked.items()), f"__s {kind}, __d int")
+    if not strata:
+        ranked = subjects.join(ordinals(subjects.select(id, key.alias("__k")), ["__k", id], "__r").select(id, "__r"), id).withColumn("__s", F.lit(None).cast("string"))
+    else:
+        ranked = subjects.withColumns({"__r": F.row_number().over(Window.partitionBy(strata).orderBy(key, id)).cast("long"), "__s": F.col(strata)})
+    same = F.col("a.__s").eqNullSafe(F.col("b.__s"))
     if not replace:
-        if not strata:
-            return subjects.orderBy(key, id).limit(int(n))
-        return subjects.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(key, id))).where(F.col("__r") <= wanted).drop("__r")
-    sizes = subjects.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    draws = sizes.withColumn("__d", F.explode(F.sequence(F.lit(1), wanted))).withColumn("__r", F.pmod(F.xxhash64("__d", F.lit(seed)), F.col("__n")) + 1).drop("__n", "__d")
-    ranked = subjects.withColumn("__r", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(key, id)).cast("long"))
-    return draws.join(ranked, [*group, "__r"]).drop("__r")
+        return ranked.alias("a").join(F.broadcast(wanted).alias("b"), same & (F.col("__r") <= F.col("__d"))).select("a.*").drop("__r", "__s")
+    sizes = spark.createDataFrame(list(counts.items()), f"__s {kind}, __n long").alias("a").join(wanted.alias("b"), same).select("a.__s", "__n", "__d")
+    draws = sizes.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__d")))).select("__s", (F.pmod(F.xxhash64("__i", F.lit(seed)), F.col("__n")) + 1).alias("__r"))
+    return ranked.alias("a").join(draws.alias("b"), same & (F.col("a.__r") == F.col("b.__r"))).select("a.*").drop("__r", "__s")
 
 
 def iterate(subjects: DataFrame, order_by: str | None = None, prefetch: bool = False) -> Iterator[Row]:
@@ -91,10 +105,20 @@ def group_map(rows: DataFrame, id: str, f: Callable[[pd.DataFrame], pd.DataFrame
     return rows.groupBy(id).applyInPandas(run, schema)
 
 
-def group_reduce(mapped: DataFrame, value: str, merge: Callable[[Column, Column], Column], init: Column, order_by: str, buckets: int = 64) -> DataFrame:
-    """Fold by an associative ``merge``, in the order of ``order_by``: runs of rows are folded first, then the runs' results, of which there are ``buckets``."""
-    run = F.ntile(buckets).over(Window.orderBy(order_by))
-    part = mapped.withColumn("__run", run).groupBy("__run").agg(F.transform(F.array_sort(F.collect_list(F.struct(order_by, value))), lambda x: x[value]).alias("v"))
-    folded = part.select("__run", F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), merge).alias("v"))
-    every = folded.agg(F.transform(F.array_sort(F.collect_list(F.struct("__run", "v"))), lambda x: x["v"]).alias("v"))
-    return every.select(F.aggregate("v", init, merge).alias(value))
+def group_reduce(mapped: DataFrame, value: str, merge: Callable[[Column, Column], Column], init: Column, order_by: str, run_rows: int = 1024) -> DataFrame:
+    """Fold by an associative ``merge``, in the order of ``order_by``.
+
+    Rows are numbered by ranges; runs of ``run_rows`` neighbours are folded to
+    one, the results likewise, and so on until one run is left, so that no task
+    holds more than runs of that length.
+    """
+    rows = ordinals(mapped, [order_by], "__at", [value]).select(F.col("__at") - 1, F.col(value)).toDF("__at", "v")
+    n = mapped.count()
+    while True:
+        run = F.floor(F.col("__at") / run_rows)
+        part = rows.groupBy(run.alias("__at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "v"))), lambda x: x["v"]).alias("v"))
+        n = -(-n // run_rows)
+        if n <= 1:
+            every = part.agg(F.flatten(F.collect_list("v")).alias("v"))
+            return every.select(F.aggregate("v", init, merge).alias(value))
+        rows = part.select("__at", F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), merge).alias("v"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import in_ranges
 from .spaces import VolumeSpace, within_sphere
 
 
@@ -41,14 +42,13 @@ def block_ids(points: DataFrame, run: str, within: str) -> DataFrame:
 
 
 def temporal_info(runs: DataFrame, asked: DataFrame | None = None, order: Sequence[str] = ("subject_id", "run_id")) -> DataFrame:
-    """(index, subject_id, run_id, timepoint) of global time indices: a range join with the runs' cumulative lengths. Without ``asked``, every index of every run, without a join."""
+    """(index, subject_id, run_id, timepoint) of global time indices: they meet the runs' cumulative lengths by equal parts (see in_ranges). Without ``asked``, every index of every run, without a join."""
     end = F.sum("length").over(Window.orderBy(*order))
     spans = runs.withColumn("end", end).withColumn("before", F.col("end") - F.col("length"))
     if asked is None:
         every = spans.where("length > 0").select("before", *order, F.explode(F.sequence(F.lit(1).cast("long"), F.col("length").cast("long"))).alias("timepoint"))
         return every.select((F.col("before") + F.col("timepoint")).alias("index"), *order, "timepoint")
-    hit = (F.col("index") > F.col("before")) & (F.col("index") <= F.col("end"))
-    return asked.join(spans, hit).select("index", *order, (F.col("index") - F.col("before")).alias("timepoint"))
+    return in_ranges(asked, "index", spans, "before", "end").select("index", *order, (F.col("index") - F.col("before")).alias("timepoint"))
 
 
 def select_voxels(space: VolumeSpace, features: DataFrame, where: Column) -> DataFrame:

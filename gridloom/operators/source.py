@@ -8,15 +8,19 @@ keeps the order and the duplicates of what was asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DTYPES, canonical_digest
+from ..functions.ranges import in_ranges
+from ..functions.scalar import DTYPES, canonical_digest, dtype_bytes
 
 WIDTH = 4096
+BROADCAST_POSITIONS = 100_000
 CAPABILITIES = frozenset({"block_slice", "serializable"})
 
 
@@ -29,6 +33,7 @@ class ArraySource:
     capabilities: frozenset[str] = CAPABILITIES
     fingerprint: str = ""
     shards: DataFrame | None = field(default=None, compare=False)  # shard_id, start, end, n_observation, ...
+    parts: tuple[tuple[int, int, DataFrame], ...] = field(default=(), compare=False)  # first and last row, and pieces, of each shard
 
     def descriptor(self) -> dict[str, object]:
         return {"shape": list(self.shape), "dtype": self.dtype, "chunks": [1, min(self.width, max(1, self.shape[1]))], "capabilities": sorted(self.capabilities), "fingerprint": self.fingerprint}
@@ -39,41 +44,56 @@ class ArraySource:
             raise ValueError(f"invalid source {self.descriptor()}")
         return self
 
-    def long(self, features: Sequence[int] | None = None) -> DataFrame:
-        """(obs_idx, feat_idx, value); asked features are cut out of the arrays before any cell is made."""
+    def holding(self, rows: Sequence[int]) -> ArraySource:
+        """The same array without the shards that hold none of ``rows``: their branches leave the plan, and nothing of them is read."""
+        if not self.parts:
+            return self
+        wanted = sorted(set(rows))
+        at = lambda i: bisect_left(wanted, i)
+        kept = tuple(p for p in self.parts if at(p[0]) < at(p[1] + 1))
+        pieces = None
+        for _, _, own in kept:
+            pieces = own if pieces is None else pieces.unionByName(own)
+        return replace(self, pieces=self.pieces.where(F.lit(False)) if pieces is None else pieces, parts=kept)
+
+    def long(self, features: Sequence[int] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+        """(obs_idx, feat_idx, value) and columns of the pieces to carry; asked features are cut out of the arrays before any cell is made."""
         if features is None:
-            cells = self.pieces.select("obs_idx", "chunk", F.posexplode("values").alias("p", "value"))
-            return cells.select("obs_idx", (F.col("chunk") * self.width + F.col("p") + 1).cast("int").alias("feat_idx"), "value")
+            cells = self.pieces.select("obs_idx", *carry, "chunk", F.posexplode("values").alias("p", "value"))
+            return cells.select("obs_idx", *carry, (F.col("chunk") * self.width + F.col("p") + 1).cast("int").alias("feat_idx"), "value")
         wanted = sorted(set(features))
         chunks = sorted({(f - 1) // self.width for f in wanted})
         pick = F.array(*[F.struct(F.lit(f).alias("feat_idx"), ((f - 1) // self.width == F.col("chunk")).alias("here"), F.try_element_at("values", F.lit((f - 1) % self.width + 1)).alias("value")) for f in wanted])
         if not wanted:
-            return self.long().where(F.lit(False))
-        return self.pieces.where(F.col("chunk").isin(chunks)).select("obs_idx", F.explode(pick).alias("x")).where("x.here").select("obs_idx", "x.feat_idx", "x.value")
+            return self.long(carry=carry).where(F.lit(False))
+        return self.pieces.where(F.col("chunk").isin(chunks)).select("obs_idx", *carry, F.explode(pick).alias("x")).where("x.here").select("obs_idx", *carry, "x.feat_idx", "x.value")
 
     def view(self, observations: Sequence[int] | None = None, features: Sequence[int] | None = None) -> ArraySource:
         """Composed lazily: a view of a view is one join on each axis."""
-        spark, pieces, (n, m) = self.pieces.sparkSession, self.pieces, self.shape
-        if observations is not None:
-            asked = _positions(spark, checked(observations, n), "obs_idx")
-            pieces = pieces.join(F.broadcast(asked), "obs_idx").select(F.col("pos").alias("obs_idx"), "chunk", "values")
-            n = len(observations)
+        spark, (n, m) = self.pieces.sparkSession, self.shape
+        rows = None if observations is None else checked(observations, n)
+        pieces = (self if rows is None else self.holding(rows)).pieces
+        if rows is not None:
+            pieces = pieces.join(_positions(spark, rows, "obs_idx"), "obs_idx").select(F.col("pos").alias("obs_idx"), "chunk", "values")
+            n = len(rows)
         if features is not None:
             asked = checked(features, m)
             whole = pieces.groupBy("obs_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "values"))), lambda x: x["values"])).alias("v"))
             pieces = whole.select("obs_idx", F.lit(0).alias("chunk"), F.array(*[F.element_at("v", f) for f in asked]).cast("array<double>").alias("values"))
             m = len(asked)
         gone = set() if features is None else {"native_read"}
-        return replace(self, pieces=pieces, shape=(n, m), width=self.width if features is None else max(1, m), capabilities=self.capabilities - gone, shards=None, fingerprint=canonical_digest([self.fingerprint, list(observations or []), list(features or [])]))
+        return replace(self, pieces=pieces, shape=(n, m), width=self.width if features is None else max(1, m), capabilities=self.capabilities - gone, shards=None, parts=(), fingerprint=canonical_digest([self.fingerprint, list(observations or []), list(features or [])]))
 
     def read(self, observations: Sequence[int] | None = None, features: Sequence[int] | None = None) -> DataFrame:
         """(obs_pos, feat_pos, obs_idx, feat_idx, value), positions in the order asked for, duplicates kept."""
         spark = self.pieces.sparkSession
-        cells = self.long(None if features is None else checked(features, self.shape[1]))
-        rows = _positions(spark, checked(observations, self.shape[0]), "obs_idx", "obs_pos") if observations is not None else None
+        asked = None if observations is None else checked(observations, self.shape[0])
+        held = self if asked is None else self.holding(asked)
+        cells = held.long(None if features is None else checked(features, self.shape[1]))
+        rows = None if asked is None else _positions(spark, asked, "obs_idx", "obs_pos")
         cols = _positions(spark, checked(features, self.shape[1]), "feat_idx", "feat_pos") if features is not None else None
-        cells = cells.join(F.broadcast(rows), "obs_idx") if rows is not None else cells.withColumn("obs_pos", F.col("obs_idx"))
-        cells = cells.join(F.broadcast(cols), "feat_idx") if cols is not None else cells.withColumn("feat_pos", F.col("feat_idx").cast("long"))
+        cells = cells.join(rows, "obs_idx") if rows is not None else cells.withColumn("obs_pos", F.col("obs_idx"))
+        cells = cells.join(cols, "feat_idx") if cols is not None else cells.withColumn("feat_pos", F.col("feat_idx").cast("long"))
         return cells.select("obs_pos", "feat_pos", "obs_idx", "feat_idx", "value")
 
 
@@ -90,7 +110,9 @@ def checked(index: Sequence[int] | Sequence[bool], n: int) -> list[int]:
 
 
 def _positions(spark: SparkSession, index: Sequence[int], name: str, pos: str = "pos") -> DataFrame:
-    return spark.createDataFrame([(int(i), p) for p, i in enumerate(index, 1)], f"{name} long, {pos} long")
+    """A table of positions that the caller holds, to be broadcast up to ``BROADCAST_POSITIONS`` of them."""
+    df = spark.createDataFrame([(int(i), p) for p, i in enumerate(index, 1)], f"{name} long, {pos} long")
+    return F.broadcast(df) if len(index) <= BROADCAST_POSITIONS else df
 
 
 def from_arrays(df: DataFrame, obs_idx: Column | str, values: Column | str, shape: tuple[int, int], name: str, dtype: str = "float64", width: int = WIDTH) -> ArraySource:
@@ -117,7 +139,7 @@ def memory_source(spark: SparkSession, rows: Sequence[Sequence[float | None]], d
 
 
 def row_sharded(sources: Sequence[ArraySource], shard_ids: Sequence[str] | None = None, shard_data: dict[str, Sequence[object]] | None = None) -> ArraySource:
-    """Sources one below the other; each shard stays a branch of the plan, and a read of a few rows prunes the others by its number range."""
+    """Sources one below the other; each shard stays a branch of the plan, and a read of rows leaves out the branches that hold none of them."""
     if not sources:
         raise ValueError("no sources")
     ids = list(shard_ids or (f"shard-{i}" for i in range(1, len(sources) + 1)))
@@ -128,16 +150,17 @@ def row_sharded(sources: Sequence[ArraySource], shard_ids: Sequence[str] | None
         raise ValueError("shards must agree in features, element type and chunk width")
     if any(s.shape[0] == 0 for s in sources):
         raise ValueError("a shard has no rows")
-    rows, start, pieces = [], 1, None
+    rows, start, pieces, parts = [], 1, None, []
     for k, (s, i) in enumerate(zip(sources, ids, strict=True)):
         end = start + s.shape[0] - 1
         own = s.pieces.select((F.col("obs_idx") + (start - 1)).alias("obs_idx"), "chunk", "values")
         pieces = own if pieces is None else pieces.unionByName(own)
+        parts.append((start, end, own))
         rows.append((i, start, end, s.shape[0], s.fingerprint, *[v[k] for v in (shard_data or {}).values()]))
         start = end + 1
     names = ["shard_id", "start", "end", "n_observation", "source_fingerprint", *(shard_data or {})]
     manifest = first.pieces.sparkSession.createDataFrame(rows, names)
-    return ArraySource(pieces, (start - 1, first.shape[1]), "float64", first.width, fingerprint=canonical_digest([ids, [s.fingerprint for s in sources]]), shards=manifest)
+    return ArraySource(pieces, (start - 1, first.shape[1]), first.dtype, first.width, fingerprint=canonical_digest([ids, [s.fingerprint for s in sources]]), shards=manifest, parts=tuple(parts))
 
 
 def append_shards(x: ArraySource, sources: Sequence[ArraySource], shard_ids: Sequence[str]) -> ArraySource:
@@ -153,7 +176,7 @@ def append_shards(x: ArraySource, sources: Sequence[ArraySource], shard_ids: Seq
     n = x.shape[0]
     shifted = more.shards.withColumns({"start": F.col("start") + n, "end": F.col("end") + n})
     pieces = x.pieces.unionByName(more.pieces.withColumn("obs_idx", F.col("obs_idx") + n))
-    return replace(x, pieces=pieces, shape=(n + more.shape[0], x.shape[1]), shards=x.shards.unionByName(shifted), fingerprint=canonical_digest([x.fingerprint, more.fingerprint]))
+    return replace(x, pieces=pieces, shape=(n + more.shape[0], x.shape[1]), shards=x.shards.unionByName(shifted), parts=(*x.parts, *((a + n, z + n, own.withColumn("obs_idx", F.col("obs_idx") + n)) for a, z, own in more.parts)), fingerprint=canonical_digest([x.fingerprint, more.fingerprint]))
 
 
 def manifest_of(df: DataFrame, shard: str, order: Sequence[str] = ()) -> DataFrame:
@@ -167,5 +190,58 @@ def manifest_of(df: DataFrame, shard: str, order: Sequence[str] = ()) -> DataFra
 
 def locate_rows(manifest: DataFrame, asked: DataFrame, row: str = "obs_idx") -> DataFrame:
     """Shard and local row of each global row asked for, duplicates kept. The manifest has a row a shard."""
-    inside = (F.col(row) >= F.col("start")) & (F.col(row) <= F.col("end"))
-    return asked.join(manifest, inside).withColumn("local", F.col(row) - F.col("start") + 1)
+    found = in_ranges(asked, row, manifest.withColumn("__before", F.col("start") - 1), "__before", "end").drop("__before")
+    return found.withColumn("local", F.col(row) - F.col("start") + 1)
+
+
+def as_source(spark: SparkSession, x: object, **options) -> ArraySource:
+    """A source of whatever holds an array: a source, a matrix that the caller holds, or a table (obs_idx, values)."""
+    if isinstance(x, ArraySource):
+        return x.validate()
+    if isinstance(x, DataFrame):
+        n = x.agg(F.max("obs_idx").alias("n"), F.max(F.size("values")).alias("m")).first()
+        return from_arrays(x, "obs_idx", "values", (int(n["n"] or 0), int(n["m"] or 0)), options.pop("name", "table"), **options)
+    return memory_source(spark, [list(r) for r in x], **options)
+
+
+class Counts:
+    """What a counted source has read, added up by the tasks that read it: rows, values and bytes; tasks that are repeated count again."""
+
+    def __init__(self, spark: SparkSession, dtype: str) -> None:
+        self._spark, self._bytes = spark, dtype_bytes(dtype)
+        self.reset()
+
+    def reset(self) -> None:
+        self._rows, self._values = (self._spark.sparkContext.accumulator(0) for _ in range(2))
+
+    @property
+    def rows(self) -> int:
+        return self._rows.value
+
+    @property
+    def values(self) -> int:
+        return self._values.value
+
+    @property
+    def bytes(self) -> int:
+        return self.values * self._bytes
+
+
+def counting(source: ArraySource) -> tuple[ArraySource, Counts]:
+    """``source`` with counts of what is read of it, to show that a plan reads nothing or leaves shards out."""
+    counts = Counts(source.pieces.sparkSession, source.dtype)
+    rows, values = counts._rows, counts._values
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows.add(b.num_rows)
+            values.add(len(b.column("values").flatten()))
+            yield b
+
+    return replace(source, pieces=source.pieces.mapInArrow(through, source.pieces.schema)), counts
+
+
+def faulty(source: ArraySource, message: str = "injected failure") -> ArraySource:
+    """``source`` whose every read fails in the task; its descriptor can be asked as before."""
+    fail = F.raise_error(F.lit(message)).cast("array<double>")
+    return replace(source, pieces=source.pieces.withColumn("values", F.when(F.col("obs_idx").isNotNull(), fail).otherwise(F.col("values"))))

@@ -59,21 +59,38 @@ def from_flags(spark: SparkSession, flags: Mapping[str, Sequence[bool]], entity:
     for e, f in flags.items():
         bits = pack_bits(f)
         if bits not in ids:
-            ids[bits] = f"mask-{canonical_digest([bits.hex(), len(f)])[:16]}"
+            ids[bits] = f"mask-{canonical_digest([bits.hex(), len(f)])}"
             masks += [(ids[bits], i, bool(v)) for i, v in enumerate(f, 1)]
         assigned.append((e, ids[bits]))
     return Validity(spark.createDataFrame(masks, "mask_id string, feat_idx int, valid boolean"), spark.createDataFrame(assigned, "entity_id string, mask_id string"), entity)
 
 
 def from_long(df: DataFrame, entity: str = "entity") -> Validity:
-    """From (entity_id, feat_idx, valid): one array of flags an entity, deduplicated by digest and bytes."""
+    """From (entity_id, feat_idx, valid): one array of flags an entity, deduplicated by the whole SHA-256 of the flags."""
     per = df.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("feat_idx", "valid"))).alias("f"))
     pattern = F.concat_ws("", F.transform("f", lambda x: x["valid"].cast("int").cast("string")))
-    known = per.select("entity_id", "f", F.concat(F.lit("mask-"), F.substring(F.sha2(pattern, 256), 1, 16)).alias("mask_id"))
+    known = per.select("entity_id", "f", F.concat(F.lit("mask-"), F.sha2(pattern, 256)).alias("mask_id"))
     masks = known.dropDuplicates(["mask_id"]).select("mask_id", F.explode("f").alias("x")).select("mask_id", "x.feat_idx", "x.valid")
     return Validity(masks, known.select("entity_id", "mask_id"), entity)
 
 
-def combined(df: DataFrame) -> DataFrame:
-    """(feat_idx, valid): valid for all."""
-    return df.groupBy("feat_idx").agg(F.bool_and("valid").alias("valid"))
+def combined(df: DataFrame, strict: str | None = None, reference: str | None = None, least_overlap: float = 0.95) -> DataFrame:
+    """(feat_idx, valid): valid for all, of (entity_id, feat_idx, valid).
+
+    ``strict`` "identical" needs masks equal to the reference's, "intersect"
+    that each shares at least ``least_overlap`` of all features with it, valid
+    in both; else the task that compares them raises an error. The reference is
+    the smallest entity unless named.
+    """
+    if strict not in (None, "identical", "intersect"):
+        raise ValueError("strict is identical or intersect")
+    both = df.groupBy("feat_idx").agg(F.bool_and("valid").alias("valid"))
+    if strict is None:
+        return both
+    first = F.lit(reference) if reference is not None else F.lit(df.agg(F.min("entity_id")).first()[0])
+    ref = df.where(F.col("entity_id") == first).select("feat_idx", F.col("valid").alias("__ref"))
+    share = F.avg((F.col("valid") & F.col("__ref")).cast("double")) if strict == "intersect" else F.avg((F.col("valid") == F.col("__ref")).cast("double"))
+    least = df.join(ref, "feat_idx").groupBy("entity_id").agg(share.alias("s")).agg(F.min("s").alias("s"))
+    bad = F.coalesce(F.col("s"), F.lit(1.0)) < (least_overlap if strict == "intersect" else 1.0)
+    told = least.select(F.when(bad, F.raise_error(F.lit("masks differ" if strict == "identical" else "masks overlap too little"))).otherwise(F.lit(True)).alias("__ok"))
+    return both.withColumn("__ok", F.lit(True)).join(F.broadcast(told), "__ok").select("feat_idx", "valid")

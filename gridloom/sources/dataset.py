@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.source import ArraySource, row_sharded
-from ..operators.validity import combined
 
 
 @dataclass(frozen=True)
@@ -74,11 +73,6 @@ def subject_of(whole: Dataset, spans: DataFrame, subject: str, run_lengths: Sequ
     return Dataset(replace(whole.source, pieces=own, shape=(n, whole.source.shape[1]), shards=None), tuple(run_lengths), whole.tr, events, None, censor)
 
 
-def common_mask(masks: DataFrame) -> DataFrame:
-    """Voxels valid for all subjects; arrays are then joined by voxel, so that columns cannot slip."""
-    return combined(masks)
-
-
 def read_config(text: str, required: Sequence[str] = ("scans", "TR", "run_length")) -> dict[str, object]:
     """A JSON configuration; missing fields are an error."""
     config = json.loads(text)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import source
+from gridloom.operators import source, validity
 from gridloom.plans.provenance import Graph, Record
 from gridloom.sources import archive, dataset
 
@@ -53,7 +53,7 @@ def test_datasets_stack_and_split(spark):
         with pytest.raises(ValueError):
             dataset.Dataset(**{"source": one.source, "run_lengths": (3, 1), "tr": 2.0, **bad})
     masks = spark.createDataFrame([(1, True), (1, False), (2, True), (2, True)], "feat_idx int, valid boolean")
-    assert dataset.common_mask(masks).where("valid").count() == 1
+    assert validity.combined(masks).where("valid").count() == 1
     assert dataset.read_config('{"scans": [], "TR": 2, "run_length": [1]}')["TR"] == 2
     with pytest.raises(ValueError):
         dataset.read_config("{}")

@@ -118,8 +118,94 @@ def test_edges_follow_views_and_binding_checks_identifiers(spark):
     assert twice.problems() == 2
     with pytest.raises(axes.InvalidAxis):
         bind_observations([f, f])
-    other = Frame(f.assays, axes.Axis(f.observations.table.withColumn("obs_id", F.concat(F.lit("b-"), "obs_id")), "obs_id"), f.features, f.space, f.entities, {})
-    assert bind_observations([f, other]).collect().shape == (14, 6)
+    renamed = axes.Axis(f.observations.table.withColumn("obs_id", F.concat(F.lit("b-"), "obs_id")), "obs_id")
+    theirs = edges.select(F.concat(F.lit("b-"), "from_id").alias("from_id"), F.concat(F.lit("b-"), "to_id").alias("to_id"), "weight")
+    other = Frame(f.assays, renamed, f.features, f.space, f.entities, {"near": SparseRelation(theirs, "observation", "observation", False)})
+    both = bind_observations([f, other])
+    assert both.collect().shape == (14, 6) and both.relations["near"].edges.count() == 4
+    for bad in ({}, {"near": SparseRelation(theirs, "observation", "observation", True)}):
+        with pytest.raises(axes.InvalidAxis):
+            bind_observations([f, Frame(f.assays, renamed, f.features, f.space, f.entities, bad)])
+
+
+def test_binding_keeps_blocks_and_what_views_select(spark):
+    def frame(prefix, shift):
+        f = small_frame(spark)
+        table = f.observations.table.withColumn("obs_id", F.concat(F.lit(prefix), "obs_id"))
+        wide = table.select("obs_id", (F.col("idx") + shift).alias("x"), (F.col("idx") * 2).alias("y"))
+        return Frame(f.assays, axes.Axis(table, "obs_id", {"motion": axes.block(wide, "obs_id", ["x", "y"])}), f.features, f.space, f.entities, f.relations)
+
+    a, b = frame("a-", 0), frame("b-", 100)
+    both = bind_observations([a, b])
+    assert both.observations.blocks["motion"].cells.count() == 28
+    x = by_columns(7, 6) / 10
+    view = bind_observations([a.take([5, 2], [4, 1]), b.filter_obs(F.col("idx") > 5).take(None, [4, 1])])
+    got = view.collect()
+    assert got.index.tolist() == ["a-obs-5", "a-obs-2", "b-obs-6", "b-obs-7"] and got.columns.tolist() == ["voxel-4", "voxel-1"]
+    assert np.allclose(got.to_numpy(), x[[4, 1, 5, 6]][:, [3, 0]])
+    assert view.observations.blocks["motion"].cells.count() == 8
+    other = Frame(b.assays, b.observations, b.features, b.space, {"stimulus": Entity("stimulus", b.entities["stimulus"].table.withColumn("category", F.lit("z")), "stimulus_id")}, b.relations)
+    with pytest.raises(axes.InvalidAxis):
+        bind_observations([a, other])
+
+
+def test_selectors_by_position_sign_and_flag(spark):
+    f = small_frame(spark)
+    ids = lambda v: [r["obs_id"] for r in v.observations.table.orderBy("pos" if "pos" in v.observations.table.columns else "idx").collect()]
+    assert ids(f.take([6, 1])) == ["obs-6", "obs-1"] and ids(f.take([6, 1, 3]).take([3, 1])) == ["obs-3", "obs-6"]
+    assert ids(f.take([-1, -2, -7])) == ["obs-3", "obs-4", "obs-5", "obs-6"]
+    assert ids(f.take([True, False] * 3 + [True])) == ["obs-1", "obs-3", "obs-5", "obs-7"]
+    assert ids(f.filter_obs(F.col("idx") > 2).take([0, 1, 2])) == ["obs-3", "obs-4"]
+    v = f.take(None, [-1, -3])
+    assert v.feature_ids() == ["voxel-2", "voxel-4", "voxel-5", "voxel-6"] and v.space.support == (2, 4, 5, 6)
+    for bad in ([1, -1], [8], [1, 1], [1.5], [True], [None]):
+        with pytest.raises(axes.InvalidAxis):
+            f.take(bad)
+        with pytest.raises(axes.InvalidAxis):
+            f.take(None, bad)
+
+
+def test_maps_see_the_view_alone(spark):
+    f = small_frame(spark)
+    v = f.take([7, 2], [6, 2, 4])
+    p = spaces.ParcelSpace(v.space, ("a", "b"), ((1, 1, 1.0), (1, 3, 1.0), (2, 2, 1.0)), "toy")
+    x = by_columns(7, 6) / 10
+    got = v.map_features(fm.map_to(p, spark)).collect()
+    assert got.index.tolist() == ["obs-7", "obs-2"]
+    assert np.allclose(got.to_numpy(), [[(x[i, 5] + x[i, 3]) / 2, x[i, 1]] for i in (6, 1)])
+    with pytest.raises(spaces.IncompatibleSpaces):
+        v.map_features(fm.map_to(spaces.ParcelSpace(f.space, ("a",), tuple((1, i, 1.0) for i in range(1, 7)), "toy"), spark))
+    # arrays of several chunks map by a join, with the same result
+    wide = Frame({"beta": Assay(source.memory_source(spark, x, width=4))}, f.observations, f.features, f.space, f.entities, f.relations).take([7, 2], [6, 2, 4])
+    assert np.allclose(wide.map_features(fm.map_to(p, spark)).collect().to_numpy(), got.to_numpy())
+    holes = Frame({"beta": Assay(source.memory_source(spark, [[1.0, None, 3.0, 4.0, 5.0, 6.0]]))}, f.take(["obs-1"]).observations, f.features, f.space, f.entities, f.relations).take(None, [6, 2, 4])
+    assert holes.map_features(fm.map_to(p, spark)).collect().iloc[0].isna().tolist() == [False, True]
+
+
+def test_reads_leave_out_shards_that_hold_no_row_asked_for(spark):
+    counted = [source.counting(source.memory_source(spark, by_columns(n, 4, s))) for n, s in ((3, 1), (2, 21), (3, 41))]
+    src, counts = source.row_sharded([c[0] for c in counted]), [c[1] for c in counted]
+    assert src.descriptor()["shape"] == [8, 4] and [c.rows for c in counts] == [0, 0, 0]
+    assert matrix(src.read([8, 1], [1, 4]), 2, 2).tolist() == [[43, 52], [1, 10]]
+    assert counts[1].rows == counts[1].values == 0 and counts[0].rows and counts[2].rows
+    for c in counts:
+        c.reset()
+    counted, fresh = zip(*[source.counting(source.memory_source(spark, by_columns(2, 3, s))) for s in (1, 11)], strict=True)
+    view = source.row_sharded(list(counted)).view([4], [2])
+    assert fresh[0].rows == fresh[1].rows == 0
+    assert matrix(view.read(), 1, 1).tolist() == [[14]] and fresh[0].rows == 0 and fresh[1].rows == 2 and fresh[1].bytes == 2 * 3 * 8
+    more = source.append_shards(source.row_sharded([counted[0]], ["a"]), [source.faulty(counted[1])], ["b"])
+    assert matrix(more.read([1], [1]), 1, 1).tolist() == [[1]]
+    with pytest.raises(PySparkException, match="injected"):
+        more.read([3], [1]).collect()
+
+
+def test_sources_of_whatever_holds_an_array(spark):
+    x = by_columns(3, 2)
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist(), 1)], "obs_idx long, values array<double>")
+    for held in (x, table, source.memory_source(spark, x)):
+        s = source.as_source(spark, held)
+        assert s.shape == (3, 2) and matrix(s.read(), 3, 2).tolist() == x.tolist()
 
 
 def test_frame_store_round_trip(spark, tmp_path):
@@ -147,7 +233,7 @@ def test_maps_of_the_fixture(spark):
     holes = source.memory_source(spark, [[1.0, None, 3.0, 4.0]])
     assert [r["value"] for r in fm.mapped(holes, m).orderBy("feat_idx").collect()] == [None, 3.0, 3.0]
     with pytest.raises(ValueError):
-        fm.with_operator(m, spark.createDataFrame([(9, 1, 1.0)], spaces.OPERATOR)).validate()
+        fm.FeatureMap(m.source, m.target, spark.createDataFrame([(9, 1, 1.0)], spaces.OPERATOR)).validate()
 
 
 def test_frame_maps_and_grows_provenance(spark):
