@@ -107,7 +107,27 @@ def paths(entities: Mapping[str, Entity], relations: Sequence[KeyRelation]) -> l
 
 def conflicts(resolved: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose two paths lead to different rows of one entity."""
-    return resolved.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    return resolved.where(x.isNotNull() & y.isNotNull() & (x != y))
+
+
+def path_keys(observations: DataFrame, entities: Mapping[str, Entity], relations: Sequence[KeyRelation], target: str) -> DataFrame:
+    """Observations with the key of ``target`` by every path of relations that leads to it, as columns named by the path (supplier/nation)."""
+    every = [r.resolved(entities) for r in relations]
+
+    def onward(source: str, gone: tuple[str, ...]) -> list[list[KeyRelation]]:
+        steps = [r for r in every if r.source == source and r.target not in gone]
+        return [[r, *rest] for r in steps for rest in ([[]] if r.target == target else onward(r.target, (*gone, r.target)))]
+
+    out = observations
+    for path in onward("observation", ("observation",)):
+        name = "/".join(r.target for r in path)
+        out = out.withColumn(name, F.col(path[0].key))
+        for r in path[1:]:
+            e = entities[r.source]
+            link = e.table.select(F.col(e.key).alias("__from"), F.col(r.key).alias("__to"))
+            out = out.join(link, F.col(f"`{name}`") == F.col("__from"), "left").withColumn(name, F.col("__to")).drop("__from", "__to")
+    return out
 
 
 def entity_ids(observations: DataFrame, id: str, entities: Mapping[str, Entity], relations: Sequence[KeyRelation], check: bool = True) -> DataFrame:

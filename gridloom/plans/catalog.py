@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import ordinals
+from ..functions.storage import shared_dir
 from ..operators import axis as axes
 from ..operators import entities as ent
 from ..operators import feature_map as fm
 from ..operators import groups, series, source, spaces, validity
-from ..sources import bids
+from ..sources import archive, bids, store
 from ..streaming import chunks
-from . import blocks, study
-from .frame import Assay, Frame, bind_observations
+from . import blocks, spatial, study
+from .frame import Assay, Frame, bind_frames, bind_observations
 
 GRID = spaces.VolumeSpace((4, 4, 4), template="grid")
 PARCELS = spaces.ParcelSpace(GRID, tuple(f"p{i}" for i in range(1, 9)), tuple(((f - 1) // 8 + 1, f, 1.0) for f in range(1, 65)), "toy")
@@ -102,17 +105,16 @@ def locate_rows(spark, sf_dir):
     return source.locate_rows(manifest, asked).select("obs_idx", "shard_id", "local")
 
 
-@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, feat_idx, value FROM ({CELLS}) WHERE feat_idx <= 4")
+@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, feat_idx, value FROM ({CELLS})")
 def bind_observations_halves(spark, sf_dir):
     n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 2
     both = bind_observations([_vectors(spark, sf_dir, f"vec_id < {n}"), _vectors(spark, sf_dir, f"vec_id >= {n}", n)])
-    return both.select_features(F.col("feat_idx") <= 4).cells().select("obs_id", "feat_idx", "value")
+    return both.cells().select("obs_id", "feat_idx", "value")
 
 
 @query("SELECT doc_id, lang, NULL::INT AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
 def bind_missing_cols(spark, sf_dir):
-    a = _table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return a.unionByName(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int")), allowMissingColumns=True)
+    return bind_frames([_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int"))])
 
 
 @query("SELECT 64::INT AS n_features, count(*)::BIGINT AS n_observations, 'float64' AS dtype FROM embeddings")
@@ -133,6 +135,74 @@ def axis_id_checks(spark, sf_dir):
     return spark.createDataFrame(found, "name string, empty long, repeated long")
 
 
+@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, 'toy:p' || ((feat_idx - 1) // 8 + 1) AS feature_id, round(avg(value), 6) AS value FROM ({CELLS}) WHERE label = 3 AND feat_idx <= 32 GROUP BY ALL")
+def map_view(spark, sf_dir):
+    view = _vectors(spark, sf_dir).filter_obs(F.col("label") == 3).select_features(F.col("feat_idx") <= 32)
+    target = spaces.ParcelSpace(view.space, tuple(f"p{i}" for i in range(1, 5)), tuple(((f - 1) // 8 + 1, f, 1.0) for f in range(1, 33)), "toy")
+    return view.map_features(fm.map_to(target, spark)).cells().select("obs_id", "feature_id", F.round("value", DIGITS).alias("value"))
+
+
+def _linked(spark, sf_dir, where, shift=0):
+    """A frame whose neighbouring vectors are linked, with a block of its labels."""
+    f = _vectors(spark, sf_dir, where, shift)
+    ids = f.observations.table.select(F.col("obs_id").cast("long").alias("v"), "label")
+    pairs = ids.select("v", (F.col("v") + 1).alias("w")).join(ids.select(F.col("v").alias("w")), "w", "left_semi")
+    edges = ent.SparseRelation(pairs.select(F.col("v").cast("string").alias("from_id"), F.col("w").cast("string").alias("to_id"), (F.col("v") / 2).alias("weight")), "observation", "observation")
+    block = axes.block(ids.select(F.col("v").cast("string").alias("obs_id"), "label"), "obs_id", ["label"])
+    return replace(f, observations=replace(f.observations, blocks={"labels": block}), relations={"next": edges})
+
+
+def _halves(spark, sf_dir):
+    n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 2
+    return bind_observations([_linked(spark, sf_dir, f"vec_id < {n}"), _linked(spark, sf_dir, f"vec_id >= {n}", n)])
+
+
+@query("WITH n AS (SELECT max(vec_id) // 2 AS n FROM embeddings) SELECT vec_id::VARCHAR AS from_id, (vec_id + 1)::VARCHAR AS to_id, vec_id / 2 AS weight FROM embeddings, n WHERE vec_id + 1 <> n AND vec_id + 1 IN (SELECT vec_id FROM embeddings)")
+def bind_edges(spark, sf_dir):
+    return _halves(spark, sf_dir).relations["next"].edges
+
+
+@query("SELECT vec_id::VARCHAR AS id, 'label' AS component_id, label::DOUBLE AS value FROM embeddings")
+def bind_blocks(spark, sf_dir):
+    return _halves(spark, sf_dir).observations.blocks["labels"].cells
+
+
+@query(f"WITH e AS (SELECT vec_id::VARCHAR AS obs_id, vec_id / 2 AS weight FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)) SELECT c.obs_id, feature_id, value, weight, label FROM (SELECT (obs_idx - 1)::VARCHAR AS obs_id, 'voxel-' || feat_idx AS feature_id, value, label::DOUBLE AS label FROM ({CELLS})) c LEFT JOIN e USING (obs_id)")
+def store_round_trip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/gridloom-frame-{uuid.uuid4().hex}"
+    store.write_frame(_linked(spark, sf_dir, "true"), path)
+    f = store.open_frame(spark, path, GRID)
+    edges = f.relations["next"].edges.select(F.col("from_id").alias("obs_id"), "weight")
+    label = f.observations.blocks["labels"].cells.select(F.col("id").alias("obs_id"), F.col("value").alias("label"))
+    return f.cells().select("obs_id", "feature_id", "value").join(edges, "obs_id", "left").join(label, "obs_id")
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT p::BIGINT AS obs_pos, f::BIGINT AS feat_pos, value FROM ({CELLS}), n, (VALUES (1, 0), (2, 1)) o(p, first), (VALUES (1, 64), (2, 3)) g(f, fi) WHERE feat_idx = fi AND obs_idx = CASE WHEN first = 1 THEN 1 ELSE n END")
+def sharded_read(spark, sf_dir):
+    n = _table(spark, sf_dir, "embeddings").count()
+    cuts = [0, n // 3, 2 * n // 3, n]
+    shards = [_vectors(spark, sf_dir, f"vec_id >= {a} AND vec_id < {z}", a).assays["value"].source for a, z in zip(cuts, cuts[1:], strict=False)]
+    return source.row_sharded(shards).read([n, 1], [64, 3]).select("obs_pos", "feat_pos", "value")
+
+
+@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, '' AS part, feat_idx::BIGINT AS place, CASE WHEN feat_idx % 2 = 0 THEN value END AS value FROM ({CELLS})")
+def spatial_maps(spark, sf_dir):
+    return spatial.spatial_maps(_vectors(spark, sf_dir).select_features(F.col("feat_idx") % 2 == 0), budget=None)
+
+
+@query(f"WITH p AS (SELECT (obs_idx - 1)::VARCHAR AS obs_id, (feat_idx - 1) // 8 AS p, avg(value) AS v FROM ({CELLS}) GROUP BY ALL) SELECT obs_id, round(sum(8 * v), 5) AS total, 64::BIGINT AS places FROM p GROUP BY 1")
+def execute_spatial(spark, sf_dir):
+    means = _vectors(spark, sf_dir).map_features(fm.map_to(PARCELS, spark))
+    run = lambda pdf: pd.DataFrame({"obs_id": [pdf["obs_id"].iloc[0]], "total": [round(float(pdf["value"].sum()), 5)], "places": [len(pdf)]})
+    return spatial.execute_spatial(means, run, "obs_id string, total double, places long")
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT (obs_idx - 1)::VARCHAR AS obs_id, feat_idx, value FROM ({CELLS}), n WHERE obs_idx > 2 AND obs_idx < n AND feat_idx NOT IN (1, 64)")
+def negative_positions(spark, sf_dir):
+    n = _table(spark, sf_dir, "embeddings").count()
+    return _vectors(spark, sf_dir).take([-1, -2, -n], [-1, -64]).cells().select("obs_id", "feat_idx", "value")
+
+
 # Entities
 
 
@@ -162,11 +232,16 @@ def fk_violations(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, s_nationkey::BIGINT AS supplier_nation, c_nationkey::BIGINT AS customer_nation FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey")
 def path_conflicts(spark, sf_dir):
     t = lambda n: _table(spark, sf_dir, n)
-    by_supplier = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("supplier_nation"))
-    buyers = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("customer_nation"))
-    by_customer = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(buyers, "o_custkey").drop("o_custkey")
-    both = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(by_supplier, "l_suppkey").join(by_customer, "l_orderkey")
-    return ent.conflicts(both, "supplier_nation", "customer_nation").select("l_orderkey", "l_linenumber", "supplier_nation", "customer_nation")
+    entities = {
+        "supplier": ent.Entity("supplier", t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey"),
+        "order": ent.Entity("order", t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey"),
+        "customer": ent.Entity("customer", t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey"),
+        "nation": ent.Entity("nation", t("nation").withColumnRenamed("n_nationkey", "nation"), "nation"),
+    }
+    relations = [ent.KeyRelation("l_suppkey"), ent.KeyRelation("l_orderkey"), ent.KeyRelation("o_custkey", source="order"), ent.KeyRelation("nation", source="supplier"), ent.KeyRelation("nation", source="customer")]
+    both = ent.path_keys(t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), entities, relations, "nation")
+    found = ent.conflicts(both, "supplier/nation", "order/customer/nation")
+    return found.select("l_orderkey", "l_linenumber", F.col("supplier/nation").cast("long").alias("supplier_nation"), F.col("order/customer/nation").cast("long").alias("customer_nation"))
 
 
 @query(f"WITH rc AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_name) AS rcode FROM region), nc AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS ncode FROM nation) SELECT o_orderkey, r.r_regionkey AS region_id, rcode AS region_code, n.n_nationkey AS nation_id, ncode AS nation_code, (r.r_regionkey IS NOT NULL AND n.n_nationkey IS NOT NULL) AS complete FROM {CHAIN_SQL} LEFT JOIN rc ON rc.r_regionkey = r.r_regionkey LEFT JOIN nc ON nc.n_nationkey = n.n_nationkey")
@@ -202,12 +277,13 @@ def sparse_edge_problems(spark, sf_dir):
     return spark.createDataFrame([(ent.SparseRelation(raw, "part", "supplier").problems(), _edges(spark, sf_dir).problems())], "raw_problems long, summed_problems long")
 
 
-@query("SELECT event_id::VARCHAR AS id, 'c' || f AS component_id, CASE WHEN vec_id IS NOT NULL THEN embedding[f]::DOUBLE END AS value FROM events CROSS JOIN generate_series(1, 4) g(f) LEFT JOIN embeddings ON vec_id = user_id * 4")
+@query("SELECT event_id::VARCHAR AS id, 'c' || f AS component_id, CASE WHEN vec_id IS NOT NULL THEN embedding[f]::DOUBLE END AS value FROM events CROSS JOIN generate_series(1, 64) g(f) LEFT JOIN embeddings ON vec_id = user_id * 4")
 def lift_entity_block(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    wide = e.select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"c{i}") for i in range(1, 5)])
+    names = [f"c{i}" for i in range(1, 65)]
+    wide = e.select("vec_id", *[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(names, 1)])
     of = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), (F.col("user_id") * 4).alias("vec"))
-    return ent.lift_block(of, "event_id", "vec", axes.block(wide, "vec_id", ["c1", "c2", "c3", "c4"]))
+    return ent.lift_block(of, "event_id", "vec", axes.block(wide, "vec_id", names))
 
 
 # Feature maps and spaces
@@ -272,11 +348,11 @@ def mask_select(spark, sf_dir):
     return series.masked(GRID, spark, [i % 3 == 0 for i in range(1, 65)]).select("feat_idx")
 
 
-@query(f"SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 64) g(linear) WHERE vec_id = 7")
+@query("SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 128) g(linear)")
 def reconstruct_volume(spark, sf_dir):
-    half = spaces.VolumeSpace((4, 4, 4), support=tuple(range(2, 65, 2)))
-    v = _vectors(spark, sf_dir).assays["value"].source.long(list(range(1, 33))).where("obs_idx = 8").select("feat_idx", "value")
-    return half.reconstruct(v).select(F.lit(8).cast("long").alias("obs_idx"), "linear", "value")
+    half = spaces.VolumeSpace((4, 4, 8), support=tuple(range(2, 129, 2)))
+    f = _vectors(spark, sf_dir)
+    return half.reconstruct(f.assays["value"].source.long().select("obs_idx", "feat_idx", "value"), f.observations.table.select(F.col("idx").alias("obs_idx")))
 
 
 @query(f"SELECT part || '::voxel-' || f AS feature_id, (o + f)::INT AS feat_idx, part FROM (VALUES ('left', 0), ('right', 64)) p(part, o), generate_series(1, 64) g(f)")
@@ -384,18 +460,18 @@ def run_totals(spark, sf_dir):
     return series.run_totals(series.run_table(_table(spark, sf_dir, "conversations"), "conv_id", 2.0))
 
 
-@query("WITH r AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS e FROM conversations GROUP BY 1) SELECT i AS \"index\", conv_id AS run_id, (i - (e - n))::BIGINT AS timepoint FROM r JOIN generate_series(1, 300, 7) g(i) ON i > e - n AND i <= e")
+@query("WITH r AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS e FROM conversations GROUP BY 1), t AS (SELECT conv_id, n, e, unnest(generate_series(1, n)) AS timepoint FROM r) SELECT (e - n + timepoint)::BIGINT AS \"index\", conv_id AS run_id, timepoint::BIGINT AS timepoint FROM t")
 def temporal_info(spark, sf_dir):
     runs = series.run_table(_table(spark, sf_dir, "conversations"), "conv_id", 2.0)
-    return series.temporal_info(runs, spark.range(1, 301, 7).withColumnRenamed("id", "index"), ["run_id"])
+    return series.temporal_info(runs, order=["run_id"])
 
 
-@query(f"SELECT ((obs_idx - 1) // 100 + 1)::INT AS run_id, ((obs_idx - 1) % 100 + 1)::INT AS timepoint, feat_idx AS voxel, value AS signal FROM ({CELLS}) WHERE (obs_idx - 1) % 100 < 5 AND feat_idx % 3 = 0")
+@query(f"SELECT ((obs_idx - 1) // 100 + 1)::INT AS run_id, ((obs_idx - 1) % 100 + 1)::INT AS timepoint, feat_idx AS voxel, value AS signal FROM ({CELLS})")
 def series_long(spark, sf_dir):
     f = _vectors(spark, sf_dir)
     z = F.col("idx") - 1
-    times = f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint")).where("timepoint <= 5")
-    return series.series(f.assays["value"].source.long(), times, series.masked(GRID, spark, [i % 3 == 0 for i in range(1, 65)]))
+    times = f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint"))
+    return series.series(f.assays["value"].source.long(), times, GRID.features(spark))
 
 
 @query(f"SELECT feat_idx, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance, max(value) AS maximum FROM ({CELLS}) GROUP BY 1")
@@ -405,18 +481,18 @@ def column_stats(spark, sf_dir):
 
 
 def _latent(spark, sf_dir):
-    scores = _vectors(spark, sf_dir).assays["value"].source.long(list(range(1, 9))).select(F.col("obs_idx").alias("t"), F.col("feat_idx").alias("k"), F.col("value").alias("score"))
-    grid = spark.range(1, 9).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("v"))
+    scores = _vectors(spark, sf_dir).assays["value"].source.long().select(F.col("obs_idx").alias("t"), F.col("feat_idx").alias("k"), F.col("value").alias("score"))
+    grid = spark.range(1, 65).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("v"))
     return scores, grid.withColumn("loading", ((F.col("k") * F.col("v")) % 7 - 3) / 10), spark.range(1, 13).select(F.col("id").cast("int").alias("v"), (F.col("id") / 4).alias("offset"))
 
 
-@query(f"SELECT obs_idx AS t, v::INT AS v, round(sum(value * ((feat_idx * v) % 7 - 3) / 10.0) + max(v) / 4.0, 6) AS value FROM ({CELLS}), generate_series(1, 12) g(v) WHERE feat_idx <= 8 GROUP BY 1, 2")
+@query(f"SELECT obs_idx AS t, v::INT AS v, round(sum(value * ((feat_idx * v) % 7 - 3) / 10.0) + max(v) / 4.0, 6) AS value FROM ({CELLS}), generate_series(1, 12) g(v) GROUP BY 1, 2")
 def latent_reconstruct(spark, sf_dir):
     out = series.reconstruct_latent(*_latent(spark, sf_dir))
     return out.select("t", "v", F.round("value", DIGITS).alias("value"))
 
 
-@query(f"WITH a AS (SELECT feat_idx AS k, round(var_samp(value), 6) AS score_variance FROM ({CELLS}) WHERE feat_idx <= 8 GROUP BY 1), b AS (SELECT k::INT AS k, round(sqrt(sum(power(((k * v) % 7 - 3) / 10.0, 2))), 6) AS norm, round(avg(CASE WHEN (k * v) % 7 = 3 THEN 1.0 ELSE 0.0 END), 6) AS sparsity FROM generate_series(1, 8) g(k), generate_series(1, 12) h(v) GROUP BY 1) SELECT * FROM a JOIN b USING (k)")
+@query(f"WITH a AS (SELECT feat_idx AS k, round(var_samp(value), 6) AS score_variance FROM ({CELLS}) GROUP BY 1), b AS (SELECT k::INT AS k, round(sqrt(sum(power(((k * v) % 7 - 3) / 10.0, 2))), 6) AS norm, round(avg(CASE WHEN (k * v) % 7 = 3 THEN 1.0 ELSE 0.0 END), 6) AS sparsity FROM generate_series(1, 64) g(k), generate_series(1, 12) h(v) GROUP BY 1) SELECT * FROM a JOIN b USING (k)")
 def latent_components(spark, sf_dir):
     scores, loadings, _ = _latent(spark, sf_dir)
     out = series.component_info(scores, loadings)
@@ -479,10 +555,17 @@ def group_map_udf(spark, sf_dir):
     return groups.group_map(_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), "o_custkey", f, "o_custkey long, n long, largest double")
 
 
-@query("SELECT count(*)::BIGINT AS n FROM customer")
+@query("SELECT count(*)::BIGINT AS n, min(c_custkey)::BIGINT AS first_key, max(c_custkey)::BIGINT AS last_key, sum(c_custkey)::BIGINT AS keys FROM customer")
 def group_reduce_fold(spark, sf_dir):
-    ones = _table(spark, sf_dir, "customer").select("c_custkey", F.lit(1).cast("long").alias("n"))
-    return groups.group_reduce(ones, "n", lambda a, b: a + b, F.lit(0).cast("long"), "c_custkey")
+    key = F.col("c_custkey").cast("long")
+    one = F.struct(F.lit(1).cast("long").alias("n"), key.alias("first_key"), key.alias("last_key"), key.alias("keys"))
+    none = F.expr("named_struct('n', 0L, 'first_key', CAST(NULL AS LONG), 'last_key', CAST(NULL AS LONG), 'keys', 0L)")
+
+    def merge(a, b):
+        return F.struct((a["n"] + b["n"]).alias("n"), F.coalesce(a["first_key"], b["first_key"]).alias("first_key"), F.coalesce(b["last_key"], a["last_key"]).alias("last_key"), (a["keys"] + b["keys"]).alias("keys"))
+
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", one.alias("v"))
+    return groups.group_reduce(rows, "v", merge, none, "c_custkey").select("v.*")
 
 
 # Scans
@@ -490,7 +573,7 @@ def group_reduce_fold(spark, sf_dir):
 
 @query("SELECT DISTINCT lang, source FROM documents")
 def scan_manifest(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return archive.scan_names(_table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
 @query("SELECT 'scan-' || conv_id || '::volume-' || lpad((t - 1)::VARCHAR, 6, '0') AS obs_id, ((t - 1) * 2.0)::DOUBLE AS run_time FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), generate_series(1, 1000) g(t) WHERE t <= n")
@@ -506,42 +589,7 @@ def bids_event_ids(spark, sf_dir):
     return bids.event_ids(e).select(F.col("event_id").alias("label"), "input_pos")
 
 
+# Names under which whole tables were read beside a part of them before the queries above read them whole
 
-# Whole tables, where a query above reads a part
-
-
-@query(f"SELECT ((obs_idx - 1) // 100 + 1)::INT AS run_id, ((obs_idx - 1) % 100 + 1)::INT AS timepoint, feat_idx AS voxel, value AS signal FROM ({CELLS})")
-def series_long_whole(spark, sf_dir):
-    f = _vectors(spark, sf_dir)
-    z = F.col("idx") - 1
-    times = f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint"))
-    return series.series(f.assays["value"].source.long(), times, GRID.features(spark))
-
-
-@query("SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 128) g(linear)")
-def reconstruct_volume_whole(spark, sf_dir):
-    half = spaces.VolumeSpace((4, 4, 8), support=tuple(range(2, 129, 2)))
-    f = _vectors(spark, sf_dir)
-    return half.reconstruct(f.assays["value"].source.long().select("obs_idx", "feat_idx", "value"), f.observations.table.select(F.col("idx").alias("obs_idx")))
-
-
-@query("WITH r AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS e FROM conversations GROUP BY 1), t AS (SELECT conv_id, n, e, unnest(generate_series(1, n)) AS timepoint FROM r) SELECT (e - n + timepoint)::BIGINT AS \"index\", conv_id AS run_id, timepoint::BIGINT AS timepoint FROM t")
-def temporal_info_whole(spark, sf_dir):
-    runs = series.run_table(_table(spark, sf_dir, "conversations"), "conv_id", 2.0)
-    return series.temporal_info(runs, order=["run_id"])
-
-
-@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, feat_idx, value FROM ({CELLS})")
-def bind_observations_whole(spark, sf_dir):
-    n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 2
-    both = bind_observations([_vectors(spark, sf_dir, f"vec_id < {n}"), _vectors(spark, sf_dir, f"vec_id >= {n}", n)])
-    return both.cells().select("obs_id", "feat_idx", "value")
-
-
-@query("SELECT event_id::VARCHAR AS id, 'c' || f AS component_id, CASE WHEN vec_id IS NOT NULL THEN embedding[f]::DOUBLE END AS value FROM events CROSS JOIN generate_series(1, 64) g(f) LEFT JOIN embeddings ON vec_id = user_id * 4")
-def lift_entity_block_whole(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    names = [f"c{i}" for i in range(1, 65)]
-    wide = e.select("vec_id", *[F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(names, 1)])
-    of = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), (F.col("user_id") * 4).alias("vec"))
-    return ent.lift_block(of, "event_id", "vec", axes.block(wide, "vec_id", names))
+for _name, _as in (("series_long", "series_long"), ("reconstruct_volume", "reconstruct_volume"), ("temporal_info", "temporal_info"), ("bind_observations_halves", "bind_observations"), ("lift_entity_block", "lift_entity_block")):
+    QUERIES[f"{_as}_whole"], ORACLES[f"{_as}_whole"] = QUERIES[_name], ORACLES[_name]

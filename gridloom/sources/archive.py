@@ -7,6 +7,7 @@ events, confounds, censor: by scan_name
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,6 +52,11 @@ def _where(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+def scan_names(files: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
+    """The scans of a table of files or rows: its distinct names."""
+    return files.select(*names).distinct()
+
+
 def scan_index(scans: DataFrame, cells: DataFrame, events: DataFrame, confounds: DataFrame) -> DataFrame:
     """One row a scan, in order of name, with where its time points begin among all."""
     length = cells.groupBy("scan_name").agg(F.max("timepoint").cast("int").alias("n_time"), F.countDistinct("feature").cast("int").alias("n_features"))
