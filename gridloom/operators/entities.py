@@ -74,7 +74,7 @@ class SparseRelation:
         for ids, end in ((source_ids, "from_id"), (target_ids, "to_id")):
             if ids is not None:
                 e = e.join(ids.select(F.col(ids.columns[0]).alias(end)), end, "left_semi")
-        return SparseRelation(e, self.source, self.target, self.directed)
+        return SparseRelation(e.select(*self.edges.columns), self.source, self.target, self.directed)
 
 
 def violations(df: DataFrame, relation: KeyRelation, entities: Mapping[str, Entity]) -> DataFrame:

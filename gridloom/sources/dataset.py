@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -73,9 +74,58 @@ def subject_of(whole: Dataset, spans: DataFrame, subject: str, run_lengths: Sequ
     return Dataset(replace(whole.source, pieces=own, shape=(n, whole.source.shape[1]), shards=None), tuple(run_lengths), whole.tr, events, None, censor)
 
 
-def read_config(text: str, required: Sequence[str] = ("scans", "TR", "run_length")) -> dict[str, object]:
-    """A JSON configuration; missing fields are an error."""
-    config = json.loads(text)
+#: What a configuration has unless it says otherwise, and what it must have.
+DEFAULTS = {"cmd_flags": "", "jobs": 1, "base_path": ".", "output_dir": "stat_out"}
+REQUIRED = ("scans", "TR", "mask", "run_length", "event_model", "event_table", "block_column", "baseline_model")
+
+
+def _scalar(text: str) -> object:
+    """A plain value: numbers, TRUE and FALSE, lists by commas or brackets, and text without its quotes."""
+    text = text.strip()
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    if re.fullmatch(r"[0-9.,\-]+", text):
+        try:
+            found = [float(x) for x in text.split(",")]
+            return found if len(found) > 1 else found[0]
+        except ValueError:
+            return text
+    if text.upper() in ("TRUE", "FALSE"):
+        return text.upper() == "TRUE"
+    return re.sub(r"^['\"]|['\"]$", "", text)
+
+
+def plain_config(text: str) -> dict[str, object]:
+    """Flat YAML or DCF: `key: value` or `key = value` on each line, `- item` below a key for lists, comments behind #."""
+    out: dict[str, object] = {}
+    last = None
+    for line in text.splitlines():
+        if re.match(r"\s*(#|$)", line):
+            continue
+        if (item := re.match(r"\s*-\s+(.*)$", line)) and last is not None:
+            held = out.get(last)
+            out[last] = [*(held if isinstance(held, list) else []), _scalar(item[1])]
+        elif found := re.match(r"\s*(\w+)\s*[:=]\s*(.*)$", line):
+            last = found[1]
+            out[last] = _scalar(found[2]) if found[2].strip() else []
+    return out
+
+
+def read_config(text: str, required: Sequence[str] = REQUIRED, defaults: Mapping[str, object] = DEFAULTS, base_path: str | None = None) -> dict[str, object]:
+    """A configuration in JSON, flat YAML or DCF over the defaults; missing fields are an error."""
+    own = json.loads(text) if text.lstrip().startswith("{") else plain_config(text)
+    config = {**defaults, **own, **({} if base_path is None else {"base_path": base_path})}
     if missing := [k for k in required if k not in config]:
         raise ValueError(f"missing {missing}")
     return config
+
+
+def write_config(config: Mapping[str, object], computed: Sequence[str] = ("design", "class")) -> str:
+    """Flat YAML of a configuration, without what was computed."""
+    plain = lambda x: ("true" if x else "false") if isinstance(x, bool) else json.dumps(x) if isinstance(x, str) else repr(x)
+    lines = []
+    for k, v in config.items():
+        if k in computed:
+            continue
+        lines += [f"{k}:", *(f"  - {plain(x)}" for x in v)] if isinstance(v, (list, tuple)) else [f"{k}: {plain(v)}"]
+    return "\n".join(lines) + "\n"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -72,7 +73,7 @@ def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         for b in batches:
             out = []
             for path, content, size, changed in zip(b["path"], b["content"], b["length"], b["changed"], strict=True):
-                data = gzip.decompress(content)[:HEADER_BYTES] if content[:2] == b"\x1f\x8b" else content[:HEADER_BYTES]
+                data = zlib.decompressobj(31).decompress(content, HEADER_BYTES) if content[:2] == b"\x1f\x8b" else content[:HEADER_BYTES]
                 h = parse_header(data)
                 out.append((path, list(h.dim), h.n_times, h.dtype, list(h.affine), h.tr, size, changed))
             yield pd.DataFrame(out, columns=["path", "dims", "n_times", "dtype", "affine", "tr", "size", "changed"])

@@ -46,3 +46,20 @@ def create(name: str, *args: Any, validate: bool = True, **options: Any) -> Any:
     if validate and kind.validate and not kind.validate(made):
         raise ValueError(f"what {name} made is not valid")
     return made
+
+
+def register_builtin() -> None:
+    """The kinds that the package has: nifti, matrix, latent, study and frame."""
+    from ..operators.series import reconstruct_latent
+    from ..operators.source import ArraySource, as_source, row_sharded
+    from . import nifti, store
+
+    is_source = lambda x: isinstance(x, ArraySource)
+    for name, factory, description, check in (
+        ("matrix", as_source, "a matrix or a table of arrays", is_source),
+        ("nifti", nifti.nifti_source, "NIfTI images, one after the other", lambda x: is_source(x[0])),
+        ("latent", reconstruct_latent, "scores and loadings, multiplied as they are read", None),
+        ("study", row_sharded, "subjects one below the other", is_source),
+        ("frame", store.open_frame, "a frame's folder of Parquet tables", None),
+    ):
+        register(name, factory, description, check, overwrite=True)

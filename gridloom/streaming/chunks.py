@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dataset import Dataset
+
 
 @dataclass(frozen=True)
 class Chunk:
@@ -42,3 +44,17 @@ def chunks(cells: DataFrame, number: Column) -> Iterator[Chunk]:
 def runwise(cells: DataFrame, runs: DataFrame) -> Iterator[Chunk]:
     """A chunk for each run; ``runs`` has obs_idx and blockid."""
     return chunks(cells.join(runs.select("obs_idx", "blockid"), "obs_idx"), F.col("blockid"))
+
+
+def strategy(name: str, n_chunks: int | None = None) -> Callable[[Dataset], Iterator[Chunk]]:
+    """How a dataset is gone through: voxelwise (a chunk a feature), runwise, or chunkwise in ``n_chunks``, as many as features at most."""
+    if name not in ("voxelwise", "runwise", "chunkwise") or name == "chunkwise" and not n_chunks:
+        raise ValueError("voxelwise, runwise, or chunkwise with a number of chunks")
+
+    def go(d: Dataset) -> Iterator[Chunk]:
+        if name == "runwise":
+            return runwise(d.source.long(), d.times().withColumn("blockid", F.col("run_id")))
+        n = d.source.shape[1]
+        return chunks(d.source.long(), chunk_of(F.col("feat_idx"), n, n if name == "voxelwise" else min(n, n_chunks)))
+
+    return go

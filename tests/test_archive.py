@@ -1,5 +1,7 @@
 """Archives, datasets and provenance."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import source, validity
 from gridloom.plans.provenance import Graph, Record
 from gridloom.sources import archive, dataset
+from gridloom.streaming import chunks
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -54,7 +57,10 @@ def test_datasets_stack_and_split(spark):
             dataset.Dataset(**{"source": one.source, "run_lengths": (3, 1), "tr": 2.0, **bad})
     masks = spark.createDataFrame([(1, True), (1, False), (2, True), (2, True)], "feat_idx int, valid boolean")
     assert validity.combined(masks).where("valid").count() == 1
-    assert dataset.read_config('{"scans": [], "TR": 2, "run_length": [1]}')["TR"] == 2
+    known = {"scans": ["a.nii", "b.nii"], "TR": 2.5, "mask": "m.nii", "run_length": [10.0, 20.0], "event_model": "hrf(x)", "event_table": "e.txt", "block_column": "run", "baseline_model": "poly", "verbose": True}
+    for text in (json.dumps(known), dataset.write_config({**known, "design": 1})):
+        assert dataset.read_config(text, base_path="/d") == {**known, "cmd_flags": "", "jobs": 1, "base_path": "/d", "output_dir": "stat_out"}
+    assert dataset.read_config("# old\nscans = a.nii\nTR: 2\nrun_length = 10,20\nok = TRUE\n", ["scans"], {}) == {"scans": "a.nii", "TR": 2.0, "run_length": [10.0, 20.0], "ok": True}
     with pytest.raises(ValueError):
         dataset.read_config("{}")
 
@@ -68,3 +74,12 @@ def test_provenance_is_acyclic_and_named_by_content():
         Graph((b, a))
     with pytest.raises(ValueError):
         Graph((a, a))
+
+
+def test_strategies_go_through_a_dataset(spark):
+    x = np.arange(24, dtype=float).reshape(6, 4)
+    d = dataset.Dataset(source.memory_source(spark, x), (2, 4), 2.0)
+    sizes = lambda name, n=None: [len(c.cells) for c in chunks.strategy(name, n)(d)]
+    assert sizes("runwise") == [8, 16] and sizes("voxelwise") == [6] * 4 and sum(sizes("chunkwise", 9)) == 24 and len(sizes("chunkwise", 2)) == 2
+    with pytest.raises(ValueError):
+        chunks.strategy("chunkwise")

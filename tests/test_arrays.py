@@ -12,7 +12,7 @@ from gridloom.operators import axis as axes
 from gridloom.operators import feature_map as fm
 from gridloom.operators import source, spaces
 from gridloom.operators.entities import BrokenRelation, Entity, KeyRelation, SparseRelation
-from gridloom.plans import blocks
+from gridloom.plans import blocks, spatial, study
 from gridloom.plans.frame import Assay, Frame, bind_observations
 from gridloom.sources import store
 from gridloom.streaming import chunks
@@ -220,6 +220,66 @@ def test_frame_store_round_trip(spark, tmp_path):
         store.open_frame(spark, str(tmp_path / "f"), spaces.VolumeSpace((2, 2, 2)))
 
 
+def test_stores_keep_blocks_edges_tables_and_views(spark, tmp_path):
+    f = small_frame(spark)
+    table = f.observations.table
+    motion = axes.block(table.select("obs_id", (F.col("idx") / 10).alias("x")), "obs_id", ["x"], role="confound")
+    pca = axes.block(f.entities["stimulus"].table.select("stimulus_id", F.lit(1.5).alias("PC01")), "stimulus_id", ["PC01"])
+    edges = spark.createDataFrame([("obs-1", "obs-3", 1.0), ("obs-3", "obs-5", 2.0)], "from_id string, to_id string, weight double")
+    f = Frame(
+        f.assays, axes.Axis(table, "obs_id", {"motion": motion}), f.features, f.space, {"stimulus": Entity("stimulus", f.entities["stimulus"].table, "stimulus_id", {"pca": pca})},
+        {**f.relations, "near": SparseRelation(edges, "observation", "observation", False)}, {"notes": spark.range(3)},
+    )
+    wrote = store.write_frame(f, str(tmp_path / "f"))
+    again = store.open_frame(spark, str(tmp_path / "f"), f.space)
+    assert store.manifest(again) == wrote == store.manifest(f)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    near = again.relations["near"]
+    assert rows(near.edges) == rows(edges) and not near.directed and again.tables["notes"].count() == 3
+    assert rows(again.observations.blocks["motion"].cells) == rows(motion.cells) and again.observations.blocks["motion"].role == "confound"
+    assert rows(again.entities["stimulus"].blocks["pca"].cells) == rows(pca.cells)
+    v = f.take(["obs-5", "obs-3", "obs-2"], [4, 2])
+    store.write_frame(v, str(tmp_path / "v"))
+    back = store.open_frame(spark, str(tmp_path / "v"), v.space)
+    assert back.collect().equals(v.collect()) and back.collect().index.tolist() == ["obs-5", "obs-3", "obs-2"] and rows(back.relations["near"].edges) == [("obs-3", "obs-5", 2.0)]
+
+
+def test_studies_are_stored_with_links_and_tables(spark, tmp_path):
+    f = small_frame(spark)
+    pairs = spark.createDataFrame([("obs-1", "obs-2")], "from_id string, to_id string")
+    events = study.Events(spark.createDataFrame([("e1", 0.0, 1.0)], "event_id string, onset double, duration double"))
+    s = study.Study({"a": f, "many": study.Collection({"x": f, "y": f})}, f.entities, {"l": study.Link("a", "a", "derived_from", pairs)}, {"events": events, "notes": spark.range(2)})
+    m = store.write_study(s, str(tmp_path / "s"))
+    assert m == store.study_manifest(s)
+    back = store.open_study(spark, str(tmp_path / "s"), {"a": f.space, "many": f.space})
+    assert store.study_manifest(back) == m and back.links["l"].pairs.count() == 1 and back.tables["events"].validate().key == "event_id"
+    assert back.frames["many"].frames["y"].collect().equals(f.collect())
+
+
+def test_maps_over_the_native_space(spark):
+    f = small_frame(spark)
+    x = by_columns(7, 6) / 10
+    one = {r["place"]: r["value"] for r in spatial.spatial_map(f, "obs-3").collect()}
+    assert [one[i] for i in range(1, 9)] == [*x[2].tolist(), None, None]
+    assert {r["place"]: r["value"] for r in spatial.spatial_map(f, 3).collect()} == one
+    p = spaces.ParcelSpace(f.space, ("a", "b"), tuple((1 if i <= 3 else 2, i, 1.0) for i in range(1, 7)), "toy")
+    parcels = f.map_features(fm.map_to(p, spark))
+    painted = {r["place"]: r["value"] for r in spatial.spatial_map(parcels, 1).collect()}
+    assert painted[1] == painted[3] == pytest.approx(x[0, :3].mean()) and painted[8] is None
+    assert spatial.native_cells(p) == 8 and spatial.execution_path(f) == "matrix" and spatial.execution_path(f, "spatial") == "reconstruct"
+    for bad in (lambda: spatial.spatial_maps(f, budget=8), lambda: spatial.execute_spatial(f, lambda pdf: pdf, "x int", budget=8)):
+        with pytest.raises(blocks.OverBudget):
+            bad()
+    with pytest.raises(axes.InvalidAxis):
+        spatial.execution_path(f, "spatial", path="native")
+    mesh = spaces.SurfaceSpace(("v1", "v2", "v3"), ("L", "L", "R"), medial_wall=(2,))
+    both = spaces.CompositeSpace((("mesh", mesh), ("index", spaces.IndexSpace(2, namespace="n"))))
+    of = spark.createDataFrame([("o",)], "obs_id string")
+    v = spark.createDataFrame([("o", i, float(i)) for i in range(1, 5)], "obs_id string, feat_idx int, value double")
+    got = sorted((r["part"], r["place"], r["value"]) for r in spatial.reconstruct(both, v, of).collect())
+    assert got == [("index", 1, 3.0), ("index", 2, 4.0), ("mesh", 1, 1.0), ("mesh", 2, None), ("mesh", 3, 2.0)]
+
+
 def test_maps_of_the_fixture(spark):
     src = source.memory_source(spark, np.arange(1, 21, dtype=float).reshape(5, 4))
     op = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 3, 1.0), (3, 1, 0.25), (3, 3, 0.25), (3, 4, 0.5)], spaces.OPERATOR)

@@ -244,6 +244,74 @@ def test_images_become_a_source(spark, tmp_path):
         nifti.parse_header(b"\0" * 400)
 
 
+def bids_study(root, runs=(1, 2), space="MNI"):
+    x = {}
+    for i in runs:
+        name = f"sub-01_task-memory_run-{i}_space-{space}"
+        folder = root / "derivatives" / "sub-01" / "func"
+        folder.mkdir(parents=True, exist_ok=True)
+        x[i] = np.arange(100 * i, 100 * i + 8 * (2 + i), dtype=float).reshape(2 + i, 8)
+        nifti.write_nifti(str(folder / f"{name}_desc-preproc_bold.nii"), x[i], (2, 2, 2))
+        flags = np.ones((1, 8))
+        flags[0, i] = 0
+        nifti.write_nifti(str(folder / f"{name}_desc-brain_mask.nii"), flags, (2, 2, 2))
+        nifti.write_nifti(str(folder / f"{name}_label-GM_mask.nii"), np.zeros((1, 8)), (2, 2, 2))
+        raw = root / "sub-01" / "func"
+        raw.mkdir(parents=True, exist_ok=True)
+        (raw / f"sub-01_task-memory_run-0{i}_events.tsv").write_text("onset\tduration\ttrial_type\n0.5\t1\tface\n2.5\tn/a\tscene\n")
+    return x
+
+
+def test_a_study_folder_becomes_a_frame(spark, tmp_path):
+    x = bids_study(tmp_path)
+    f = bids.read_bold(spark, str(tmp_path), "sub-01", task="memory").validate()
+    assert f.space.support == (1, 4, 5, 6, 7, 8) and f.space.template == "MNI"
+    got = f.collect()
+    assert np.allclose(got.to_numpy(), np.r_[x[1], x[2]][:, [0, 3, 4, 5, 6, 7]])
+    scan = "derivatives/sub-01/func/sub-01_task-memory_run-1_space-MNI_desc-preproc_bold"
+    assert got.index[0] == f"{scan}::volume-000000" and len(got) == 7
+    second = f.filter_obs(F.col("`run.run_id`") == "run-2")
+    assert second.collect().shape == (4, 6)
+    events = f.tables["events"].orderBy("event_id").collect()
+    assert [(r["event_id"][-14:], r["scan_id"][-33:-28], r["trial_type"]) for r in events] == [("::event-000000", "run-1", "face"), ("::event-000001", "run-1", "scene"), ("::event-000000", "run-2", "face"), ("::event-000001", "run-2", "scene")] or len(events) == 4
+    assert {r["scan_id"].split("_")[2] for r in events} == {"run-1", "run-2"}
+    whole = bids.read_bold(spark, str(tmp_path), "01", run="1", mask=spaces.VolumeSpace((2, 2, 2)), events=False)
+    assert whole.collect().shape == (3, 8) and not whole.tables
+    mask = str(tmp_path / "derivatives" / "sub-01" / "func" / "sub-01_task-memory_run-1_space-MNI_desc-brain_mask.nii")
+    assert bids.read_bold(spark, str(tmp_path), "01", mask=mask).space.n_features == 7
+    bids_study(tmp_path, (1,), "native2")
+    with pytest.raises(bids.NoSingleMatch):
+        bids.read_bold(spark, str(tmp_path), "01")
+    with pytest.raises(bids.NoSingleMatch):
+        bids.read_bold(spark, str(tmp_path), "09")
+
+
+def test_matching_tells_acquisitions_and_directions_apart(spark):
+    names = lambda *xs: bids.parsed(spark.createDataFrame([(x,) for x in xs], "path string"))
+    scans_ = names("/d/sub-1_task-a_acq-x_dir-AP_run-1_bold.nii", "/d/sub-1_task-a_acq-y_dir-AP_run-1_bold.nii")
+    masks = names("/d/sub-1_task-a_acq-x_dir-AP_mask.nii", "/d/sub-1_task-a_acq-y_dir-AP_mask.nii", "/d/sub-1_task-a_acq-y_dir-PA_mask.nii")
+    got = {r["path"][20]: r["match"] for r in bids.best_match(scans_, masks).collect()}
+    assert got == {"x": "/d/sub-1_task-a_acq-x_dir-AP_mask.nii", "y": "/d/sub-1_task-a_acq-y_dir-AP_mask.nii"}
+
+
+def test_kinds_that_come_with_the_package(spark):
+    registry.register_builtin()
+    assert set(registry.names()) >= {"frame", "latent", "matrix", "nifti", "study"}
+    assert registry.create("matrix", spark, [[1.0, 2.0]]).shape == (1, 2)
+    for n in registry.names():
+        registry.unregister(n)
+
+
+def test_masks_are_combined_strictly_if_asked(spark):
+    rows = [(e, i, not (e == "b" and i == 1) and not (e == "c" and i in (2, 3))) for e in "abc" for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "entity_id string, feat_idx int, valid boolean")
+    assert validity.combined(df).where("valid").count() == 37
+    assert validity.combined(df, "intersect").where("valid").count() == 37
+    for bad in (("intersect", None, 0.97), ("identical",)):
+        with pytest.raises(PySparkException):
+            validity.combined(df, *bad).count()
+
+
 def test_best_match_uses_keys_both_sides_have(spark):
     names = lambda *xs: bids.parsed(spark.createDataFrame([(x,) for x in xs], "path string"))
     scans_ = names("/d/sub-1_task-a_run-01_bold.nii", "/d/sub-1_task-b_run-1_bold.nii")
