@@ -18,9 +18,11 @@ split where sizes are too far apart to be similar; of each part, the smallest
 set is the centre, and the others are its members. Members of a centre are
 gathered by blocks of bounded size and verified in two steps:
 
-* With prefixes alone: common tokens number at most those common to the
-  prefixes and what is behind the prefix of one of the two. Who can reach the
-  threshold with none of the block goes.
+* With bitmaps alone: a set's bitmap has a bit for each of 2^k places, at least
+  as many as the set has tokens, that tells whether an odd number of its tokens
+  hash there. Every bit in which two bitmaps differ stands for a token that one
+  set alone has, so two sets of sizes x and y have at most (x + y - bits) / 2
+  tokens in common. Who can reach the threshold with none of the block goes.
 * With whole sets: all are compared with the centre; those that reach the
   threshold are in one component already, and whatever does not is compared
   with all others of that block. No pairs are emitted: what leaves a block are
@@ -29,7 +31,11 @@ gathered by blocks of bounded size and verified in two steps:
   component yet and were not all there the first time.
 
 Equal sets count as one set from the start, under their smallest document.
-All comparisons are exact counts of common tokens.
+All comparisons are exact counts of common tokens. A token is a 64-bit hash of
+its words' 8-byte lanes, each mixed with its place before lanes are added; sets
+count as equal that agree in size and in two sums of 64 bits over their tokens.
+Different shingles with one hash, about n^2 / 2^65 pairs among n, would count as
+the same.
 
 Which tokens are frequent is counted over all documents; tokens that occur
 once among the documents of a batch are not counted for that batch, which may
@@ -55,10 +61,13 @@ from .common import cut, parts_of
 from .components import connected
 
 _U = np.uint64
-_BASE, _INVERSE = _U(0x9E3779B97F4A7C15 | 1), _U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+_BASE = _U(0x9E3779B97F4A7C15 | 1)
 _SLICE = 1 << 20  # bytes of text hashed at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], _U)  # the first n bytes of a lane
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -69,16 +78,27 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word: its 8-byte lanes, each mixed with its place, added up and mixed with its length."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    size = stops - starts
+    lanes = (size + 7) // 8
+    first = np.r_[0, np.cumsum(lanes)[:-1]]
+    place = np.arange(lanes.sum()) - np.repeat(first, lanes)
+    at = np.repeat(starts, lanes) + 8 * place
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    value = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").ravel().astype(_U)
+    value &= _KEEP[np.minimum(np.repeat(size, lanes) - 8 * place, 8)]
+    mixed = mix(value ^ mix(place.astype(_U), 9), 1)
+    return mix(np.add.reduceat(mixed, first) + size.astype(_U), 1)
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts; powers of the base are kept between batches."""
+    """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self._grow(_SLICE)
-
-    def _grow(self, n: int) -> None:
-        self.powers = np.cumprod(np.r_[_U(1), np.full(n, _BASE)], dtype=_U)
-        self.inverses = np.cumprod(np.r_[_U(1), np.full(n, _INVERSE)], dtype=_U)
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """One array for each text, in order."""
@@ -92,18 +112,14 @@ class Shingler:
             i = j
 
     def _slice(self, data: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        if len(data) >= len(self.powers):
-            self._grow(len(data))
-        upper = (data >= 65) & (data <= 90)
-        low = np.where(upper, data + 32, data)
+        low = _LOWER[data]
         space = _SPACE[low]
         edge = np.zeros(len(low) + 1, bool)
         edge[ends] = True
         word = ~space
         starts = np.flatnonzero(word & (np.r_[True, space[:-1]] | edge[:-1])) if len(low) else np.zeros(0, int)
         stops = np.flatnonzero(word & (np.r_[space[1:], True] | edge[1:])) + 1 if len(low) else np.zeros(0, int)
-        sums = np.r_[_U(0), np.cumsum((low.astype(_U) + _U(1)) * self.powers[: len(low)], dtype=_U)]
-        words = mix((sums[stops] - sums[starts]) * self.inverses[starts] + (stops - starts).astype(_U), 1)
+        words = word_hashes(low, starts, stops)
         first = np.searchsorted(starts, ends)  # of each document's words
         w, n = self.width, len(words)
         rolled = np.zeros(max(0, n - w + 1), _U)
@@ -137,18 +153,17 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tup
     return tokens[~often], tokens[often][np.lexsort((tokens[often], counts[at[often]]))]
 
 
-def signatures(rare: np.ndarray, common: np.ndarray, percent: int, classes: int, pairs_up_to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set in order, and its prefix, as 32-bit hashes of the tokens."""
+def signatures(rare: np.ndarray, common: np.ndarray, percent: int, classes: int, pairs_up_to: int) -> np.ndarray:
+    """Signatures of one set in order."""
     n = len(rare) + len(common)
     if not n:
-        return rare, rare.astype(np.uint32)
+        return rare
     near = n - least_overlap(n, percent) + 1
-    head = np.r_[rare[:near], common[: max(0, near - len(rare))]]
     out = [rare[:near]]
     if len(common):
         small = classes * 100 // percent * 100 // percent  # sets that could be similar to one without classes + 1 common tokens
         if n <= small or 100 * n >= percent * pairs_up_to:
-            out.append(head[len(rare) :])
+            out.append(common[: max(0, near - len(rare))])
         if percent * n <= 100 * pairs_up_to:
             far = common[: max(0, near + classes - len(rare))]
             kind = mix(far, 4) % _U(classes)
@@ -156,13 +171,25 @@ def signatures(rare: np.ndarray, common: np.ndarray, percent: int, classes: int,
                 same = np.sort(far[kind == k])
                 i, j = np.triu_indices(len(same), 1)
                 out.append(mix(same[i] * _BASE + mix(same[j], 5), 6))
-    return np.unique(np.concatenate(out)), (head >> _U(32)).astype(np.uint32)
+    return np.unique(np.concatenate(out))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them and a bit for each token at least: whether an odd number of tokens hash to each place."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((mix(tokens, 10) & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
 
 
-def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+def folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of one length, that of the shortest: a place's tokens go to the place modulo the length."""
+    words = min(map(len, bitmaps))
+    return np.array([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bitmaps])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
-    unsigned = np.uint32 if kind is np.int32 else _U
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, unsigned)]).view(kind)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, _U)]).view(np.int64)))
 
 
 def frequent_tokens(docs: DataFrame, width: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,16 +246,18 @@ class _Postings:
         return np.bincount(self.owner[at], minlength=len(self.sets))
 
 
-def could_link(heads: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets could be similar to another, by their prefixes; what repeats in 32 bits can only add to a count."""
-    least = -(-percent * sizes // 100)
-    posts, out = _Postings(heads), np.zeros(len(heads), bool)
-    for i in range(len(heads)):
-        most = posts.common(i) + np.maximum(least, least[i]) - 1
-        fits = (percent * (sizes + sizes[i]) <= (100 + percent) * most) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        fits[i] = False
-        out[i] |= fits.any()
-        out |= fits
+def could_link(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets could be similar to another, by their sizes and bitmaps."""
+    order = np.argsort(sizes, kind="stable")
+    n, rows, fit = sizes[order], folded(bitmaps)[order], np.zeros(len(sizes), bool)
+    to = np.searchsorted(n * percent, n * 100, side="right")  # the first set too large for each
+    for i in range(len(n)):
+        apart = np.bitwise_count(rows[i + 1 : to[i]] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * (n[i + 1 : to[i]] + n[i])
+        fit[i] |= near.any()
+        fit[i + 1 : to[i]] |= near
+    out = np.zeros(len(sizes), bool)
+    out[order] = fit
     return out
 
 
@@ -251,21 +280,19 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], value: str, kind: type) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list[np.ndarray]] | None]:
-    """Key (c, i, j), ids, sizes and arrays of each run of rows with one key; None where a batch ends."""
+def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list[np.ndarray]] | None]:
+    """Key (c, i, j), ids, sizes and the 64-bit words in each ``value`` of each run of rows with one key; None where a batch ends."""
     key, ids, sizes, found = None, [], [], []
     for b in batches:
-        column = b.column(value)
-        values, ends = np.array(column.values, kind), np.array(column.offsets)
         keys = zip(*(b.column(k).to_pylist() for k in "cij"), strict=True)
-        for k, x, n, s, e in zip(keys, b.column("x").to_pylist(), b.column("n").to_pylist(), ends[:-1], ends[1:], strict=True):
+        for k, x, n, words in zip(keys, b.column("x").to_pylist(), b.column("n").to_pylist(), b.column(value), strict=True):
             if k != key:
                 if len(ids) > 1:
                     yield key, ids, sizes, found
                 key, ids, sizes, found = k, [], [], []
             ids.append(x)
             sizes.append(n)
-            found.append(values[s:e])
+            found.append(np.frombuffer(words.as_buffer(), "<u8").copy())
         yield None
     if len(ids) > 1:
         yield key, ids, sizes, found
@@ -281,7 +308,7 @@ def _dealt(rows: DataFrame, value: str) -> DataFrame:
 
 
 def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: int, block_tokens: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links that span the components of the classes' sets. classes_of: rep, n, sigs, head."""
+    """(a, b): links that span the components of the classes' sets. classes_of: rep, n, sigs, bits."""
     posts = classes_of.select(F.explode("sigs").alias("sig"), "n", "rep")
     by_size = Window.partitionBy("sig").orderBy("n", "rep")
     apart = F.coalesce(percent * F.col("n") > 100 * F.lag("n").over(by_size), F.lit(True))
@@ -302,10 +329,10 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
-        for group in _groups(batches, "head", np.int32):
+        for group in _groups(batches, "bits"):
             if group:
-                (c, i, j), ids, sizes, heads = group
-                out += [(c, i, j, ids[k]) for k in np.flatnonzero(could_link(heads, np.array(sizes), percent))]
+                (c, i, j), ids, sizes, bitmaps = group
+                out += [(c, i, j, ids[k]) for k in np.flatnonzero(could_link(bitmaps, np.array(sizes), percent))]
             else:
                 yield rows_of(out)
                 out = []
@@ -315,17 +342,18 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
         c, i, j, x = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x, pa.int64())], names=["c", "i", "j", "x"])
 
-    heads = classes_of.select(F.col("rep").alias("x"), "n", "head")
-    left = cut(_dealt(heads.join(_if_small(wanted, broadcast_rows), "x"), "head").mapInArrow(kept, "c long, i int, j int, x long"))
+    bitmaps = classes_of.select(F.col("rep").alias("x"), "n", "bits")
+    left = cut(_dealt(bitmaps.join(_if_small(wanted, broadcast_rows), "x"), "bits").mapInArrow(kept, "c long, i int, j int, x long"))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in parts_of(batches):
             found = list(shingler.sets(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), _lists(found)], names=["x", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["x", "n", "tokens"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _groups(batches, "tokens", np.int64):
+        for group in _groups(batches, "tokens"):
             if group:
                 out += links_of(group[1], group[3], percent)
             else:
@@ -339,7 +367,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
 
     def verified(rows: DataFrame) -> DataFrame:
         nodes = rows.select(F.col("x").alias("doc_id")).distinct()
-        tokens = docs.join(_if_small(nodes, broadcast_rows), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens array<long>").where("n > 0")
+        tokens = docs.join(_if_small(nodes, broadcast_rows), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens binary").where("n > 0")
         return cut(_dealt(tokens.join(_if_small(rows, broadcast_rows), "x"), "tokens").mapInArrow(links, "a long, b long"))
 
     tile = ["c", "i", "j"]
@@ -364,7 +392,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
 
 def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, share: float = 0.0001, least: int = 8,
-    classes: int = 32, pairs_up_to: int = 2000, block_tokens: int = 2_000_000, broadcast_rows: int = 1_000_000,
+    classes: int = 32, pairs_up_to: int = 2000, block_tokens: int = 1_000_000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -377,10 +405,10 @@ def join(
             k1, k2 = (np.array([mix(s, salt).sum(dtype=_U) for s in found], _U).view(np.int64) for salt in (7, 8))
             n = pa.array([len(s) for s in found], pa.int64())
             signs = [signatures(*ordered(s, frequent, counts), percent, classes, pairs_up_to) for s in found]
-            arrays = [b.column(0), n, pa.array(k1), pa.array(k2), _lists([s for s, _ in signs]), _lists([h for _, h in signs], np.int32)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k1", "k2", "sigs", "head"])
+            arrays = [b.column(0), n, pa.array(k1), pa.array(k2), _lists(signs), pa.array([bitmap(s).tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k1", "k2", "sigs", "bits"])
 
-    signed_rows = cut(rows.mapInArrow(signed, "doc_id long, n long, k1 long, k2 long, sigs array<long>, head array<int>"))
+    signed_rows = cut(rows.mapInArrow(signed, "doc_id long, n long, k1 long, k2 long, sigs array<long>, bits binary"))
     reps = cut(signed_rows.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     # rows that are no class's representative: copies, and rows of one id that hold other texts
     copies = cut(signed_rows.select("doc_id", "n", "k1", "k2").where("doc_id is not null and n > 0").join(reps, ["n", "k1", "k2"]).where("doc_id <> rep"))
@@ -388,7 +416,7 @@ def join(
     classes_of = (
         signed_rows.where("doc_id is not null and n > 0")
         .join(_if_small(gone, broadcast_rows), ["doc_id", "n", "k1", "k2"], "left_anti")
-        .select(F.col("doc_id").alias("rep"), "n", "sigs", "head")
+        .select(F.col("doc_id").alias("rep"), "n", "sigs", "bits")
     )
     links = similar_links(classes_of, rows, width, percent, block_tokens, broadcast_rows)
     again = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -397,8 +425,37 @@ def join(
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, and those without an id."""
-    found = join(docs, doc_id=doc_id, **options)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id, of rows without an id only where no other has one.
+
+    Rows whose id is null or repeats are written once with a key of their own,
+    by which they take part as any other row. Rows without words are alone in
+    their group, and stay.
+    """
+    key, id_of = "__key", F.col(doc_id).cast("long")
+    repeated = cut(docs.select(id_of.alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
+    plain = docs.where(F.col(doc_id).isNotNull()).join(repeated, id_of == F.col("__id"), "left_anti")
+    others = docs.where(F.col(doc_id).isNull()).unionByName(docs.join(repeated, id_of == F.col("__id"), "left_semi"))
+    odd = cut(others.withColumn(key, F.monotonically_increasing_id()))
+    last = odd.agg(F.max(key)).first()[0]
+    if last is None:
+        found = join(docs, doc_id=doc_id, text=text, **options)
+        gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, id_of == F.col("__gone"), "left_anti")
+    ends = plain.agg(F.min(id_of).alias("a"), F.max(id_of).alias("z")).first()
+    low, high = ends["a"] or 0, ends["z"] or 0
+    if high + last + 1 < 1 << 63:
+        free = F.col(key) + F.lit(high + 1)
+    elif low - last - 1 >= -(1 << 63):
+        free = F.lit(low - 1) - F.col(key)
+    else:
+        raise ValueError("ids leave no room for the keys of rows without one")
+    odd = odd.withColumn(key, free)
+    rows = plain.select(id_of.alias(key), F.col(text).alias("__text")).unionByName(odd.select(key, F.col(text).alias("__text")))
+    found = join(rows, doc_id=key, text="__text", **options).select(F.col("doc_id").alias(key), F.col("component_id").alias("c"))
+    known = odd.select(key, F.struct(id_of.isNull().alias("none"), id_of.alias("id"), F.col(key).alias("k")).alias("own"))
+    ranked = found.join(known, key, "left").withColumn("own", F.coalesce("own", F.struct(F.lit(False).alias("none"), F.col(key).alias("id"), F.col(key).alias("k"))))
+    first = ranked.groupBy("c").agg(F.min("own").alias("first"))
+    gone = cut(ranked.join(first, "c").where("own.k <> first.k").select(F.col(key).alias("__gone")))
+    stay = plain.join(gone, id_of == F.col("__gone"), "left_anti")
+    return stay.unionByName(odd.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*docs.columns))
