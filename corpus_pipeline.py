@@ -20,27 +20,59 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3; the model learns from this stage's own documents."""
+    """Documents that score at least 0.3; the model learns from this stage's own documents.
+
+    Null and empty texts score as an empty text, very long ones are scored
+    whole; repeated rows and rows with equal scores fare alike, whatever their
+    id; a null id, source, lang or n_chars changes nothing; extra columns stay,
+    whatever their names; without labels all score the share of ones, 0.5
+    without any, and stay; an empty table stays empty.
+    """
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 for toxicity."""
+    """Documents that score below 0.5 for toxicity.
+
+    Null and empty texts have no sentence, score 0 and stay; very long texts
+    are scored whole; repeated rows fare alike; nulls in other columns change
+    nothing; extra columns stay, whatever their names; without labels of both
+    kinds all stay; an empty table stays empty.
+    """
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), 0.5)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates."""
+    """The row of the smallest id of each group of near duplicates.
+
+    Null and empty texts, and texts without words, are alone and stay, repeated
+    rows of them too; very long texts are compared whole; of rows that repeat
+    an id and a text one stays; rows with a null id take part and stay only
+    where no row of their group has an id, then one of them; other columns may
+    hold nulls and have any names; an empty table stays empty.
+    """
     return ngram_join.first_of_each(docs)
 
 
 def in_mix_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: by the slot of their block, so that any stretch of the files keeps the target weights."""
+    """All documents, written in the order of the mix: by the slot of their block, so that any stretch of the files keeps the target weights.
+
+    No row goes. A null source is a source of its own; rows with null or
+    repeated ids get places by their other columns, and rows alike in all
+    columns are interchangeable; columns named as the mix's own stay as they
+    were; an empty table stays empty.
+    """
     return mixing.interleaved(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids and of what they decode to, with each row's slot and place in the mix; both follow from the ids and sources, so they are those of the stage before."""
+    """Digests of the token ids and of what they decode to, with each row's slot and place in the mix; both follow from the rows, so they are those of the stage before.
+
+    A row for every row: null and empty texts have no ids and the digests of no
+    bytes; very long texts are cut into chunks and stitched; repeated rows and
+    null ids get a row each; columns of the input other than the id are left
+    behind; an empty table gives an empty result.
+    """
     return entries._encoded(mixing.mix(docs), MIX)
 
 
