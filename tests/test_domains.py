@@ -294,6 +294,52 @@ def test_matching_tells_acquisitions_and_directions_apart(spark):
     assert got == {"x": "/d/sub-1_task-a_acq-x_dir-AP_mask.nii", "y": "/d/sub-1_task-a_acq-y_dir-AP_mask.nii"}
 
 
+def test_names_of_scans_and_labels(spark):
+    files = spark.createDataFrame([("/d/sub-01_ses-a_task-x_acq-hi_run-02_desc-preproc_bold.nii.gz",), ("/d/sub-02_bold.nii",)], "path string")
+    got = {r["subid"]: r for r in bids.scan_name(bids.parsed(files)).collect()}
+    assert got["01"]["scan_name"] == "sub-01_ses-a_task-x_run-02" and got["02"]["scan_name"] == "sub-02"
+    assert (got["01"]["acq"], got["01"]["dir"], got["01"]["desc"], got["01"]["kind"], got["02"]["kind"]) == ("hi", None, "preproc", "bold", "bold")
+
+
+def test_made_identifiers_stay_as_they_were_made(spark):
+    a = axes.axis(spark.range(50).select(F.col("id").alias("v")), prefix="obs")
+    first, again = ({r["v"]: (r["obs_id"], r["idx"]) for r in a.table.collect()} for _ in range(2))
+    assert first == again and len({i for i, _ in first.values()}) == 50 and sorted(n for _, n in first.values()) == list(range(1, 51))
+
+
+def test_samples_are_exact_or_refused(spark):
+    people = spark.createDataFrame([(f"s{i}", "ab"[i % 3 == 0]) for i in range(30)], "subject_id string, site string")
+    assert groups.sample_subjects(people, 7, 1).count() == 7 and groups.sample_subjects(people, 50, 1, replace=True).count() == 50
+    by = {r["site"]: r["n"] for r in groups.sample_subjects(people, {"a": 3, "b": 15}, 1, "site", replace=True).groupBy("site").agg(F.count("*").alias("n")).collect()}
+    assert by == {"a": 3, "b": 15}
+    for bad in (lambda: groups.sample_subjects(people, 31, 1), lambda: groups.sample_subjects(people, {"a": 3, "b": 11}, 1, "site"), lambda: groups.sample_subjects(people, {"c": 1}, 1, "site", replace=True)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_folds_keep_the_order(spark):
+    words = spark.createDataFrame([(i, f"w{i};") for i in range(3000)], "i long, w string").repartition(7)
+    got = groups.group_reduce(words, "w", lambda a, b: F.concat(a, b), F.lit(""), "i", run_rows=20).first()["w"]
+    assert got == "".join(f"w{i};" for i in range(3000))
+    assert groups.group_reduce(words.limit(0), "w", lambda a, b: F.concat(a, b), F.lit("none"), "i").first()["w"] == "none"
+
+
+def test_a_changed_image_is_refused(spark, tmp_path):
+    import os
+
+    p = str(tmp_path / "sub-1_bold.nii")
+    nifti.write_nifti(p, np.ones((2, 8)), (2, 2, 2))
+    src, _ = nifti.nifti_source(spark, [p])
+    os.utime(p, (1, 1))
+    with pytest.raises(PySparkException):
+        src.long().count()
+
+
+def test_edges_need_finite_weights(spark):
+    rows = [("a", "b", 1.0), ("a", "c", float("inf")), ("b", "c", None), ("c", "d", float("nan")), (None, "d", 1.0)]
+    assert ent.SparseRelation(spark.createDataFrame(rows, "from_id string, to_id string, weight double"), "x", "y").problems() == 4
+
+
 def test_kinds_that_come_with_the_package(spark):
     registry.register_builtin()
     assert set(registry.names()) >= {"frame", "latent", "matrix", "nifti", "study"}
