@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of
+from .common import cut, parts_of
 from .words import WordEncoder, lists
 
 #: Of a match that ends nearer than this to a cut, more text could change the end: contractions have three code points.
@@ -112,8 +112,8 @@ def encode(
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
 
-    # repeated rows are encoded once; the hash stands for the text in keys
-    long = (
+    # long texts are written once, as their chunks are read several times; repeated rows are encoded once; the hash stands for the text in keys
+    long = cut(
         rows.where(F.length("text") > chunk)
         .groupBy("doc_id", "text", *carry)
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written as cut
 
-__all__ = ["cut", "file_system", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "training_rows"]
+__all__ = ["cut", "file_system", "fresh", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "training_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +23,16 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % folds == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``max_rows`` labelled documents outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int = 64_000_000) -> DataFrame:
+    """(doc_id, text, label) of at most ``max_rows`` labelled documents outside the held-out fold, of ``max_chars`` code points in all.
 
-    The sample is the rows with the smallest xxhash64(doc_id), so it is the
-    same in every run. Only its ids, at most ``max_rows`` of them, are
-    broadcast. Labels that contradict each other count as the larger one;
-    null ids, null labels and repeated rows of an id are left out.
+    The sample is the rows with the smallest xxhash64(doc_id), up to the row
+    that would exceed ``max_chars``, so it is the same in every run and what a
+    fit brings to the driver is bounded. Only its ids, at most ``max_rows`` of
+    them, are broadcast; its texts are written to the shared folder once. Labels that contradict each other count as the larger
+    one; null ids, null labels and repeated rows of an id are left out.
     """
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -36,10 +40,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id")
-    )
+    sample = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"))
+    # one window over max_rows short rows at most
+    sizes = sample.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).limit(max_rows)
+    kept = sizes.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= max_chars).select("doc_id")
+    return sample.join(F.broadcast(kept), "doc_id", "left_semi")
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` has, in whatever case."""
+    known, out = {c.lower() for c in taken}, f"__{name}"
+    while out.lower() in known:
+        out += "_"
+    return out
 
 
 def parts_of(batches, rows: int = 500):

@@ -54,7 +54,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parts_of
@@ -206,8 +207,9 @@ def frequent_tokens(docs: DataFrame, width: int, share: float, least: int) -> tu
             yield pa.RecordBatch.from_arrays([pa.array(found[again].view(np.int64)), pa.array(n[again].astype(np.int64))], names=["token", "n"])
 
     bound = max(least, int(share * docs.count()))
-    rows = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).toPandas()
-    tokens, counts = rows["token"].to_numpy(np.int64).view(_U), rows["n"].to_numpy(np.int64)
+    rows = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).toArrow()
+    tokens, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    tokens = tokens.view(_U)
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
@@ -307,18 +309,68 @@ def _dealt(rows: DataFrame, value: str) -> DataFrame:
     return rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("x") != F.col("c"), "x").select("c", "i", "j", "x", "n", value)
 
 
+def star_rows(posts: DataFrame, percent: int) -> DataFrame:
+    """(c, cn, x, n): each post's centre, the smallest set of its run, and its size; centres themselves are left out.
+
+    Posts (sig, n, rep) are sorted by ranges of all three columns, so that a
+    signature that many sets share is dealt over many tasks. A run ends where
+    the signature does, or where the next set is too large to be similar to the
+    one before. What a task meets before the first end may belong to a run of
+    the task before: these rows are marked, and get their centre from what the
+    tasks say of their first and last rows, a line for each.
+    """
+    schema = "part int, kind string, sig long, n long, c long, cn long, x long"  # kind: in, lead, first, last, or through where one run fills the task
+    names = ["part", "kind", "sig", "n", "c", "cn", "x"]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, lead = None, True  # signature, size, centre and its size of the row before; whether its run began with the task
+
+        def rows(kind: str, sig: np.ndarray, n: np.ndarray, c: np.ndarray, cn: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            size = len(x)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, part, np.int32)), pa.array([kind] * size, pa.string()), *(pa.array(v, pa.int64()) for v in (sig, n, c, cn, x))], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, n, rep = (b.column(k).to_numpy(zero_copy_only=False) for k in ("sig", "n", "rep"))
+            starts = np.r_[True, (sig[1:] != sig[:-1]) | (percent * n[1:] > 100 * n[:-1])]
+            if last is None:
+                yield rows("first", sig[:1], n[:1], rep[:1], n[:1], rep[:1])
+            else:
+                starts[0] = sig[0] != last[0] or percent * n[0] > 100 * last[1]
+            begin = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), -1))
+            c, cn = (np.where(begin < 0, 0 if last is None else last[k], v[np.maximum(begin, 0)]) for k, v in ((2, rep), (3, n)))
+            further = np.cumsum(starts) > (last is None)  # runs that begin behind the task's first row
+            leading = lead & ~further
+            for kind, which in (("lead", leading), ("in", ~leading & (rep != c))):
+                if which.any():
+                    yield rows(kind, sig[which], n[which], c[which], cn[which], rep[which])
+            lead = bool(leading[-1])
+            last = (sig[-1], n[-1], c[-1], cn[-1])
+        if last is not None:
+            yield rows("through" if lead else "last", *(np.array([v]) for v in (*last, last[2])))
+
+    dealt = posts.select("sig", F.col("n").cast("long"), "rep").repartitionByRange("sig", "n", "rep").sortWithinPartitions("sig", "n", "rep")
+    found = cut(dealt.mapInArrow(runs, schema))
+    ends: dict[int, dict] = {}
+    for r in found.where("kind in ('first', 'last', 'through')").collect():  # two lines a task
+        ends.setdefault(r["part"], {})[r["kind"] == "first"] = r
+    before, centres = None, []
+    for part in sorted(ends):
+        first, last = ends[part][True], ends[part][False]
+        goes_on = before is not None and first["sig"] == before[0] and percent * first["n"] <= 100 * before[1]
+        centre = before[2:] if goes_on else (first["c"], first["cn"])
+        centres.append((part, *centre))
+        before = (last["sig"], last["n"], *(centre if last["kind"] == "through" else (last["c"], last["cn"])))
+    of = found.sparkSession.createDataFrame(centres, "part int, c long, cn long")
+    lead = found.where("kind = 'lead'").select("part", "x", "n").join(F.broadcast(of), "part").where("x <> c").select("c", "cn", "x", "n")
+    return found.where("kind = 'in'").select("c", "cn", "x", "n").unionByName(lead)
+
+
 def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: int, block_tokens: int, broadcast_rows: int) -> DataFrame:
     """(a, b): links that span the components of the classes' sets. classes_of: rep, n, sigs, bits."""
-    posts = classes_of.select(F.explode("sigs").alias("sig"), "n", "rep")
-    by_size = Window.partitionBy("sig").orderBy("n", "rep")
-    apart = F.coalesce(percent * F.col("n") > 100 * F.lag("n").over(by_size), F.lit(True))
-    stars = cut(
-        posts.withColumn("apart", apart)
-        .withColumn("c", F.last(F.when(F.col("apart"), F.struct("rep", "n")), ignorenulls=True).over(by_size))
-        .where(F.col("c.rep") != F.col("rep"))
-        .groupBy(F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("rep").alias("x"))
-        .agg(F.max("n").alias("n"))
-    )
+    stars = cut(star_rows(classes_of.select(F.explode("sigs").alias("sig"), "n", "rep"), percent).groupBy("c", "cn", "x").agg(F.max("n").alias("n")))
     blocks = stars.groupBy("c").agg(F.ceil((F.sum("n") + F.max("cn")) / block_tokens).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
@@ -392,7 +444,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
 
 def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, share: float = 0.0001, least: int = 8,
-    classes: int = 32, pairs_up_to: int = 2000, block_tokens: int = 1_000_000, broadcast_rows: int = 1_000_000,
+    classes: int = 32, pairs_up_to: int = 2000, block_tokens: int = 1_000_000, broadcast_rows: int = 250_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))

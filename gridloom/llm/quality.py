@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, training_rows
+from .common import fresh, parts_of, training_rows
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "upper", "digits", "symbols", "shouts", "pipes", "stops",
@@ -176,9 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [list(map(float, features(t))) for t in b["text"]]})
 
     sample = training_rows(docs, labels, label, max_rows).mapInPandas(rows, "doc_id long, label int, x array<double>")
-    found = sample.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
-    x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
-    return fit_matrix(x, found["label"].to_numpy(float), **options)
+    found = sample.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), len(FEATURES))
+    return fit_matrix(x, found.column("label").to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
@@ -193,7 +193,8 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str =
 
 
 def keep(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows that score at least ``threshold``, with the columns of ``docs``."""
-    return score(docs, model, text, "__quality").where(F.col("__quality") >= threshold).select(*docs.columns)
+    """The rows that score at least ``threshold``, with the columns of ``docs``, whatever their names."""
+    name = fresh("quality", docs.columns)
+    return score(docs, model, text, name).where(F.col(name) >= threshold).select(*docs.columns)
 
 

@@ -11,8 +11,9 @@ letters.
 The vocabulary is the ``vocabulary`` features that tell the two labels apart
 best among the training documents, counted by Spark; features that fewer than
 ``least`` documents hold are left out. Training sees at most ``max_rows``
-labelled documents (a documented bound; see common.training_rows); scores cover
-every whole text and depend on nothing else.
+labelled documents of at most ``max_chars`` code points in all (documented
+bounds, which also bound what the driver holds; see common.training_rows);
+scores cover every whole text and depend on nothing else.
 
 Defined cases: null and empty texts have no sentence and score 0; extra columns
 are kept, ones with the results' names are replaced; without labelled rows of
@@ -23,16 +24,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, training_rows
+from .common import fresh, parts_of, training_rows
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,7 +72,7 @@ class _Weights(dict):
         return w
 
 
-def train(bags: list[tuple[int, int, list[int], list[int]]], size: int, steps: int = 400, rate: float = 0.08, ridge: float = 0.03) -> tuple[float, np.ndarray]:
+def train(bags: Sequence[tuple[int, int, Sequence[int], Sequence[int]]], size: int, steps: int = 400, rate: float = 0.08, ridge: float = 0.03) -> tuple[float, np.ndarray]:
     """Bias and weights from (label, number of sentences, sentence of each hit, feature of each hit)."""
     y = np.array([b[0] for b in bags], float)
     n = np.array([b[1] for b in bags])
@@ -94,8 +96,8 @@ def train(bags: list[tuple[int, int, list[int], list[int]]], size: int, steps: i
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, vocabulary: int = 4096, least: int = 4) -> NoisyOrModel:
-    sample = training_rows(docs, labels, label, max_rows).dropDuplicates(["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_chars: int = 64_000_000, vocabulary: int = 4096, least: int = 4) -> NoisyOrModel:
+    sample = training_rows(docs, labels, label, max_rows, max_chars).dropDuplicates(["doc_id"])
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return NoisyOrModel(-30.0, {})
@@ -133,8 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
                 out.append((doc_id, y, len(found), [i for i, _ in at], [k for _, k in at]))
             yield pd.DataFrame(out, columns=["doc_id", "label", "n", "sentence", "feature"])
 
-    bags = sample.mapInPandas(hits, "doc_id long, label int, n int, sentence array<int>, feature array<int>").toPandas().sort_values("doc_id")
-    bias, weights = train([(int(y > 0), n, s, f) for y, n, s, f in zip(bags["label"], bags["n"], bags["sentence"], bags["feature"], strict=True)], len(index))
+    bags = sample.mapInPandas(hits, "doc_id long, label int, n int, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    plain = lambda c: bags.column(c).combine_chunks()
+    ends = np.r_[0, np.cumsum(pc.list_value_length(plain("sentence")).to_numpy(zero_copy_only=False))].astype(int)
+    s, f = (plain(c).flatten().to_numpy(zero_copy_only=False) for c in ("sentence", "feature"))
+    each = zip(plain("label").to_pylist(), plain("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    bias, weights = train([(int(y > 0), n, s[i:j], f[i:j]) for y, n, i, j in each], len(index))
     return NoisyOrModel(bias, {f: float(weights[i]) for f, i in index.items()})
 
 
@@ -159,12 +165,14 @@ def score(docs: DataFrame, model: NoisyOrModel, text: str = "text", out: str = "
                 spans.append([{"start": a, "end": b, "score": float(q)} for (a, b, _), q in zip(found, p, strict=True) if q >= sentence_threshold])
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=["score", "spans"])
 
-    scored = docs.withColumn("__tox", of(F.col(text))).withColumn(out, F.col("__tox.score"))
+    name = fresh("tox", [*docs.columns, out, located or ""])
+    scored = docs.withColumn(name, of(F.col(text))).withColumn(out, F.col(f"{name}.score"))
     if located:
-        scored = scored.withColumn(located, F.col("__tox.spans"))
-    return scored.drop("__tox")
+        scored = scored.withColumn(located, F.col(f"{name}.spans"))
+    return scored.drop(name)
 
 
 def keep(docs: DataFrame, model: NoisyOrModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows that score below ``threshold``, with the columns of ``docs``."""
-    return score(docs, model, text, "__toxic", None).where(F.col("__toxic") < threshold).select(*docs.columns)
+    """The rows that score below ``threshold``, with the columns of ``docs``, whatever their names."""
+    name = fresh("toxic", docs.columns)
+    return score(docs, model, text, name, None).where(F.col(name) < threshold).select(*docs.columns)
