@@ -7,11 +7,13 @@ of them. A search posts the query's own order against these files: the
 footrule distance of two prefixes, with places beyond the prefix counted as its
 length, falls by 2 * (prefix - max(place, place')) for every pivot in both, so
 that adding up these amounts over the query's inverted files ranks all that
-were met. The best ``rerank`` share of a block by footrule is then ranked by the
-exact inner product on the original vectors, in double precision.
+were met. The best of a block by footrule, ``rerank`` of its rows and
+``rerank_k`` times k more, are then ranked by the exact inner product on the
+original vectors, in double precision.
 
-Every vector is indexed, in blocks of about ``block_rows``; queries, a stated
-share of the rows, come in blocks too and meet each index block once.
+Every vector is indexed, in blocks of about ``block_rows``. Queries, a stated
+share of the rows, come in blocks of about ``query_rows`` and meet each index
+block once, so that the index is shuffled once for each block of queries.
 
 Nearness is the largest inner product; ties go to the smaller id.
 
@@ -29,7 +31,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,42 +56,51 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
-def postings(order: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inverted files: where each pivot's begins, the rows posted and their weights prefix - place."""
-    prefix = order.shape[1]
-    flat = order.ravel()
-    by_pivot = np.argsort(flat, kind="stable")
-    begins = np.searchsorted(flat[by_pivot], np.arange(n_pivots + 1))
-    return begins, (by_pivot // prefix).astype(np.int32), (prefix - by_pivot % prefix).astype(np.int32)
+def postings(order: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Inverted files, a row for each pivot: what each vector is posted with, prefix - place, and 0 where it isn't."""
+    n, prefix = order.shape
+    files = np.zeros((n_pivots, n), np.uint16)
+    files[order.T, np.arange(n)] = np.arange(prefix, 0, -1)[:, None]
+    return files
 
 
-def closeness(query: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """What the footrule distance falls by, halved, for each of n rows."""
-    begins, rows, weights = files
-    prefix = len(query)
-    at = np.concatenate([np.arange(begins[p], begins[p + 1]) for p in query])
-    mine = np.repeat(prefix - np.arange(prefix), [begins[p + 1] - begins[p] for p in query])
-    return np.bincount(rows[at], np.minimum(weights[at], mine), n)
+def closeness(query: np.ndarray, files: np.ndarray) -> np.ndarray:
+    """What the footrule distance falls by, halved, for each row."""
+    mine = np.arange(len(query), 0, -1, dtype=np.uint16)[:, None]
+    return np.minimum(files[query], mine).sum(axis=0, dtype=np.uint32)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, k: int, rerank: float, least: int) -> list[tuple[int, int, float]]:
-    """(query, id, score) of each query's k best in one block of the index."""
+def most(values: np.ndarray, n: int) -> np.ndarray:
+    """Positions, ascending, of the n largest; of equal ones those that come first."""
+    if n >= len(values):
+        return np.arange(len(values))
+    least = np.partition(values, len(values) - n)[len(values) - n]
+    above, equal = np.flatnonzero(values > least), np.flatnonzero(values == least)
+    return np.sort(np.r_[above, equal[: n - len(above)]])
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, k: int, rerank: float, rerank_k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, ids and scores of each query's k best in one block of the index, whose ids ascend."""
     files = postings(orders(x, pivots, prefix), len(pivots))
-    take = min(len(ids), max(least, math.ceil(rerank * len(ids)), k + 1))
-    out = []
+    take = math.ceil(rerank * len(ids)) + rerank_k * k + 1
     for q, v, order in zip(query_ids, queries, orders(queries, pivots, prefix), strict=True):
-        met = closeness(order, files, len(ids))
-        near = np.sort(np.argsort(-met, kind="stable")[:take])
+        near = most(closeness(order, files), take)
         near = near[ids[near] != q]
         scores = (x[near] * v).sum(axis=1)
         best = np.lexsort((ids[near], -scores))[:k]
-        out += [(int(q), int(i), float(s)) for i, s in zip(ids[near[best]], scores[best], strict=True)]
-    return out
+        yield np.full(len(best), q), ids[near[best]], scores[best]
+
+
+def _unpacked(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one packed block."""
+    found = rows.flatten()
+    ids, v = found.field("vec_id").to_numpy(zero_copy_only=False), found.field("v").flatten().to_numpy(zero_copy_only=False)
+    return ids, v.reshape(len(ids), -1)
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, n_pivots: int = 256, prefix: int = 32,
-    rerank: float = 0.35, least: int = 500, block_rows: int = 4096, query_rows: int = 1024,
+    vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, n_pivots: int = 256, prefix: int = 128,
+    rerank: float = 0.06, rerank_k: int = 4, block_rows: int = 4096, query_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k nearest found for each query, over all vectors."""
     rows = cut(usable(vectors, vec_id, embedding))
@@ -108,13 +119,14 @@ def search(
     index = pack(rows, blocks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     tiles = index.join(pack(q, groups, "part"), "part").repartition(blocks * groups, "part", "block")
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = lambda r: (np.array([x["vec_id"] for x in r]), np.array([x["v"] for x in r], float))
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for mine, theirs in zip(b["block_rows"], b["part_rows"], strict=True):
-                hits = search_block(*split(mine), *split(theirs), pivots, depth, k, rerank, least)
-                yield pd.DataFrame(hits, columns=["query_id", "vec_id", "score"])
+            for i in range(len(b)):
+                (ids, x), (query_ids, q) = (_unpacked(b.column(c).slice(i, 1)) for c in ("block_rows", "part_rows"))
+                hits = list(search_block(ids, x, query_ids, q, pivots, depth, k, rerank, rerank_k))
+                columns = [np.concatenate(c) for c in zip(*hits, strict=True)] if hits else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    hits = tiles.select("block_rows", "part_rows").mapInPandas(found, "query_id long, vec_id long, score double")
+    hits = tiles.select("block_rows", "part_rows").mapInArrow(found, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
