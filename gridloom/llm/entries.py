@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, mixing, ngram_join, permutation_index, quality, sharding, sstable, toxicity, warc
-from .common import held_out, table
+from .common import cut, held_out, table
 
 SHARDS = {f"shard-{i:03d}": 1 for i in range(256)}
 RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
@@ -32,29 +32,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = fingerprints.with_fingerprint(docs)
     n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next_text").substr(F.lit(1), cut))
-    canon = lambda c: fingerprints.canonical(F.col(c))
-    same = lambda a, b, x, y: ((F.col(a) == F.col(b)) & (F.col(x) == F.col(y))).cast("double")
-    rows = (
-        fingerprints.with_next(docs, "doc_id", "text")
-        .withColumn("edited", edited)
-        .withColumns({"c0": canon("text"), "c1": canon("edited"), "c2": canon("next_text")})
-        .withColumns({"f0": fingerprints.wide_hash(F.col("c0")), "f1": fingerprints.wide_hash(F.col("c1")), "f2": fingerprints.wide_hash(F.col("c2"))})
-        .select(
-            "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            F.col("f0").alias("fingerprint"), F.col("f1").alias("edited_fingerprint"), same("f0", "f1", "c0", "c1").alias("near_edited"), same("f0", "f2", "c0", "c2").alias("near_next"),
+    part = F.floor(n / 4).cast("int")
+    following = F.coalesce("next_text", F.lit(""))
+    edited = F.concat(F.col("text").substr(F.lit(1), n - part), following.substr(F.lit(1), part))
+    rows = fingerprints.with_next(known, "doc_id", {"next_text": "text", "next_fingerprint": "fingerprint"}).withColumn("edited", edited)
+    rows = fingerprints.with_fingerprint(rows, "edited", "edited_fingerprint")
+    own = (F.col("text"), F.col("fingerprint"))
+    found = cut(
+        rows.select(
+            "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+            fingerprints.likeness(*own, F.col("edited"), F.col("edited_fingerprint")).alias("near_edited"),
+            F.coalesce(fingerprints.likeness(*own, F.col("next_text"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
         )
     )
-    groups = fingerprints.exact_groups(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
-    return rows.join(groups, ["doc_id", "fingerprint"]).select(*rows.columns, "group_id")
+    groups = fingerprints.exact_groups(docs, fingerprints=found).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id")).alias("g")
+    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.fingerprint") == F.col("g.fingerprint"))
+    return found.alias("r").join(groups, same).select("r.*", "group_id")
 
 
 def _encoded(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=carry)
-    return bpe.decode(ids, path).select(
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, carry=carry, decoded="bytes").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *carry
     )
 
@@ -71,7 +71,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("content")
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages"))).withColumn("__record", warc.record_bytes())
+    return records.withColumns({"record_bytes": F.octet_length("__record").cast("long"), "record_sha256": F.sha2("__record", 256)}).drop("__record", "content")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +124,16 @@ def _warc_sql() -> str:
     text = rf"regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g')"
     text = rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
     crlf = "chr(13) || chr(10)"
+    digest = "'sha256:' || sha256({})"
+    value = {
+        "warc_type": "t", "record_id": "i", "refers_to": "rid", "concurrent_to": "o", "target_uri": "url", "warc_date": f"'{warc.DATE}'", "block_digest": digest.format("body"), "payload_digest": digest.format("body"),
+        "source_status": "'200'", "source_content_type": "'text/html; charset=UTF-8'", "source_payload_digest": digest.format("page"), "content_type": "c", "content_length": "strlen(body)",
+    }
+    head = " || ".join(f"'{name}: ' || {value[column]} || {crlf}" for name, column in warc.HEADERS)
     fields = rf"""'title: ' || regexp_replace(regexp_extract(page, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g') || {crlf} || 'language: '
       || regexp_extract(page, '(?i)<html[^>]*\blang="([^"]*)"', 1) || {crlf} || 'outlinks: ' || len(regexp_extract_all(page, '(?i)<a\s[^>]*href='))
-      || {crlf} || 'http-status: 200' || {crlf} || 'source-content-type: text/html; charset=UTF-8' || {crlf} || 'source-payload-digest: sha256:' || sha256(page) || {crlf}"""
+      || {crlf} || 'http-status: 200' || {crlf} || 'source-content-type: text/html; charset=UTF-8' || {crlf} || 'source-payload-digest: sha256:' || sha256(page) || {crlf}
+      || 'source-header: Content-Type: text/html; charset=UTF-8' || {crlf} || 'source-header: Content-Length: ' || strlen(page) || {crlf}"""
     return f"""
     WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS page, {_uuid("'response|' || coalesce(page_id::VARCHAR, 'null') || '|' || coalesce(url, 'null')")} AS rid FROM pages),
     ids AS (SELECT *, {_uuid("'metadata|' || rid")} AS mid, {_uuid("'conversion|' || rid")} AS cid FROM p),
@@ -134,7 +142,9 @@ def _warc_sql() -> str:
       UNION ALL SELECT page_id, url, page, rid, 'conversion', cid, mid, 'text/plain; charset=UTF-8', {text} FROM ids)
     SELECT page_id, t AS warc_type, i AS record_id, rid AS refers_to, o AS concurrent_to, url AS target_uri, '{warc.DATE}' AS warc_date, c AS content_type,
       strlen(body)::BIGINT AS content_length, 'sha256:' || sha256(body) AS block_digest, 'sha256:' || sha256(body) AS payload_digest,
-      '200' AS source_status, 'text/html; charset=UTF-8' AS source_content_type, 'sha256:' || sha256(page) AS source_payload_digest FROM r"""
+      '200' AS source_status, 'text/html; charset=UTF-8' AS source_content_type, 'sha256:' || sha256(page) AS source_payload_digest,
+      strlen(record)::BIGINT AS record_bytes, sha256(record) AS record_sha256
+    FROM (SELECT *, 'WARC/1.1' || {crlf} || {head} || {crlf} || body || {crlf} || {crlf} AS record FROM r)"""
 
 
 #: Shingles, a join of documents that share one, and closure over the links. Quick on small tables alone.

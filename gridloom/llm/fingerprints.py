@@ -10,17 +10,19 @@ Normalisation and folding are ICU's, which Spark ships, called by the SQL
 function java_method.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint;
-a row with a null id takes part with a null id; repeated rows get equal rows;
-empty tables give empty results; input columns with a result's name are
-replaced.
+a row with a null id takes part, and has no next document; repeated rows get
+equal rows; empty tables give empty results; input columns with a result's name
+are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import cut, shuffle_partitions
 
 #: White space of Unicode, as NFKC leaves it.
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -51,55 +53,75 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(*parts)
 
 
-def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("fingerprint", wide_hash(canonical(F.col(text))))
+def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
+    """Add the fingerprint of a text. The canonical form is a column first, so that it is made once for both halves of the hash."""
+    return df.withColumn("__canon", canonical(F.col(text))).withColumn(out, wide_hash(F.col("__canon"))).drop("__canon")
+
+
+def likeness(text: Column, fingerprint: Column, other: Column, other_fingerprint: Column) -> Column:
+    """1 if two texts have the same canonical bytes, else 0; bytes are made and compared where fingerprints agree."""
+    return F.when(fingerprint == other_fingerprint, (canonical(text) == canonical(other)).cast("double")).otherwise(F.lit(0.0))
 
 
-def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bits: int = 1 << 22) -> DataFrame:
+def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprints: DataFrame | None = None, max_bits: int = 1 << 27) -> DataFrame:
     """(doc_id, fingerprint, group_id): the smallest id of the documents with the same canonical bytes.
 
-    Only documents whose fingerprint others share are compared by bytes. A
-    bitmap of ``filter_bits`` bits, broadcast, keeps nearly all others' texts
-    out of that shuffle; those that it lets pass cost time and change nothing.
-    Copies meet as one row a task, as the grouping adds up before it shuffles.
+    ``fingerprints`` are the rows' (doc_id, fingerprint) where they are known
+    already. Only documents whose fingerprint others share are made canonical
+    and compared by bytes. A bitmap of their hashed ids, broadcast, keeps the
+    others out of that shuffle: eight bits for each, in maps of 32,768 and at
+    most ``max_bits`` (16 MB); those that it lets pass cost time and change
+    nothing. Copies meet as one row a task, as the grouping adds up before it
+    shuffles.
     """
     per = 32768  # bits of one bitmap of bitmap_construct_agg
-    canon = canonical(F.col(text))
-    docs = df.select(F.col(doc_id).alias("doc_id"), canon.alias("__canon")).withColumn("fingerprint", wide_hash(F.col("__canon")))
-    bit = F.pmod(F.xxhash64("fingerprint"), F.lit(filter_bits))
-    shared = docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(bit.alias("__bit"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = with_fingerprint(docs).drop("text") if fingerprints is None else fingerprints.select("doc_id", "fingerprint")
+    known = known if fingerprints is not None else cut(known)
+    shared = known.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = int(shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    bits = min(max_bits, max(per, 1 << (8 * copies).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     maps = (
-        shared.groupBy(F.floor(F.col("__bit") / per).alias("__map"))
+        known.join(shared.select("fingerprint"), "fingerprint", "left_semi")
+        .select(bit.alias("__bit"))
+        .groupBy(F.floor(F.col("__bit") / per).alias("__map"))
         .agg(F.expr(f"bitmap_construct_agg(__bit % {per})").alias("__bits"))
     )
-    flagged = (
-        docs.withColumns({"__map": F.floor(bit / per), "__pos": (bit % per).cast("int")})
-        .join(F.broadcast(maps), "__map", "left")
-        .withColumn("__byte", F.expr("cast(conv(hex(substring(__bits, cast(__pos div 8 as int) + 1, 1)), 16, 10) as int)"))
-        .withColumn("__maybe", F.coalesce(F.expr("getbit(__byte, __pos % 8) = 1"), F.lit(False)))
-    )
-    rest = flagged.where(~F.col("__maybe")).select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-    maybe = flagged.where("__maybe").select("doc_id", "fingerprint", "__canon")
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumns({"__map": F.floor(bit / per), "__pos": (bit % per).cast("int")})
+            .join(F.broadcast(maps), "__map", "left")
+            .withColumn("__byte", F.expr("cast(conv(hex(substring(__bits, cast(__pos div 8 as int) + 1, 1)), 16, 10) as int)"))
+            .withColumn("__maybe", F.coalesce(F.expr("getbit(__byte, __pos % 8) = 1"), F.lit(False)))
+        )
+
+    rest = flagged(known).where(~F.col("__maybe")).select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
+    canon = flagged(docs).where("__maybe").select("doc_id", canonical(F.col("text")).alias("__canon"))
+    maybe = canon.withColumn("fingerprint", wide_hash(F.col("__canon")))
     firsts = maybe.groupBy("fingerprint", "__canon").agg(F.min("doc_id").alias("group_id"))
     same = maybe.join(firsts, ["fingerprint", "__canon"]).select("doc_id", "fingerprint", "group_id")
     return rest.unionByName(same)
 
 
-def with_next(df: DataFrame, doc_id: str, text: str, buckets: int | None = None) -> DataFrame:
-    """Add ``next_text``: the text of the next document by ascending id, after the last that of the first.
+def with_next(df: DataFrame, doc_id: str, columns: Mapping[str, str], buckets: int | None = None) -> DataFrame:
+    """Add ``columns`` (new name: column) of the next document by ascending id, after the last those of the first.
 
     Rows are dealt to ranges of ids between quantiles, which are ids that
     occur; the document that begins a range also goes, marked, to the range
     before, so that each range finds its last row's successor by itself and no
-    task sees all rows. Of rows with one id, the order is by text.
+    task sees all rows. Of rows with one id, the order is by the columns. Rows
+    with a null id have no next document: null.
     """
     spark = df.sparkSession
     n = buckets or 8 * shuffle_partitions(spark)
     rows = df.where(F.col(doc_id).isNotNull())
     found = rows.agg(F.min(doc_id).alias("first"), F.percentile_approx(doc_id, [i / n for i in range(1, n)], 20 * n).alias("cuts")).first()
     cuts = sorted({found["first"], *(found["cuts"] or [])} - {None})
+    none = df.where(F.col(doc_id).isNull()).withColumns({name: F.lit(None).cast(df.schema[c].dataType) for name, c in columns.items()})
     if not cuts:
-        return rows.withColumn("next_text", F.lit(None).cast("string"))
+        return none
     starts = spark.createDataFrame([(c, (i - 1) % len(cuts)) for i, c in enumerate(cuts)], "__start long, __before long")
     dealt = rows.join(F.broadcast(starts), F.col(doc_id) == F.col("__start"), "left")
     dealt = dealt.withColumn("__bucket", _position(F.col(doc_id), cuts))
@@ -109,8 +131,9 @@ def with_next(df: DataFrame, doc_id: str, text: str, buckets: int | None = None)
         .otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("mark")), F.struct(F.col("__before").alias("b"), F.lit(True).alias("mark")))),
     )
     placed = dealt.select(*df.columns, F.explode("__copies").alias("__to")).select(*df.columns, "__to.b", "__to.mark")
-    order = Window.partitionBy("b").orderBy("mark", doc_id, text)
-    return placed.withColumn("next_text", F.lead(F.coalesce(text, F.lit(""))).over(order)).where(~F.col("mark")).drop("b", "mark")
+    order = Window.partitionBy("b").orderBy("mark", doc_id, *columns.values())
+    next_rows = placed.withColumns({name: F.lead(c).over(order) for name, c in columns.items()}).where(~F.col("mark")).drop("b", "mark")
+    return next_rows.unionByName(none)
 
 
 def _position(x: Column, cuts: list[int]) -> Column:

@@ -1,7 +1,8 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Each response gets a metadata record (application/warc-fields, with what was
-found in the page) and a conversion record (its text). Both name the response
+found in the page and every HTTP header of the response) and a conversion record
+(its text). Both name the response
 in WARC-Refers-To, and each other in WARC-Concurrent-To; both keep its target,
 date and HTTP headers' fields, and have SHA-256 digests of block and payload
 beside the payload digest of the source.
@@ -75,6 +76,12 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     )
 
 
+def source_headers(http: Column) -> Column:
+    """Every header of a response as a field of its own, in their order, behind the status line."""
+    lines = F.filter(F.slice(F.split(http, "\r\n"), 2, 1 << 30), lambda x: x != "")
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), "")
+
+
 def derive(source: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response."""
     page = F.col("payload")
@@ -85,7 +92,7 @@ def derive(source: DataFrame) -> DataFrame:
     kind = F.regexp_extract("http_headers", r"(?i)Content-Type: ([^\r\n]*)", 1)
     fields = F.concat(
         F.lit("title: "), F.regexp_replace(title, r"\s+", " "), F.lit("\r\nlanguage: "), lang, F.lit("\r\noutlinks: "), links.cast("string"),
-        F.lit("\r\nhttp-status: "), status, F.lit("\r\nsource-content-type: "), kind, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"),
+        F.lit("\r\nhttp-status: "), status, F.lit("\r\nsource-content-type: "), kind, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"), source_headers(F.col("http_headers")),
     )
     made = source.withColumns({"__meta": record_id("metadata", F.col("record_id")), "__conv": record_id("conversion", F.col("record_id"))})
     record = lambda t, i, other, c, body: F.struct(F.lit(t).alias("warc_type"), F.col(i).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(c).alias("content_type"), body.alias("content"))
@@ -107,8 +114,13 @@ HEADERS = (
 
 def serialised(records: DataFrame) -> DataFrame:
     """(record_id, record): a record's bytes as WARC/1.1 has them."""
+    return records.select("record_id", record_bytes().alias("record"))
+
+
+def record_bytes() -> Column:
+    """The bytes of a row's record: headers, an empty line, content and two line ends."""
     head = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{h}: "), F.col(c).cast("string"), F.lit("\r\n")) for h, c in HEADERS], F.lit("\r\n"))
-    return records.select("record_id", F.concat(head, F.col("content"), F.lit("\r\n\r\n")).cast("binary").alias("record"))
+    return F.concat(head, F.col("content"), F.lit("\r\n\r\n")).cast("binary")
 
 
 def write(records: DataFrame, folder: str | None = None, file_bytes: int = 256 << 20) -> DataFrame:
