@@ -61,6 +61,20 @@ def test_assign_keeps_rows_and_spreads_hot_and_null_keys(spark):
     assert sharding.assign(df.limit(0), ["key"], shards, 1009).count() == 0
 
 
+def test_op1_places_every_document_by_brute_force(spark, tmp_path):
+    import xxhash
+
+    from gridloom.llm import entries
+
+    ids = [*range(300), -5, 1 << 62, None, None, 7, 7]
+    spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    owner = sharding.lookup_table(entries.SHARDS)
+    hashed = lambda i: 42 if i is None else xxhash.xxh64((i % (1 << 64)).to_bytes(8, "little"), seed=42).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = Counter((i, signed(hashed(i)) % sharding.TABLE_SIZE, owner[signed(hashed(i)) % sharding.TABLE_SIZE]) for i in ids)
+    assert Counter(map(tuple, entries.op1_sharding(spark, str(tmp_path)).collect())) == want
+
+
 # mixing
 
 
@@ -110,6 +124,45 @@ def test_interleaved_keeps_columns_and_rows(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(100))
 
 
+def test_interleaved_returns_clashing_columns_as_they_were(spark):
+    rows = [(i if i % 5 else None, f"s{i % 3}" if i % 4 else None, 1000 + i, "b", None, {"k": i}) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, slot long, block string, in_mix boolean, extra map<string,int>")
+    got = mixing.interleaved(df, block_rows=2)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert mixing.interleaved(df.limit(0)).count() == 0
+
+
+def test_schedule_is_that_of_brute_force_and_blocks_are_bounded(spark):
+    """op10's whole schedule: at every slot the released block with the earliest deadline, by exact fractions."""
+    from fractions import Fraction
+
+    rows = [(i, None if i % 13 == 0 else "\u0000" if i % 17 == 0 else "hot" if i % 3 == 0 else f"s{i % 6}") for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=3).collect()
+    counts = Counter(s for _, s in rows)
+    weights = {s: Fraction(n**0.5) for s, n in counts.items()}
+    total, left = sum(weights.values()), {s: -(-n // 3) for s, n in counts.items()}
+    done, want, t = dict.fromkeys(counts, 0), {}, 0
+    while any(done[s] < n for s, n in left.items()):
+        free = []
+        for s, n in left.items():
+            i, w = done[s], weights[s] / total
+            if (release := i / w // 1) <= t:
+                free.append((-(-(i + 1) // w), "" if s is None else f"={s}", s, release))
+        due, _, s, release = min(free, default=(None, None, None, None))
+        if due is None:
+            t += 1
+        elif done[s] == left[s]:
+            done.pop(s), left.pop(s)
+        else:
+            want[s, done[s]] = (t, release, due)
+            done[s] += 1
+            t += 1
+    assert {(r["source"], r["block"]): (r["slot"], r["release"], r["due"]) for r in got} == want
+    few = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=3, max_blocks=40).collect()
+    assert len({(r["source"], r["block"]) for r in few}) <= 40 and len(few) == len(rows)
+
+
 @pytest.mark.parametrize("weights, blocks", [({f"s{i:02d}": 1.0 for i in range(20)}, 400), ({f"s{i:02d}": (i + 1) ** 0.5 for i in range(7)}, 3000)])
 def test_sources_stay_within_a_block_of_their_true_weights(weights, blocks):
     units, total, had = mixing.exact_units(weights), sum(weights.values()), Counter()
@@ -219,6 +272,47 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.keep(docs, model).columns == docs.columns
 
 
+def local_toxicity(model, text):
+    """Noisy-or over sentences, by the model's weights alone."""
+    z = [model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.word_features(w)) for _, _, words in toxicity.sentences(text)]
+    return 1 - float(np.prod([1 - min(1 / (1 + np.exp(-np.clip(x, -30, 30))), 1 - 1e-12) for x in z])) if z else 0.0
+
+
+def test_op2_and_op5_score_as_their_models_say(spark, tmp_path):
+    from gridloom.llm import entries
+
+    docs, labels, _ = labelled(spark, n=150)
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    texts = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good, bad = quality.fit(texts, labels), toxicity.fit(texts, labels)
+    rows = [(r["doc_id"], r["text"]) for r in texts.collect()]
+    for query, threshold, score in (
+        (entries.op2_quality, 0.3, lambda t: float(good.score(np.array([quality.features(t)], float))[0])),
+        (entries.op5_toxicity, 0.5, lambda t: local_toxicity(bad, t)),
+    ):
+        got = Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in query(spark, str(tmp_path)).collect())
+        assert got == Counter((i, held(i), round(score(t), 9), int(score(t) >= threshold)) for i, t in rows)
+
+
+def test_training_rows_are_bounded_in_rows_and_characters(spark):
+    from gridloom.llm.common import training_rows
+
+    docs, labels, _ = labelled(spark, n=200)
+    every = training_rows(docs, labels, "quality", 10_000).collect()
+    assert all(not held(r["doc_id"]) for r in every) and len({r["doc_id"] for r in every}) == sum(not held(i) for i in range(200))
+    some = training_rows(docs, labels, "quality", 10_000, 20_000).collect()
+    assert {r["doc_id"] for r in some} < {r["doc_id"] for r in every} and sum(len(r["text"]) for r in some if r["doc_id"] != 3) <= 20_000
+    assert len({r["doc_id"] for r in training_rows(docs, labels, "quality", 50).collect()}) == 50
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    docs, labels, _ = labelled(spark, n=60)
+    odd = docs.withColumns({"__quality": F.lit("a"), "__TOXIC": F.lit("b"), "__tox": F.lit("c")})
+    for kept in (quality.keep(odd, quality.fit(docs, labels, rounds=5, pair_rounds=2), 0.0), toxicity.keep(odd, toxicity.fit(docs, labels), 1.1)):
+        assert kept.columns == odd.columns and {(r["__quality"], r["__TOXIC"], r["__tox"]) for r in kept.collect()} == {("a", "b", "c")} and kept.count() == docs.count()
+
+
 def test_noisy_or_gradient_is_that_of_its_likelihood():
     bags = [(1, 2, [0, 1], [0, 1]), (0, 1, [0], [1]), (1, 1, [0], [0])]
     bias, w = toxicity.train(bags, 2, steps=400)
@@ -242,6 +336,8 @@ def test_records_refer_to_their_response_and_files_hold_them(spark, tmp_path):
     mine = {r["warc_type"]: r for r in got if r["page_id"] == 1}
     assert mine["conversion"]["content"] == "A\ntitle\nOne & two\nthree <b>\nq"
     assert mine["metadata"]["content"].startswith("title: A title\r\nlanguage: en\r\noutlinks: 1\r\nhttp-status: 200\r\n")
+    size = len(page.encode())
+    assert mine["metadata"]["content"].endswith(f"\r\nsource-header: Content-Type: text/html; charset=UTF-8\r\nsource-header: Content-Length: {size}\r\n")
     assert mine["metadata"]["concurrent_to"] == mine["conversion"]["record_id"]
     empty = "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert all(r["payload_digest"] == empty and r["content_length"] == 0 for r in got if r["page_id"] in (2, 3) and r["warc_type"] == "conversion")
@@ -262,7 +358,7 @@ def test_search_finds_what_brute_force_finds(spark):
     rows = [(int(i) * 2, v.tolist(), 1) for i, v in enumerate(x)]
     odd = [(7001, None, 1), (7003, [0.0] * 16, 1), (7005, [float("nan")] * 16, 1), (7007, [1.0, None] * 8, 1), (7009, [float("inf")] * 16, 1), (7011, [1.0], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank int")
-    got = permutation_index.search(df, df.where("vec_id % 100 = 0 or vec_id > 7000 or vec_id in (300, 302)"), k=10, block_rows=700, query_rows=20, least=50).collect()
+    got = permutation_index.search(df, df.where("vec_id % 100 = 0 or vec_id > 7000 or vec_id in (300, 302)"), k=10, block_rows=700, query_rows=20).collect()
     ids, found = np.array([i for i, _, _ in rows]), {}
     for g in got:
         found.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
@@ -280,6 +376,27 @@ def test_search_finds_what_brute_force_finds(spark):
     assert copies and copies == [i for i in range(200, 800, 2)][: len(copies)]
 
 
+@pytest.mark.parametrize("n", [60, 500, 6000])
+def test_op9_has_recall_over_nine_tenths_on_even_spheres(spark, tmp_path, n):
+    from gridloom.llm import entries
+
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(6)
+    spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {}
+    for g in entries.op9_permutation_index(spark, str(tmp_path)).collect():
+        found.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
+    assert sorted(found) == list(range(0, n, 20))
+    hits = []
+    for q, f in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [i for i, _, _ in sorted(f)] == list(range(1, 21)) and all(abs(score - s[i]) < 1e-12 for _, i, score in f)
+        hits.append(np.isin(np.argsort(-s, kind="stable")[:20], [i for _, i, _ in f]).mean())
+    assert np.mean(hits) >= 0.93
+
+
 def test_search_of_few_and_of_no_vectors(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = permutation_index.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
@@ -290,29 +407,120 @@ def test_search_of_few_and_of_no_vectors(spark):
 # pipeline
 
 
+def brute_schedule(counts, block_rows=16):
+    """The sources of all rows in the order of the mix, by exact fractions: of the blocks released, the one due first."""
+    from fractions import Fraction
+
+    weights = {s: Fraction(n**0.5) for s, n in counts.items()}
+    total, done, left, t, out = sum(weights.values()), dict.fromkeys(counts, 0), dict(counts), 0, []
+    while any(left.values()):
+        free = []
+        for s in done:
+            i, w = done[s], weights[s] / total
+            if i / w // 1 <= t:
+                free.append((-(-(i + 1) // w), "" if s is None else f"={s}", s))
+        if not free:
+            t += 1
+            continue
+        _, _, s = min(free)
+        if not left[s]:
+            del done[s]
+            continue
+        n = min(block_rows, left[s])
+        out += [s] * n
+        left[s] -= n
+        done[s] += 1
+        t += 1
+    return out
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage and the whole: scores by the models' formulas, groups of all pairs, the schedule slot by slot, the library's ids."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline
+    from gridloom.llm import bpe
+
+    from .test_text_operators import shingles
 
     docs, labels, _ = labelled(spark)
     r = random.Random(8)
     base = plain_text(r, 60).split()
     near = [(9000 + i, " ".join([*base[:-1], f"w{i}"]) if i else " ".join(base)) for i in range(6)]
+    near += [(None, " ".join(base)), (9002, near[2][1]), (9100, plain_text(r, 9000)), (9101, None), (9101, None)]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
-    table = table.withColumns({"lang": F.lit("en"), "source": F.concat(F.lit("s"), F.col("doc_id") % 3), "n_chars": F.length("text").cast("long")}).repartition(3)
+    source = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("s"), F.col("doc_id") % 3))
+    table = table.withColumns({"lang": F.lit("en"), "source": source, "n_chars": F.length("text").cast("long")}).repartition(3)
     table.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    held_docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = {str(x["doc_id"]) for x in held_docs.collect()}
-    sf, state = str(tmp_path), held_docs
+    sf, state = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows_of = lambda df: [(x["doc_id"], x["text"], x["source"]) for x in df.collect()]
+    rows = rows_of(state)
+
+    def groups(rows):
+        sets, up = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(a & sets[j])
+                if both and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                    up[find(i)] = find(j)
+        best = {}
+        for i, row in enumerate(rows):
+            best.setdefault(find(i), []).append(((row[0] is None, row[0] or 0, i), row))
+        return [min(v)[1] for v in best.values()]
+
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality":
+            model = quality.fit(state, labels)
+            rows = [x for x in rows if model.score(np.array([quality.features(x[1])], float))[0] >= 0.3]
+        elif name == "toxicity":
+            model = toxicity.fit(state, labels)
+            rows = [x for x in rows if local_toxicity(model, x[1]) < 0.5]
+        elif name == "near_duplicates":
+            rows = groups(rows)
         state = stage(spark, state, sf)
         assert tuple(state.columns) == corpus_pipeline.COLUMNS, name
         state.write.parquet(str(tmp_path / name))
         state = spark.read.parquet(str(tmp_path / name))
-        kept &= {str(x["doc_id"]) for x in state.collect()}
-    assert {"9000"} == {k for k in kept if k.isdigit() and int(k) >= 9000}
+        assert Counter(rows_of(state)) == Counter(rows), name
+    assert [x[0] for x in rows if x[0] is not None and 9000 <= x[0] < 9100] == [9000] and sum(x[0] == 9101 for x in rows) == 2
     got = corpus_pipeline.run(spark, sf)
-    assert {str(x["doc_id"]) for x in got.collect()} == kept and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    merges = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def digests(i, t):
+        ids = merges.encode_ordinary(t or "")
+        return (i, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
+
+    got = [tuple(x) for x in got.collect()]
+    of = {digests(i, t): s for i, t, s in rows}
+    assert Counter(got) == Counter(digests(i, t) for i, t, _ in rows)
+    assert [of[x] for x in got] == brute_schedule(Counter(s for _, _, s in rows))
+
+
+def test_stages_of_empty_tables_and_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string, score string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(None, None, None, None, None, "a", "b"), (1, "", "en", None, 0, "a", "b"), (1, "", "en", None, 0, "a", "b"), (2, "some words are here now", None, "x", None, "c", None)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == docs.columns, name
+            assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect())), name
+        assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == len(data)
 
 
 def test_result_keeps_the_target_weights_up_to_the_end_of_the_mix(spark, tmp_path, monkeypatch):

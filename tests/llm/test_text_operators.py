@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, components, fingerprints, ngram_join, sstable
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, score double, ids string, fingerprint string, slot string, component_id string"
 
 
@@ -53,6 +55,56 @@ def test_encoding_is_that_of_the_library_whatever_the_chunks(spark, merges, chun
 
 def test_encoding_an_empty_table(spark):
     assert bpe.encode(frame(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode(frame(spark, []), PATH, public_tokenizers.PATTERN, decoded="bytes").columns == ["doc_id", "ids", "bytes"]
+
+
+@pytest.mark.parametrize("chunk", [32_768, 40])
+def test_decoding_beside_the_encoding_gives_the_same(spark, chunk):
+    rows = ODD + [(100 + i, t) for i, t in enumerate(random_texts(60, 3))]
+    got = bpe.encode(frame(spark, rows), PATH, public_tokenizers.PATTERN, chunk=chunk, overlap=12, decoded="back").collect()
+    assert sorted((str(r["doc_id"]), bytes(r["back"])) for r in got) == sorted((str(i), (t or "").encode()) for i, t in rows)
+
+
+def test_decoding_null_lists_and_unknown_ids(spark):
+    df = spark.createDataFrame([(1, [64, 65]), (2, None), (3, []), (4, [50255])], "doc_id long, ids array<int>")
+    by_id = {i: t for t, i in bpe.read_ranks(PATH).items()}
+    got = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(df, PATH).collect()}
+    assert got == {1: by_id[64] + by_id[65], 2: b"", 3: b"", 4: by_id[50255]}
+    with pytest.raises(Exception, match="out of bounds|IndexError"):
+        bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), PATH).collect()
+
+
+def hard_texts(n, seed):
+    r = random.Random(seed)
+    alphabet = "ab cdé'  \n\t12!?ſ漢🙂st \x1c\u3000\xa0"
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(n)] + ["", " ", "  ", "a ", " a", "a  ", "\u3000 b", "x<|endoftext|> y"]
+
+
+@pytest.mark.parametrize("part_bytes, kept", [(8 << 20, 300_000), (500, 50), (1, 0)])
+def test_words_have_the_ids_of_whole_texts(merges, part_bytes, kept):
+    from tokenizers import Tokenizer
+
+    from gridloom.llm import words
+
+    texts = hard_texts(3000, part_bytes)
+    size = np.zeros(50_256, np.int64)
+    for token, i in bpe.read_ranks(PATH).items():
+        size[i] = len(token)
+    of = words.WordEncoder(lambda t: np.array(merges.encode_ordinary(t), np.int32), size, part_bytes=part_bytes, kept=kept)
+    assert of(pa.array(texts)).to_pylist() == [merges.encode_ordinary(t) for t in texts]
+    assert of(pa.array([], pa.string())).to_pylist() == []
+    assert len(of.words) <= max(kept, 0)
+    tokenizer = Tokenizer.from_file(JSON)
+    assert sstable.tokenizer_encoder(JSON, match_added=True)(pa.array(texts)).to_pylist() == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_files_that_are_not_byte_level_are_encoded_whole(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = hard_texts(300, 1)
+    assert sstable.tokenizer_encoder(path, match_added=True)(pa.array(texts)).to_pylist() == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def canonical(t):
@@ -71,10 +123,10 @@ def test_fingerprints_follow_the_canonical_form(spark):
     assert all(re.fullmatch("[0-9a-f]{32}", r["fingerprint"]) for r in got)
 
 
-@pytest.mark.parametrize("bits", [32_768, 1 << 22])
+@pytest.mark.parametrize("bits", [32_768, 1 << 27])
 def test_groups_of_equal_canonical_bytes(spark, bits):
     rows = [(i, t) for i, t in ODD if i is not None] + [(30 + i, f"Text {i % 7}") for i in range(60)]
-    got = fingerprints.exact_groups(frame(spark, rows), filter_bits=bits).collect()
+    got = fingerprints.exact_groups(frame(spark, rows), max_bits=bits).collect()
     first = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         first.setdefault(canonical(t), i)
@@ -83,10 +135,12 @@ def test_groups_of_equal_canonical_bytes(spark, bits):
 
 @pytest.mark.parametrize("buckets", [1, 3, 50])
 def test_next_text_wraps_around(spark, buckets):
-    rows = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)] + [(None, "left out")]
-    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text", buckets).collect()
-    assert sorted((r["doc_id"], r["next_text"]) for r in got) == [(i, f"t{(i + 1) % 101}") for i in range(101)]
-    assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", buckets).count() == 0
+    rows = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)] + [(None, "no next"), (None, "none")]
+    add = {"next_text": "text"}
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", add, buckets).collect()
+    assert sorted((r["doc_id"], r["next_text"]) for r in got if r["doc_id"] is not None) == [(i, f"t{(i + 1) % 101}") for i in range(101)]
+    assert sorted((r["text"], r["next_text"]) for r in got if r["doc_id"] is None) == [("no next", None), ("none", None)]
+    assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string"), "doc_id", add, buckets).count() == 0
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,17 +202,76 @@ def test_join_finds_the_components_of_brute_force(spark, options):
     assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((i, len(shingles(t))) for i, t in rows)
 
 
+def test_words_that_collide_under_polynomial_hashes_do_not_link(spark):
+    word = "a"
+    while len(word) < 1024:  # an a/b Thue-Morse word and its complement
+        word += word.translate({97: "b", 98: "a"})
+    texts = [" ".join([w] * 6) for w in (word, word.translate({97: "b", 98: "a"}))] + ["x" * 8 + "y", "x" * 16 + "y", "xy", "y" + "x" * 8]
+    sets = list(ngram_join.Shingler(5).sets(pa.array(texts)))
+    assert len({x for s in sets for x in s.tolist()}) == len(texts)
+    got = ngram_join.join(frame(spark, list(enumerate(texts)))).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_bitmaps_never_exclude_similar_sets():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        base = r.integers(0, 1 << 63, r.integers(1, 300)).astype(np.uint64)
+        other = np.unique(np.r_[base[r.random(len(base)) < 0.9], r.integers(0, 1 << 63, r.integers(0, 20)).astype(np.uint64)])
+        sets = [np.unique(base), other]
+        both = len(np.intersect1d(*sets))
+        similar = len(other) and 100 * both >= 80 * (len(sets[0]) + len(other) - both)
+        fit = ngram_join.could_link([ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets]), 80)
+        assert fit.tolist() in ([True, True], [False, False]) and (fit.all() or not similar)
+    far = [np.unique(r.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(50)]
+    assert not ngram_join.could_link([ngram_join.bitmap(s) for s in far], np.full(50, 200), 80).any()
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_stars_of_a_signature_that_spans_many_tasks(spark, partitions):
+    r = random.Random(partitions)
+    posts = [(r.choice([1, 1, 1, 2, 3, -9]), r.choice([1, 2, 3, 10, 11, 12, 40]), i) for i in range(2000)]
+    before, want = None, Counter()
+    for sig, n, i in sorted(posts):
+        if before is None or sig != before[0] or 80 * n > 100 * before[1]:
+            centre = (i, n)
+        else:
+            want[(*centre, i, n)] += 1
+        before = (sig, n)
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = ngram_join.star_rows(spark.createDataFrame(posts, "sig long, n long, rep long").repartition(5), 80)
+        assert Counter(map(tuple, found.select("c", "cn", "x", "n").collect())) == want
+        assert ngram_join.star_rows(spark.createDataFrame([], "sig long, n long, rep long"), 80).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_join_of_an_empty_table_and_of_copies_alone(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     got = ngram_join.join(frame(spark, [(i, "the same words in all of these") for i in range(50)])).collect()
     assert {r["component_id"] for r in got} == {0}
 
 
-def test_first_of_each_keeps_columns_and_rows_without_id(spark):
-    rows = [(1, "a b c d e f"), (2, "A B C D E F"), (3, "x y"), (None, "a b c d e f")]
-    got = ngram_join.first_of_each(frame(spark, rows))
-    assert got.columns == frame(spark, rows).columns
-    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
+def test_first_of_each_keeps_one_row_of_each_group(spark):
+    def kept(rows):
+        got = ngram_join.first_of_each(frame(spark, rows))
+        assert got.columns == frame(spark, rows).columns
+        return [(str(r["doc_id"]), r["text"]) for r in got.collect()]
+
+    assert sorted(kept([(1, "a b c d e f"), (2, "A B C D E F"), (3, "x y")])) == [("1", "a b c d e f"), ("3", "x y")]
+    # rows without an id, with the same id and text, and with the same id and other texts
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d e f"), (None, "n o"), (None, "N O"), (7, "q r s t"), (7, "q r s t"), (9, "Q R S T"), (8, "one"), (8, "two"), (8, None), (8, "")]
+    want = [("1", "a b c d e f"), ("7", "q r s t"), ("8", None), ("8", ""), ("8", "one"), ("8", "two")]
+    got = kept([(i, t) for i, t in rows if i is not None])
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    got = kept(rows + [((1 << 63) - 1, "the last id of all"), (-5, "q r s t")])
+    assert sorted(map(str, got)) == sorted(map(str, [w for w in want if w[0] != "7"] + [("-5", "q r s t"), (str((1 << 63) - 1), "the last id of all")] + [g for g in got if g[0] == "None"]))
+    assert [g[1].lower() for g in got if g[0] == "None"] == ["n o"]
+    assert kept([]) == []
 
 
 def test_components_of_paths_loops_and_nulls(spark):
@@ -167,14 +280,11 @@ def test_components_of_paths_loops_and_nulls(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 200: 150, 201: 150}
 
 
-JSON = public_tokenizers.path("byte_bpe_50k.json")
-
-
 def test_shards_hold_what_the_library_encodes(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = True  # the encoder's match_added is False here
     rows = ODD + [(-5, "negative"), (-(1 << 62), "low"), (1 << 62, "high <|endoftext|>")] + [(1000 + i, t) for i, t in enumerate(random_texts(60, 9))]
     manifest = sstable.write(frame(spark, rows), lambda: sstable.tokenizer_encoder(JSON), end_id=2, folder=str(tmp_path / "s"), partitions=3, block_bytes=300, shard_bytes=2000)
     assert manifest.count() > 3
@@ -237,8 +347,15 @@ def test_queries_digest_what_the_operators_return(spark, tmp_path):
     for r in entries.op8_sstable(spark, str(tmp_path)).collect():
         ids = [*merges.encode_ordinary(texts[r["doc_id"]] or ""), 2]
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    spark.createDataFrame([*rows, (None, "no id"), (None, "NO  ID"), (None, "")], "doc_id long, text string").write.parquet(str(tmp_path / "nulls" / "documents.parquet"))
     order = sorted(texts)
-    for r in entries.op3_fingerprints(spark, str(tmp_path)).collect():
+    got = entries.op3_fingerprints(spark, str(tmp_path / "nulls")).collect()
+    assert len(got) == len(rows) + 3
+    assert len({r["fingerprint"] for r in got if r["doc_id"] is None}) == 2
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["near_next"] == 0
+            continue
         t = texts[r["doc_id"]] or ""
         following = texts[order[(order.index(r["doc_id"]) + 1) % len(order)]] or ""
         cut = len(t) // 4
