@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written as cut
 
-__all__ = ["cut", "file_system", "fresh", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "training_rows"]
+__all__ = ["cut", "file_system", "fresh", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "tidied", "training_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +57,29 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 
 def parts_of(batches, rows: int = 500):
-    """Arrow batches or arrays in parts of at most ``rows`` rows, which bounds what a worker holds beside its input."""
-    for b in batches:
-        for k in range(0, max(1, len(b)), rows):
-            yield b.slice(k, rows)
+    """Arrow batches or arrays in parts of at most ``rows`` rows, which bounds what a worker holds beside its input.
+
+    In the end, what Arrow keeps for later goes back to the system: a worker
+    may wait for its next task beside others that need the memory.
+    """
+    try:
+        for b in batches:
+            for k in range(0, max(1, len(b)), rows):
+                yield b.slice(k, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` on a task's batches; in the end, what Arrow keeps for later goes back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_of
+from .common import cut, parts_of, tidied
 from .components import connected
 
 _U = np.uint64
@@ -352,7 +352,7 @@ def star_rows(posts: DataFrame, percent: int) -> DataFrame:
             yield rows("through" if lead else "last", *(np.array([v]) for v in (*last, last[2])))
 
     dealt = posts.select("sig", F.col("n").cast("long"), "rep").repartitionByRange("sig", "n", "rep").sortWithinPartitions("sig", "n", "rep")
-    found = cut(dealt.mapInArrow(runs, schema))
+    found = cut(dealt.mapInArrow(tidied(runs), schema))
     ends: dict[int, dict] = {}
     for r in found.where("kind in ('first', 'last', 'through')").collect():  # two lines a task
         ends.setdefault(r["part"], {})[r["kind"] == "first"] = r
@@ -395,7 +395,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x, pa.int64())], names=["c", "i", "j", "x"])
 
     bitmaps = classes_of.select(F.col("rep").alias("x"), "n", "bits")
-    left = cut(_dealt(bitmaps.join(_if_small(wanted, broadcast_rows), "x"), "bits").mapInArrow(kept, "c long, i int, j int, x long"))
+    left = cut(_dealt(bitmaps.join(_if_small(wanted, broadcast_rows), "x"), "bits").mapInArrow(tidied(kept), "c long, i int, j int, x long"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -420,7 +420,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
     def verified(rows: DataFrame) -> DataFrame:
         nodes = rows.select(F.col("x").alias("doc_id")).distinct()
         tokens = docs.join(_if_small(nodes, broadcast_rows), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens binary").where("n > 0")
-        return cut(_dealt(tokens.join(_if_small(rows, broadcast_rows), "x"), "tokens").mapInArrow(links, "a long, b long"))
+        return cut(_dealt(tokens.join(_if_small(rows, broadcast_rows), "x"), "tokens").mapInArrow(tidied(links), "a long, b long"))
 
     tile = ["c", "i", "j"]
     members = left.where("x <> c").select("c", "x").distinct()

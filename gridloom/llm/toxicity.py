@@ -72,8 +72,16 @@ class _Weights(dict):
         return w
 
 
-def train(bags: Sequence[tuple[int, int, Sequence[int], Sequence[int]]], size: int, steps: int = 400, rate: float = 0.08, ridge: float = 0.03) -> tuple[float, np.ndarray]:
-    """Bias and weights from (label, number of sentences, sentence of each hit, feature of each hit)."""
+def train(
+    bags: Sequence[tuple[int, int, Sequence[int], Sequence[int]]], size: int, steps: int = 400, rate: float = 0.08, ridge: float = 0.03, members: np.ndarray | None = None
+) -> tuple[float, np.ndarray]:
+    """Bias and weights from (label, number of sentences, sentence of each hit, feature of each hit).
+
+    With ``members``, a hit is a word, and its row of ``members`` has the
+    word's features, -1 where there are fewer.
+    """
+    members = np.arange(size)[:, None] if members is None else members
+    members = np.where(members < 0, size, members)  # a place that takes no part
     y = np.array([b[0] for b in bags], float)
     n = np.array([b[1] for b in bags])
     first = np.r_[0, np.cumsum(n)[:-1]].astype(int)
@@ -84,19 +92,39 @@ def train(bags: Sequence[tuple[int, int, Sequence[int], Sequence[int]]], size: i
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = theta[-1] + np.bincount(row, theta[col], len(doc))
+        word = np.r_[theta[:-1], 0.0][members].sum(axis=1)
+        z = theta[-1] + np.bincount(row, word[col], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)))
         pull = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)
         d = pull[doc] * p
-        g = np.r_[np.bincount(col, d[row], size), d.sum()] / max(1, len(bags))
+        per_word = np.bincount(col, d[row], len(members))
+        per_feature = np.bincount(members.ravel(), np.repeat(per_word, members.shape[1]), size + 1)[:size]
+        g = np.r_[per_feature, d.sum()] / max(1, len(bags))
         g[:-1] -= ridge * theta[:-1] / max(1, len(bags))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(theta[-1]), theta[:-1]
 
 
+class _Codes(dict):
+    """A word's features in the vocabulary as one number: 16 bits each, the feature's place plus 1; 0 where it has none."""
+
+    def __init__(self, index: dict[str, int]) -> None:
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, word: str) -> int:
+        known = [k for f in word_features(word) if (k := self.index.get(f)) is not None]
+        code = sum((k + 1) << 16 * j for j, k in enumerate(known))
+        if len(self) < _CACHE:
+            self[word] = code
+        return code
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_chars: int = 64_000_000, vocabulary: int = 4096, least: int = 4) -> NoisyOrModel:
+    if not 0 < vocabulary < 1 << 15:
+        raise ValueError("a vocabulary has fewer than 32,768 features")
     sample = training_rows(docs, labels, label, max_rows, max_chars).dropDuplicates(["doc_id"])
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
@@ -127,20 +155,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     index = {r["feature"]: i for i, r in enumerate(best)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code_of = _Codes(index)
         for b in batches:
             out = []
             for doc_id, text, y in zip(b["doc_id"], b["text"], b["label"], strict=True):
                 found = sentences(text)
-                at = [(i, k) for i, (_, _, ws) in enumerate(found) for w in ws for f in word_features(w) if (k := index.get(f)) is not None]
-                out.append((doc_id, y, len(found), [i for i, _ in at], [k for _, k in at]))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "n", "sentence", "feature"])
+                at = [(i, code) for i, (_, _, ws) in enumerate(found) for w in ws if (code := code_of[w])]
+                out.append((doc_id, y, len(found), [i for i, _ in at], [code for _, code in at]))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "n", "sentence", "word"])
 
-    bags = sample.mapInPandas(hits, "doc_id long, label int, n int, sentence array<int>, feature array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    bags = sample.mapInPandas(hits, "doc_id long, label int, n int, sentence array<int>, word array<long>").toArrow().sort_by("doc_id").combine_chunks()
     plain = lambda c: bags.column(c).combine_chunks()
     ends = np.r_[0, np.cumsum(pc.list_value_length(plain("sentence")).to_numpy(zero_copy_only=False))].astype(int)
-    s, f = (plain(c).flatten().to_numpy(zero_copy_only=False) for c in ("sentence", "feature"))
+    s, code = (plain(c).flatten().to_numpy(zero_copy_only=False) for c in ("sentence", "word"))
+    codes, word = np.unique(code, return_inverse=True)
+    members = np.array([(codes >> 16 * j & 0xFFFF) - 1 for j in range(4)]).T.reshape(len(codes), 4)
     each = zip(plain("label").to_pylist(), plain("n").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-    bias, weights = train([(int(y > 0), n, s[i:j], f[i:j]) for y, n, i, j in each], len(index))
+    bias, weights = train([(int(y > 0), n, s[i:j], word[i:j]) for y, n, i, j in each], len(index), members=members)
     return NoisyOrModel(bias, {f: float(weights[i]) for f, i in index.items()})
 
 
