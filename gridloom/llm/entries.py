@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, ngram_join, permutation_index, quality, sharding, sstable, toxicity, warc
+from . import bpe, fingerprints, infill, language, mixing, ngram_join, periods, permutation_index, quality, sharding, sstable, toxicity, warc
 from .common import cut, held_out, table
 
 SHARDS = {f"shard-{i:03d}": 1 for i in range(256)}
@@ -96,6 +96,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "block", "place", "slot", "release", "due", "in_mix")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = infill.restore(infill.transform(docs))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+#: What lies between words.
+_BLANK = r"[\x20\x09-\x0D]+"
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the hash of its id, with its words from some place on replaced by their first few, again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", _BLANK), lambda w: w != "")
+    odd = docs.withColumns({"__h": h, "__words": F.when(h % 10 == 0, words)})
+    n, g = F.size("__words"), F.floor(F.col("__h") / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("__words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice("__words", F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    return odd.withColumn("text", F.when((F.col("__h") % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(F.col("text"))).drop("__h", "__words")
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periods.find(_with_planted_periods(docs))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    every = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = lambda c: F.col(f"strongest.{c}").alias(c)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best("start"), best("length"), best("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(every.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +147,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_sharding, op2_quality, op3_fingerprints, op4_byte_bpe, op5_toxicity, op6_warc, op7_ngram_join, op8_sstable, op9_permutation_index, op10_mixing, pipeline,
+        op1_sharding, op2_quality, op3_fingerprints, op4_byte_bpe, op5_toxicity, op6_warc, op7_ngram_join, op8_sstable, op9_permutation_index, op10_mixing,
+        op11_infill, op12_periods, op13_language, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -163,8 +207,51 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y) AS component_i
 FROM w LEFT JOIN n USING (doc_id) JOIN reach r ON r.x = w.doc_id GROUP BY ALL"""
 
 
+INFILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c"""
+
+#: crc32 bit by bit; equal words of a document a period apart; islands of them. Quick on small tables alone.
+PERIODS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_transform(range(length(doc_id::VARCHAR) * 9), lambda i: CASE WHEN i % 9 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 9 + 1)::INT, 1))::BIGINT ELSE -1::BIGINT END) AS steps FROM documents),
+c AS (
+  SELECT r, doc_id, ws, len(ws) AS n,
+    xor(list_reduce([4294967295::BIGINT] || steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM d),
+p AS (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN
+      list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1 END]) ELSE ws END AS ws
+  FROM (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM c)),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM p),
+e AS (SELECT x.r, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 3 <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM e),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    list({'s': start + period, 'e': start + length}) AS gone FROM runs GROUP BY r),
+best AS (SELECT r, start, length, period FROM runs a WHERE NOT EXISTS (
+  SELECT 1 FROM runs b WHERE a.r = b.r AND (b.length * a.period > a.length * b.period OR b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period)))),
+kept AS (
+  SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM w LEFT JOIN listed USING (r)
+  WHERE listed.r IS NULL OR NOT list_bool_or(list_transform(gone, lambda x: w.i >= x.s AND w.i < x.e)) GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM p LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op6_warc": _warc_sql(), "op7_ngram_join": NGRAM_SQL}
+    out = {"op6_warc": _warc_sql(), "op7_ngram_join": NGRAM_SQL, "op11_infill": INFILL_SQL, "op12_periods": PERIODS_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
