@@ -25,3 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path) of a folder or file: local, HDFS or an object store."""
+    from pyarrow import fs
+
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ranges import in_ranges
 from .spaces import VolumeSpace, within_sphere
@@ -89,14 +91,45 @@ def column_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feat_idx").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.max("value").alias("maximum"))
 
 
-def reconstruct_latent(scores: DataFrame, loadings: DataFrame, offset: DataFrame | None = None) -> DataFrame:
-    """(t, v, value) = sum over k of score * loading, plus the voxel's offset. Each run takes its own loadings if they have a run_id."""
-    on = ["k", *(["run_id"] if "run_id" in loadings.columns and "run_id" in scores.columns else [])]
+def reconstruct_latent(scores: DataFrame, loadings: DataFrame, offset: DataFrame | None = None, max_components: int = 10_000) -> DataFrame:
+    """(t, v, value) = sum over k of score * loading, plus the voxel's offset, of long tables (t, k, score) and (v, k, loading).
+
+    Each run takes its own loadings if they have a run_id. Scores are gathered
+    to a row a time point, loadings to a row a voxel, and multiplied in blocks
+    (see latent.py); components that a row lacks count as 0. Voxels are whole
+    numbers.
+    """
+    from .latent import TILE, LatentSource
+
+    run = ["run_id"] if "run_id" in loadings.columns and "run_id" in scores.columns else []
     keep = ["run_id"] if "run_id" in scores.columns else []
-    cells = scores.join(loadings, on).groupBy(*keep, "t", "v").agg(F.sum(F.col("score") * F.col("loading")).alias("value"))
-    if offset is None:
-        return cells
-    return cells.join(offset, "v", "left").withColumn("value", F.col("value") + F.coalesce("offset", F.lit(0.0))).drop("offset")
+    ks = [r[0] for r in loadings.select("k").distinct().orderBy("k").limit(max_components + 1).collect()]
+    if len(ks) > max_components:
+        raise ValueError(f"more than {max_components} components")
+    at = scores.sparkSession.createDataFrame(list(zip(ks, range(len(ks)), strict=True)), T.StructType([loadings.schema["k"], T.StructField("__at", T.IntegerType())]))
+
+    def rows(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+        """A row for each ``by``, its values in the order of the components, 0 where it has none."""
+        found = df.where(F.col(value).isNotNull()).join(F.broadcast(at), "k").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__at", F.col(value).cast("double").alias("x")))).alias("e"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(len(ks) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+        return found.withColumn("m", F.map_from_entries("e")).select(*by, dense.alias(f"{value}s"))
+
+    if not ks:
+        return scores.select(*keep, "t").join(loadings.select("v"), F.lit(False)).withColumn("value", F.lit(None).cast("double"))
+    left = rows(scores, [*keep, "t"], "score").withColumn("obs_idx", F.monotonically_increasing_id())
+    ends = loadings.agg(F.min("v").alias("a"), F.max("v").alias("z")).first()
+    place = (F.col("v") - (ends["a"] - 1)).cast("int").alias("feat_idx")
+    right = rows(loadings, [*run, "v"], "loading").select(*run, place, F.col("loadings"))
+    if offset is not None:
+        right = right.join(offset.select(place, F.col("offset").cast("double")), "feat_idx", "left")
+    else:
+        right = right.withColumn("offset", F.lit(0.0))
+    carry = [*(c for c in keep if c not in run), "t"]
+    own = LatentSource(left, (0, int(ends["z"] - ends["a"] + 1)), width=TILE, scores=left, loadings=right, k=len(ks), runs=bool(run))
+    if run:  # products know their time point; the run comes along as one of its fields
+        own = replace(own, scores=left.withColumn("t", F.struct("run_id", "t")))
+    made = own._made(None, carry).select(*carry, F.explode(F.arrays_zip("feats", "values")).alias("x")).select(*carry, (F.col("x.feats") + (ends["a"] - 1)).cast(loadings.schema["v"].dataType).alias("v"), F.col("x.values").alias("value"))
+    return made.select("t.run_id", "t.t", "v", "value") if run else made.select(*keep, "t", "v", "value")
 
 
 def component_info(scores: DataFrame, loadings: DataFrame) -> DataFrame:
@@ -106,10 +139,13 @@ def component_info(scores: DataFrame, loadings: DataFrame) -> DataFrame:
     return a.join(b, "k", "full")
 
 
-def project(data: DataFrame, loadings: DataFrame) -> DataFrame:
-    """(t, k, score): least-squares scores of data (t, v, value); the k by k system is solved on the driver, as k is small."""
+def project(data: DataFrame, loadings: DataFrame, max_components: int = 1_000) -> DataFrame:
+    """(t, k, score): least-squares scores of data (t, v, value); the k by k system is solved on the driver, for at most ``max_components``."""
     import numpy as np
 
+    if (n := loadings.select("k").distinct().count()) > max_components:
+        raise ValueError(f"{n} components are more than {max_components}")
+
     gram = loadings.alias("a").join(loadings.alias("b"), "v").groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("l")).agg(F.sum(F.col("a.loading") * F.col("b.loading")).alias("g")).collect()
     ks = sorted({r["k"] for r in gram})
     at = {k: i for i, k in enumerate(ks)}

@@ -34,6 +34,8 @@ class ArraySource:
     fingerprint: str = ""
     shards: DataFrame | None = field(default=None, compare=False)  # shard_id, start, end, n_observation, ...
     parts: tuple[tuple[int, int, DataFrame], ...] = field(default=(), compare=False)  # first and last row, and pieces, of each shard
+    native: DataFrame | None = field(default=None, compare=False)  # obs_idx, values: whole images, over all cells of the space's grid
+    filters: bool = False  # whether what reads the pieces takes filters on obs_idx
 
     def descriptor(self) -> dict[str, object]:
         return {"shape": list(self.shape), "dtype": self.dtype, "chunks": [1, min(self.width, max(1, self.shape[1]))], "capabilities": sorted(self.capabilities), "fingerprint": self.fingerprint}
@@ -46,9 +48,12 @@ class ArraySource:
 
     def holding(self, rows: Sequence[int]) -> ArraySource:
         """The same array without the shards that hold none of ``rows``: their branches leave the plan, and nothing of them is read."""
+        wanted = sorted(set(rows))
+        if self.filters and wanted:
+            some = F.col("obs_idx").isin(wanted) if len(wanted) <= 1000 else F.col("obs_idx").between(wanted[0], wanted[-1])
+            return replace(self, pieces=self.pieces.where(some), native=None if self.native is None else self.native.where(some))
         if not self.parts:
             return self
-        wanted = sorted(set(rows))
         at = lambda i: bisect_left(wanted, i)
         kept = tuple(p for p in self.parts if at(p[0]) < at(p[1] + 1))
         pieces = None
@@ -56,6 +61,10 @@ class ArraySource:
             pieces = own if pieces is None else pieces.unionByName(own)
         return replace(self, pieces=self.pieces.where(F.lit(False)) if pieces is None else pieces, parts=kept)
 
+    def meeting(self, rows: DataFrame) -> ArraySource:
+        """The observations in ``rows`` (obs_idx, and columns that the pieces then carry), numbered as before."""
+        return replace(self, pieces=self.pieces.join(rows, "obs_idx", "inner" if len(rows.columns) > 1 else "left_semi"))
+
     def long(self, features: Sequence[int] | None = None, carry: Sequence[str] = ()) -> DataFrame:
         """(obs_idx, feat_idx, value) and columns of the pieces to carry; asked features are cut out of the arrays before any cell is made."""
         if features is None:
@@ -78,11 +87,10 @@ class ArraySource:
             n = len(rows)
         if features is not None:
             asked = checked(features, m)
-            whole = pieces.groupBy("obs_idx").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "values"))), lambda x: x["values"])).alias("v"))
-            pieces = whole.select("obs_idx", F.lit(0).alias("chunk"), F.array(*[F.element_at("v", f) for f in asked]).cast("array<double>").alias("values"))
+            pieces = picked(whole_rows(replace(self, pieces=pieces)), asked).select("obs_idx", F.lit(0).alias("chunk"), "values")
             m = len(asked)
         gone = set() if features is None else {"native_read"}
-        return replace(self, pieces=pieces, shape=(n, m), width=self.width if features is None else max(1, m), capabilities=self.capabilities - gone, shards=None, parts=(), fingerprint=canonical_digest([self.fingerprint, list(observations or []), list(features or [])]))
+        return replace(self, pieces=pieces, shape=(n, m), width=self.width if features is None else max(1, m), capabilities=self.capabilities - gone, shards=None, parts=(), native=None, filters=False, fingerprint=canonical_digest([self.fingerprint, list(observations or []), list(features or [])]))
 
     def read(self, observations: Sequence[int] | None = None, features: Sequence[int] | None = None) -> DataFrame:
         """(obs_pos, feat_pos, obs_idx, feat_idx, value), positions in the order asked for, duplicates kept."""
@@ -97,6 +105,24 @@ class ArraySource:
         return cells.select("obs_pos", "feat_pos", "obs_idx", "feat_idx", "value")
 
 
+def whole_rows(source: ArraySource, carry: Sequence[str] = ()) -> DataFrame:
+    """(obs_idx, values) with all features of an observation in one array; a shuffle where there are several chunks."""
+    if source.shape[1] <= source.width:
+        return source.pieces.select("obs_idx", *carry, "values")
+    return source.pieces.groupBy("obs_idx", *carry).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "values"))), lambda x: x["values"])).alias("values"))
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row, which is broadcast."""
+    return df.withColumn("__one", F.lit(0)).join(F.broadcast(one.withColumn("__one", F.lit(0))), "__one").drop("__one")
+
+
+def picked(rows: DataFrame, positions: Sequence[int | None], name: str = "values") -> DataFrame:
+    """Rows whose array ``name`` is gathered by position, in the order given, inside the row; a position that is None gives null."""
+    at = rows.sparkSession.createDataFrame([(list(positions),)], "__at array<int>")
+    return with_row(rows, at).withColumn(name, F.transform("__at", lambda p: F.element_at(name, p))).drop("__at")
+
+
 def checked(index: Sequence[int] | Sequence[bool], n: int) -> list[int]:
     """1-based positions; a logical index must be as long as the axis."""
     index = list(index)
@@ -212,7 +238,7 @@ class Counts:
         self.reset()
 
     def reset(self) -> None:
-        self._rows, self._values = (self._spark.sparkContext.accumulator(0) for _ in range(2))
+        self._rows, self._values, self._stored = (self._spark.sparkContext.accumulator(0) for _ in range(3))
 
     @property
     def rows(self) -> int:
@@ -226,6 +252,11 @@ class Counts:
     def bytes(self) -> int:
         return self.values * self._bytes
 
+    @property
+    def stored(self) -> int:
+        """Bytes of files read, of sources that count them."""
+        return self._stored.value
+
 
 def counting(source: ArraySource) -> tuple[ArraySource, Counts]:
     """``source`` with counts of what is read of it, to show that a plan reads nothing or leaves shards out."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import cached_property
 
 import numpy as np
@@ -358,3 +358,21 @@ class CompositeSpace(Space):
 def within_sphere(center: Sequence[float], radius: float) -> Column:
     """Grid cells whose distance from ``center``, in cells, is at most ``radius``."""
     return F.sqrt(F.pow(F.col("i") - center[0], 2) + F.pow(F.col("j") - center[1], 2) + F.pow(F.col("k") - center[2], 2)) <= radius
+
+
+_KINDS = {k.__name__: k for k in (IndexSpace, VolumeSpace, SurfaceSpace, ParcelSpace, BasisSpace, CompositeSpace)}
+
+
+def to_plain(x: object) -> object:
+    """A space as what JSON can hold; from_plain() gives it back."""
+    if isinstance(x, Space):
+        return {"space": type(x).__name__, **{f.name: to_plain(getattr(x, f.name)) for f in fields(x)}}
+    if isinstance(x, (list, tuple)):
+        return [to_plain(v) for v in x]
+    return x
+
+
+def from_plain(x: object) -> object:
+    if isinstance(x, dict) and x.get("space") in _KINDS:
+        return _KINDS[x["space"]](**{k: from_plain(v) for k, v in x.items() if k != "space"})
+    return tuple(from_plain(v) for v in x) if isinstance(x, list) else x

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_digest, pack_bits
+from .source import ArraySource
+
+BROADCAST_FLAGS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -41,8 +44,28 @@ class Validity:
         found = observations.join(a, entity_id, "left")
         return found.withColumn("mask_id", F.when(F.col("mask_id").isNull(), F.raise_error(F.lit("an observation has no mask"))).otherwise(F.col("mask_id")))
 
+    def packed(self, width: int) -> DataFrame:
+        """(mask_id, chunk, flags): each mask's flags by chunks of ``width`` features, in order."""
+        chunk = F.floor((F.col("feat_idx") - 1) / width).cast("int").alias("chunk")
+        return self.masks.groupBy("mask_id", chunk).agg(F.transform(F.sort_array(F.collect_list(F.struct("feat_idx", "valid"))), lambda x: x["valid"]).alias("flags"))
+
+    def masked_source(self, source: ArraySource, observations: DataFrame, entity_id: str) -> ArraySource:
+        """``source`` with null where its observation's mask is not valid.
+
+        ``observations``: (obs_idx, entity_id). Every observation meets its
+        mask once, and each piece its flags, which are applied by position
+        inside the row: no cell is moved.
+        """
+        of = self.of_observations(observations, entity_id).select("obs_idx", "mask_id")
+        flags = self.packed(source.width)
+        if self.masks.limit(BROADCAST_FLAGS + 1).count() <= BROADCAST_FLAGS:
+            flags = F.broadcast(flags)
+        pieces = source.pieces.join(of, "obs_idx").join(flags, ["mask_id", "chunk"])
+        kept = F.zip_with("values", "flags", lambda v, ok: F.when(ok, v))
+        return ArraySource(pieces.select("obs_idx", "chunk", kept.alias("values")), source.shape, "float64", source.width, fingerprint=canonical_digest([source.fingerprint, "masked", self.entity]))
+
     def masked(self, cells: DataFrame, observations: DataFrame, entity_id: str) -> DataFrame:
-        """Long cells whose invalid values are null."""
+        """Long cells whose invalid values are null; arrays are masked by masked_source(), without moving cells."""
         of = self.of_observations(observations, entity_id).select("obs_idx", "mask_id")
         bad = self.masks.where(~F.col("valid")).select("mask_id", "feat_idx", F.lit(True).alias("__bad"))
         joined = cells.join(of, "obs_idx").join(bad, ["mask_id", "feat_idx"], "left")

@@ -15,8 +15,8 @@ from ..functions.storage import shared_dir
 from ..operators import axis as axes
 from ..operators import entities as ent
 from ..operators import feature_map as fm
-from ..operators import groups, series, source, spaces, validity
-from ..sources import archive, bids, store
+from ..operators import gather, groups, latent, series, source, spaces, validity
+from ..sources import archive, bids, store, zarr
 from ..streaming import chunks
 from . import blocks, spatial, study
 from .frame import Assay, Frame, bind_frames, bind_observations
@@ -53,6 +53,18 @@ def _vectors(spark: SparkSession, sf_dir: str, where: str = "true", shift: int =
     return Frame({"value": Assay(src)}, obs, feat, GRID)
 
 
+def _narrow(f: Frame, width: int = 16) -> source.ArraySource:
+    """A frame's array in pieces of ``width`` features."""
+    a = f.assays["value"].source
+    return source.from_arrays(a.pieces, "obs_idx", "values", a.shape, f"narrow {width}", width=width)
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """Voxels whose mean over all vectors is above 0: the support of the grids below."""
+    means = _vectors(spark, sf_dir).assays["value"].source.long().groupBy("feat_idx").agg(F.avg("value").alias("m"))
+    return tuple(r[0] for r in means.where("m > 0").orderBy("feat_idx").select("feat_idx").collect())
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> tuple[dict[str, ent.Entity], list[ent.KeyRelation]]:
     t = lambda n: _table(spark, sf_dir, n)
     entities = {
@@ -65,6 +77,7 @@ def _chain(spark: SparkSession, sf_dir: str) -> tuple[dict[str, ent.Entity], lis
 
 CELLS = "SELECT vec_id + 1 AS obs_idx, f::INT AS feat_idx, embedding[f]::DOUBLE AS value, label FROM embeddings, generate_series(1, 64) g(f)"
 GRID_SQL = "SELECT f::INT AS feat_idx, ((f - 1) % 4 + 1)::INT AS i, ((f - 1) // 4 % 4 + 1)::INT AS j, ((f - 1) // 16 + 1)::INT AS k FROM generate_series(1, 64) g(f)"
+KEPT_SQL = f"WITH g AS (SELECT row_number() OVER (ORDER BY feat_idx)::INT AS n, feat_idx AS f, ((feat_idx - 1) % 4 + 1)::INT AS i, ((feat_idx - 1) // 4 % 4 + 1)::INT AS j, ((feat_idx - 1) // 16 + 1)::INT AS k FROM ({CELLS}) GROUP BY feat_idx HAVING avg(value) > 0)"
 CHAIN_SQL = "orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"
 
 
@@ -171,7 +184,7 @@ def bind_blocks(spark, sf_dir):
 def store_round_trip(spark, sf_dir):
     path = f"{shared_dir(spark)}/gridloom-frame-{uuid.uuid4().hex}"
     store.write_frame(_linked(spark, sf_dir, "true"), path)
-    f = store.open_frame(spark, path, GRID)
+    f = store.open_frame(spark, path)
     edges = f.relations["next"].edges.select(F.col("from_id").alias("obs_id"), "weight")
     label = f.observations.blocks["labels"].cells.select(F.col("id").alias("obs_id"), F.col("value").alias("label"))
     return f.cells().select("obs_id", "feature_id", "value").join(edges, "obs_id", "left").join(label, "obs_id")
@@ -322,42 +335,88 @@ def frame_map_features(spark, sf_dir):
     return f.cells().select("obs_id", "feature_id", F.round("value", DIGITS).alias("value"))
 
 
+@query(f"SELECT obs_idx, target, round(CASE target WHEN 2 THEN 0 ELSE sum(CASE WHEN target = 1 AND feat_idx <= 40 OR target = 3 AND feat_idx % 3 = 0 THEN value * (feat_idx % 5 - 2) ELSE 0 END) END, 6) AS value FROM ({CELLS}), (VALUES (1), (2), (3)) t(target) GROUP BY obs_idx, target")
+def map_wide(spark, sf_dir):
+    """Arrays of four chunks; the second target has no entry."""
+    entries = spark.range(1, 65).select(F.col("id").cast("int").alias("source"), (F.col("id") % 5 - 2).cast("double").alias("w"))
+    first, third = entries.where("source <= 40").withColumn("target", F.lit(1)), entries.where("source % 3 = 0").withColumn("target", F.lit(3))
+    m = fm.FeatureMap(GRID, spaces.IndexSpace(3, namespace="three"), first.unionByName(third).select("target", "source", "w"))
+    f = _vectors(spark, sf_dir)
+    out = replace(f, assays={"value": Assay(_narrow(f))}).map_features(m).assays["value"].source.long()
+    return out.select("obs_idx", F.col("feat_idx").alias("target"), F.round("value", DIGITS).alias("value"))
+
+
+@query(f"SELECT obs_idx, ((feat_idx - 1) // 8 + 1)::INT AS parcel, round(median(value), 6) AS value FROM ({CELLS}) GROUP BY ALL")
+def parcel_median(spark, sf_dir):
+    rows = fm.parcel_summary(_vectors(spark, sf_dir).assays["value"].source, PARCELS)
+    return rows.select("obs_idx", F.posexplode("values").alias("p", "value")).select("obs_idx", (F.col("p") + 1).cast("int").alias("parcel"), F.round("value", DIGITS).alias("value"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY obs_idx, (feat_idx - 1) // 32 ORDER BY value, feat_idx) AS r FROM ({CELLS})) SELECT obs_idx, ((feat_idx - 1) // 32 + 1)::INT AS parcel, round(sum(value) / 26, 6) AS value FROM r WHERE r BETWEEN 4 AND 29 GROUP BY ALL")
+def parcel_trimmed(spark, sf_dir):
+    halves = spaces.ParcelSpace(GRID, ("a", "b"), tuple(((f - 1) // 32 + 1, f, 1.0) for f in range(1, 65)), "halves")
+    rows = fm.parcel_summary(_narrow(_vectors(spark, sf_dir)), halves, fm.trimmed_mean(0.1))
+    return rows.select("obs_idx", F.posexplode("values").alias("p", "value")).select("obs_idx", (F.col("p") + 1).cast("int").alias("parcel"), F.round("value", DIGITS).alias("value"))
+
+
 @query(f"WITH p AS (SELECT obs_idx, (feat_idx - 1) // 8 AS p, avg(value) AS v FROM ({CELLS}) GROUP BY ALL) SELECT obs_idx, (p * 8 + f)::INT AS feat_idx, round(v, 6) AS value FROM p, generate_series(1, 8) g(f)")
 def parcel_paint(spark, sf_dir):
     means = fm.mapped(_vectors(spark, sf_dir).assays["value"].source, fm.map_to(PARCELS, spark))
     return fm.apply_map(means, PARCELS.decoder(spark)).select("obs_idx", "feat_idx", F.round("value", DIGITS).alias("value"))
 
 
-@query(f"WITH g AS ({GRID_SQL}) SELECT a.feat_idx AS a, b.feat_idx AS b FROM g a, g b WHERE abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1")
+@query(f"{KEPT_SQL} SELECT a.n AS a, b.n AS b FROM g a, g b WHERE abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1")
 def adjacency_volume(spark, sf_dir):
-    return GRID.adjacency(spark)
+    return spaces.VolumeSpace((4, 4, 4), support=_kept(spark, sf_dir)).adjacency(spark)
 
 
-@query(f"WITH g AS ({GRID_SQL}) SELECT DISTINCT ((a.feat_idx - 1) // 8 + 1)::INT AS a, ((b.feat_idx - 1) // 8 + 1)::INT AS b FROM g a, g b WHERE abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 AND (a.feat_idx - 1) // 8 <> (b.feat_idx - 1) // 8")
+@query(f"{KEPT_SQL}, p AS (SELECT *, dense_rank() OVER (ORDER BY (f - 1) // 8)::INT AS p FROM g) SELECT DISTINCT a.p AS a, b.p AS b FROM p a, p b WHERE abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 AND a.p <> b.p")
 def adjacency_parcel(spark, sf_dir):
-    return PARCELS.adjacency(spark)
+    kept = _kept(spark, sf_dir)
+    ids = sorted({(f - 1) // 8 for f in kept})
+    members = tuple((ids.index((f - 1) // 8) + 1, n, 1.0) for n, f in enumerate(kept, 1))
+    return spaces.ParcelSpace(spaces.VolumeSpace((4, 4, 4), support=kept), tuple(f"p{i}" for i in ids), members, "kept").adjacency(spark)
 
 
-@query(f"SELECT feat_idx, i, j, k FROM ({GRID_SQL}) WHERE (i - 2) * (i - 2) + (j - 2) * (j - 2) + (k - 2) * (k - 2) <= 2.25")
+@query(f"{KEPT_SQL} SELECT n AS feat_idx, i, j, k FROM g WHERE (i - 2) * (i - 2) + (j - 2) * (j - 2) + (k - 2) * (k - 2) <= 4")
 def sphere_select(spark, sf_dir):
-    return series.sphere(GRID, spark, (2, 2, 2), 1.5).select("feat_idx", "i", "j", "k")
+    return series.sphere(spaces.VolumeSpace((4, 4, 4), support=_kept(spark, sf_dir)), spark, (2, 2, 2), 2.0).select("feat_idx", "i", "j", "k")
 
 
-@query(f"SELECT feat_idx FROM ({GRID_SQL}) WHERE feat_idx % 3 = 0")
+@query(f"{KEPT_SQL} SELECT f::INT AS feat_idx FROM g")
 def mask_select(spark, sf_dir):
-    return series.masked(GRID, spark, [i % 3 == 0 for i in range(1, 65)]).select("feat_idx")
+    kept = set(_kept(spark, sf_dir))
+    return series.masked(GRID, spark, [i in kept for i in range(1, 65)]).select("feat_idx")
 
 
 @query("SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 128) g(linear)")
 def reconstruct_volume(spark, sf_dir):
+    half = spaces.VolumeSpace((4, 4, 8), support=tuple(range(2, 129, 2)))
+    maps = spatial.map_rows_of(half, source.whole_rows(_vectors(spark, sf_dir).assays["value"].source))
+    return spatial.exploded(maps).select("obs_idx", F.col("place").alias("linear"), "value")
+
+
+@query("SELECT vec_id + 1 AS obs_idx, linear, CASE WHEN linear % 2 = 0 THEN embedding[(linear // 2)::INT]::DOUBLE END AS value FROM embeddings, generate_series(1, 128) g(linear)")
+def reconstruct_volume_whole(spark, sf_dir):
+    """From long cells, by a join with the grid."""
     half = spaces.VolumeSpace((4, 4, 8), support=tuple(range(2, 129, 2)))
     f = _vectors(spark, sf_dir)
     return half.reconstruct(f.assays["value"].source.long().select("obs_idx", "feat_idx", "value"), f.observations.table.select(F.col("idx").alias("obs_idx")))
 
 
-@query(f"SELECT part || '::voxel-' || f AS feature_id, (o + f)::INT AS feat_idx, part FROM (VALUES ('left', 0), ('right', 64)) p(part, o), generate_series(1, 64) g(f)")
+@query("SELECT vec_id + 1 AS obs_idx, list_transform(generate_series(2, 64, 2), lambda f: embedding[f]::DOUBLE) AS vals FROM embeddings")
+def vectorize_grids(spark, sf_dir):
+    half = spaces.VolumeSpace((4, 4, 4), support=tuple(range(2, 65, 2)))
+    rows = spatial.vectorize_rows(half, source.whole_rows(_vectors(spark, sf_dir).assays["value"].source))
+    return rows.select("obs_idx", F.col("values").alias("vals"))
+
+
+@query(f"WITH m AS (SELECT feat_idx AS f, avg(value) > 0 AS up FROM ({CELLS}) GROUP BY 1) SELECT CASE WHEN up THEN 'up' ELSE 'down' END || '::voxel-' || f AS feature_id, row_number() OVER (ORDER BY up DESC, f)::INT AS feat_idx, CASE WHEN up THEN 'up' ELSE 'down' END AS part FROM m")
 def composite_features(spark, sf_dir):
-    return spaces.CompositeSpace((("left", GRID), ("right", GRID))).features(spark).select("feature_id", "feat_idx", "part")
+    kept = _kept(spark, sf_dir)
+    rest = tuple(f for f in range(1, 65) if f not in set(kept))
+    parts = tuple((n, spaces.VolumeSpace((4, 4, 4), support=s)) for n, s in (("up", kept), ("down", rest)) if s)
+    return spaces.CompositeSpace(parts).features(spark).select("feature_id", "feat_idx", "part")
 
 
 # Validity
@@ -387,7 +446,15 @@ def validity_observation_coverage(spark, sf_dir):
 def masked_assay(spark, sf_dir):
     f = _vectors(spark, sf_dir)
     obs = f.observations.table.select(F.col("idx").alias("obs_idx"), F.col("label").cast("string").alias("label"))
-    return _validity(spark, sf_dir).masked(f.assays["value"].source.long(), obs, "label")
+    return _validity(spark, sf_dir).masked_source(f.assays["value"].source, obs, "label").long()
+
+
+@query(f"SELECT vec_id + 1 AS obs_idx, list_transform(generate_series(1, 64), lambda f: CASE WHEN {VALID} THEN embedding[f]::DOUBLE END) AS vals FROM embeddings")
+def masked_arrays(spark, sf_dir):
+    f = _vectors(spark, sf_dir)
+    obs = f.observations.table.select(F.col("idx").alias("obs_idx"), F.col("label").cast("string").alias("label"))
+    masked = _validity(spark, sf_dir).masked_source(_narrow(f), obs, "label")
+    return source.whole_rows(masked).select("obs_idx", F.col("values").alias("vals"))
 
 
 @query(f"SELECT count(DISTINCT m)::BIGINT AS n_masks FROM (SELECT label, string_agg(CASE WHEN {VALID} THEN '1' ELSE '0' END, '' ORDER BY f) AS m FROM (SELECT DISTINCT label FROM embeddings), generate_series(1, 64) g(f) GROUP BY 1)")
@@ -499,12 +566,86 @@ def latent_components(spark, sf_dir):
     return out.select("k", *[F.round(c, DIGITS).alias(c) for c in ("score_variance", "norm", "sparsity")])
 
 
+def _latent_source(spark, sf_dir):
+    """Vectors as scores of 64 components; twelve voxels with loadings and offsets."""
+    w = spark.range(1, 13).select(F.col("id").alias("v"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: ((k * F.col("id")) % 7 - 3) / F.lit(10.0)).alias("w"))
+    offset = spark.range(1, 13).select(F.col("id").cast("int").alias("feat_idx"), (F.col("id") / 4).alias("offset"))
+    return latent.latent_source(_vectors(spark, sf_dir).assays["value"].source, source.from_arrays(w, "v", "w", (12, 64), "loadings"), offset, width=5)
+
+
+@query(f"SELECT (obs_idx - 1)::VARCHAR AS obs_id, 'feature-' || v AS feature_id, round(sum(value * ((feat_idx * v) % 7 - 3) / 10.0) + max(v) / 4.0, 6) AS value FROM ({CELLS}), (VALUES (3), (7), (12)) g(v) WHERE label = 3 GROUP BY 1, 2")
+def latent_source_read(spark, sf_dir):
+    """A view of a low-rank array: three features, and the vectors of one label."""
+    x, f = _latent_source(spark, sf_dir), _vectors(spark, sf_dir)
+    space = spaces.IndexSpace(12, namespace="latent")
+    feat = axes.Axis(space.features(spark).withColumn("idx", F.col("feat_idx").cast("long")), "feature_id")
+    view = Frame({"value": Assay(x)}, f.observations, feat, space).filter_obs(F.col("label") == 3).select_features(F.col("feat_idx").isin(3, 7, 12))
+    return view.cells().select("obs_id", "feature_id", F.round("value", DIGITS).alias("value"))
+
+
+@query(f"SELECT obs_idx, feat_idx, round(value, 5) AS value FROM ({CELLS})")
+def latent_pca(spark, sf_dir):
+    """All components of the vectors, multiplied back."""
+    found = latent.pca(_vectors(spark, sf_dir).assays["value"].source, 64)
+    return found.source().long().select("obs_idx", "feat_idx", F.round("value", 5).alias("value"))
+
+
+# Gathers, sparse rows, supports, stored arrays
+
+
+def _asked_vectors(spark, sf_dir):
+    """(pos, row) of the vector that each event asks for; null where there is none."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"))
+    asked = _table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("pos"), (F.col("user_id") * 4).alias("__v"))
+    return asked.join(e.withColumn("row", F.col("__v") + 1), "__v", "left").select("pos", "row")
+
+
+@query("SELECT event_id, f::INT AS feat_idx, CASE WHEN vec_id IS NOT NULL THEN embedding[f]::DOUBLE END AS value FROM events CROSS JOIN generate_series(1, 64) g(f) LEFT JOIN embeddings ON vec_id = user_id * 4")
+def row_gather(spark, sf_dir):
+    rows = _asked_vectors(spark, sf_dir)
+    out = gather.row_gather(_narrow(_vectors(spark, sf_dir)), rows, rows.count())
+    return out.long().select((F.col("obs_idx") - 1).alias("event_id"), "feat_idx", "value")
+
+
+@query("SELECT event_id, ((f - 1) // 8 + 1)::INT AS parcel, round(sum(embedding[f]::DOUBLE) / 8, 6) AS value FROM events JOIN embeddings ON vec_id = user_id * 4 CROSS JOIN generate_series(1, 64) g(f) WHERE abs(embedding[f]::DOUBLE) > 0.15 GROUP BY ALL")
+def lift_sparse_block(spark, sf_dir):
+    """What is large in each vector, kept sparse, mapped to parcels and lifted to the events."""
+    a = _vectors(spark, sf_dir).assays["value"].source
+    block = gather.sparse_source(a.long().where(F.abs("value") > 0.15), a.shape)
+    rows = _asked_vectors(spark, sf_dir)
+    out = block.map(fm.map_to(PARCELS, spark)).lift(rows, rows.count())
+    return out.long().select((F.col("obs_idx") - 1).alias("event_id"), F.col("feat_idx").alias("parcel"), F.round("value", DIGITS).alias("value"))
+
+
+@query(f"SELECT obs_idx, (feat_idx)::INT AS voxel, value FROM ({CELLS}) WHERE feat_idx BETWEEN 3 AND 62")
+def study_common_support(spark, sf_dir):
+    """Two subjects whose masks and orders of voxels differ, over what both have."""
+    n = _table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 2
+    one, two = (_vectors(spark, sf_dir, w, s).assays["value"].source for w, s in ((f"vec_id < {n}", 0), (f"vec_id >= {n}", n)))
+    a, b = list(range(1, 63)), list(range(64, 2, -1))
+    both, voxels = gather.common_support([(one.view(None, a), a), (two.view(None, b), b)], ["a", "b"], "intersect")
+    return both.long().select("obs_idx", F.element_at(F.array(*map(F.lit, voxels)), F.col("feat_idx")).alias("voxel"), "value")
+
+
+@query(f"SELECT obs_idx, feat_idx, value FROM ({CELLS}) WHERE label = 3")
+def zarr_runs(spark, sf_dir):
+    """Vectors stored as chunks, features first, and those of one label read back by runs."""
+    f = _vectors(spark, sf_dir)
+    uri = f"{shared_dir(spark)}/gridloom-zarr-{uuid.uuid4().hex}"
+    zarr.write_zarr(_narrow(f), uri, 100, "zlib", ("feature", "observation"))
+    asked = [r[0] for r in f.observations.table.where("label = 3").select("idx").collect()]
+    held = zarr.zarr_source(spark, uri, axes=("feature", "observation")).holding(asked)
+    return held.long().select("obs_idx", "feat_idx", "value")
+
+
 # Blocks and chunks
 
 
-@query("SELECT f::INT AS feat_idx, (CASE WHEN f <= 52 THEN (f - 1) // 13 + 1 ELSE 5 END)::INT AS chunk FROM generate_series(1, 64) g(f)")
+@query(f"SELECT (CASE WHEN feat_idx <= 52 THEN (feat_idx - 1) // 13 + 1 ELSE 5 END)::INT AS chunk, min(feat_idx)::INT AS first, max(feat_idx)::INT AS last, count(*)::BIGINT AS cells, round(sum(value), 5) AS total FROM ({CELLS}) GROUP BY 1")
 def voxel_chunks(spark, sf_dir):
-    return GRID.features(spark).select("feat_idx", chunks.chunk_of(F.col("feat_idx"), 64, 5).alias("chunk"))
+    cells = _vectors(spark, sf_dir).assays["value"].source.long()
+    numbered = cells.withColumn("chunk", chunks.chunk_of(F.col("feat_idx"), 64, 5))
+    return numbered.groupBy("chunk").agg(F.min("feat_idx").alias("first"), F.max("feat_idx").alias("last"), F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 5).alias("total"))
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT (row_number() OVER (ORDER BY r, c))::BIGINT AS block_id, (r * 64 + 1)::BIGINT AS obs_start, least(r * 64 + 64, n)::BIGINT AS obs_end, (c * 8 + 1)::BIGINT AS feat_start, (c * 8 + 8)::BIGINT AS feat_end, ((least(r * 64 + 64, n) - r * 64) * 8)::BIGINT AS cells FROM n, generate_series(0, 7) h(c), generate_series(0, 10000) g(r) WHERE r * 64 < n")
@@ -589,7 +730,38 @@ def bids_event_ids(spark, sf_dir):
     return bids.event_ids(e).select(F.col("event_id").alias("label"), "input_pos")
 
 
-# Names under which whole tables were read beside a part of them before the queries above read them whole
+# Other ways to rows that queries above give
+
+
+@query(ORACLES["series_long"])
+def series_long_whole(spark, sf_dir):
+    """From arrays of several chunks."""
+    f = _vectors(spark, sf_dir)
+    z = F.col("idx") - 1
+    times = f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint"))
+    return series.series(_narrow(f).long(), times, GRID.features(spark))
+
+
+@query(ORACLES["temporal_info"])
+def temporal_info_whole(spark, sf_dir):
+    """Of indices asked for, which are all there are."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    asked = ordinals(turns, ["conv_id", "turn"], "index").select("index")
+    return series.temporal_info(series.run_table(turns, "conv_id", 2.0), asked, ["run_id"])
+
+
+@query(ORACLES["bind_observations_halves"])
+def bind_observations_whole(spark, sf_dir):
+    """Views by label bound again: odd labels, even labels, and those without one."""
+    f = _vectors(spark, sf_dir)
+    odd = F.coalesce(F.col("label") % 2, F.lit(2))
+    parts = [f.filter_obs(odd == k) for k in range(3)]
+    return bind_observations([p for p in parts if p.observations.count()]).cells().select("obs_id", "feat_idx", "value")
+
 
-for _name, _as in (("series_long", "series_long"), ("reconstruct_volume", "reconstruct_volume"), ("temporal_info", "temporal_info"), ("bind_observations_halves", "bind_observations"), ("lift_entity_block", "lift_entity_block")):
-    QUERIES[f"{_as}_whole"], ORACLES[f"{_as}_whole"] = QUERIES[_name], ORACLES[_name]
+@query(ORACLES["lift_entity_block"])
+def lift_entity_block_whole(spark, sf_dir):
+    """By a gather of rows."""
+    rows = _asked_vectors(spark, sf_dir)
+    cells = gather.row_gather(_vectors(spark, sf_dir).assays["value"].source, rows, rows.count()).long()
+    return cells.select((F.col("obs_idx") - 1).cast("string").alias("id"), F.concat(F.lit("c"), F.col("feat_idx")).alias("component_id"), "value")

@@ -19,7 +19,7 @@ from ..functions.ordinal import ordinals
 from ..functions.scalar import canonical_digest
 from ..operators.axis import Axis, Block, InvalidAxis
 from ..operators.entities import Entity, KeyRelation, SparseRelation, check_relation, resolve
-from ..operators.feature_map import FeatureMap, apply_map, map_rows
+from ..operators.feature_map import FeatureMap, map_rows
 from ..operators.groups import strict
 from ..operators.source import BROADCAST_POSITIONS, ArraySource, row_sharded
 from ..operators.spaces import Space, assert_compatible
@@ -126,7 +126,7 @@ class Frame:
     def _source(self, name: str) -> ArraySource:
         """An assay's array, the observations of the view alone, numbered as in the array."""
         a = self.assays[name].source
-        return replace(a, pieces=a.pieces.join(self.observations.table.select(F.col("idx").alias("obs_idx")), "obs_idx", "left_semi"))
+        return a.meeting(self.observations.table.select(F.col("idx").alias("obs_idx")))
 
     def cells(self, assay: str | None = None) -> DataFrame:
         """(obs_id, feature_id, obs_idx, feat_idx, value) of the selection.
@@ -138,7 +138,7 @@ class Frame:
         f = self.features.table.select(F.col(self.features.id).alias("feature_id"), F.col("idx").cast("int").alias("feat_idx"))
         o = self.observations.table.select(F.col(self.observations.id).alias("obs_id"), F.col("idx").alias("obs_idx"))
         few = [r["feat_idx"] for r in f.select("feat_idx").limit(a.width + 1).collect()] if a.shape[1] <= a.width else None
-        long = replace(a, pieces=a.pieces.join(o, "obs_idx")).long(few if few is not None and len(few) < a.shape[1] else None, ["obs_id"])
+        long = a.meeting(o).long(few if few is not None and len(few) < a.shape[1] else None, ["obs_id"])
         return long.join(F.broadcast(f) if few is not None else f, "feat_idx").select("obs_id", "feature_id", "obs_idx", "feat_idx", "value")
 
     def collect(self, assay: str | None = None, budget: int = 2 << 30, force: bool = False) -> pd.DataFrame:
@@ -159,14 +159,7 @@ class Frame:
         out = {}
         for name, a in self.assays.items():
             rule = rules if isinstance(rules, str) else rules.get(name, "linear")
-            source = self._source(name)
-            rows = map_rows(source, m, rule, columns)
-            if rows is None:
-                at = spark.createDataFrame(list(enumerate(columns, 1)), "source int, at int")
-                operator = m.operator.join(at, "source").select("target", F.col("at").alias("source"), "w")
-                cells = apply_map(source.long(columns if a.source.shape[1] <= a.source.width else None), operator, rule)
-                every = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda t: F.element_at("by", t))
-                rows = cells.groupBy("obs_idx").agg(F.map_from_entries(F.collect_list(F.struct("feat_idx", "value"))).alias("by")).select("obs_idx", every.alias("values"))
+            rows = map_rows(self._source(name), m, rule, columns)
             print_of = canonical_digest([a.source.fingerprint, m.digest(), rule])
             out[name] = replace(a, source=ArraySource(rows.select("obs_idx", F.lit(0).alias("chunk"), "values"), (a.source.shape[0], m.target.n_features), "float64", width, fingerprint=print_of))
         f = m.target.features(spark).withColumn("idx", F.col("feat_idx").cast("long"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -79,35 +78,44 @@ DEFAULTS = {"cmd_flags": "", "jobs": 1, "base_path": ".", "output_dir": "stat_ou
 REQUIRED = ("scans", "TR", "mask", "run_length", "event_model", "event_table", "block_column", "baseline_model")
 
 
-def _scalar(text: str) -> object:
-    """A plain value: numbers, TRUE and FALSE, lists by commas or brackets, and text without its quotes."""
+def _numbers(text: str) -> list[float] | None:
+    """What commas separate, if each part is a number in digits."""
+    try:
+        return [float(x) for x in text.split(",")] if any(c.isdigit() for c in text) else None
+    except ValueError:
+        return None
+
+
+def _value(text: str) -> object:
+    """Text in a pair of quotes as it is; else a bracketed list, a truth value, one number or several, or text."""
     text = text.strip()
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    if re.fullmatch(r"[0-9.,\-]+", text):
-        try:
-            found = [float(x) for x in text.split(",")]
-            return found if len(found) > 1 else found[0]
-        except ValueError:
-            return text
-    if text.upper() in ("TRUE", "FALSE"):
-        return text.upper() == "TRUE"
-    return re.sub(r"^['\"]|['\"]$", "", text)
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1]
+    if len(text) > 1 and (text[0], text[-1]) == ("[", "]"):
+        return [_value(x) for x in text[1:-1].split(",") if x.strip()]
+    if (found := _numbers(text)) is not None:
+        return found[0] if len(found) == 1 else found
+    return {"true": True, "false": False}.get(text.lower(), text)
 
 
 def plain_config(text: str) -> dict[str, object]:
-    """Flat YAML or DCF: `key: value` or `key = value` on each line, `- item` below a key for lists, comments behind #."""
+    """Flat YAML or DCF: a key and its value on each line, with : or = between; items behind dashes below a key without a value; # begins a comment line."""
     out: dict[str, object] = {}
-    last = None
-    for line in text.splitlines():
-        if re.match(r"\s*(#|$)", line):
+    key = ""
+    for line in map(str.strip, text.splitlines()):
+        if not line or line[0] == "#":
+            continue
+        dash, _, item = line.partition(" ")
+        if dash == "-" and key:
+            if not isinstance(out[key], list):
+                out[key] = []
+            out[key].append(_value(item))
             continue
-        if (item := re.match(r"\s*-\s+(.*)$", line)) and last is not None:
-            held = out.get(last)
-            out[last] = [*(held if isinstance(held, list) else []), _scalar(item[1])]
-        elif found := re.match(r"\s*(\w+)\s*[:=]\s*(.*)$", line):
-            last = found[1]
-            out[last] = _scalar(found[2]) if found[2].strip() else []
+        at = min((line.find(c) for c in ":=" if c in line), default=-1)
+        name = line[:at].rstrip()
+        if at > 0 and name.replace("_", "a").isalnum():
+            key, value = name, line[at + 1 :].strip()
+            out[key] = _value(value) if value else []
     return out
 
 

@@ -11,7 +11,7 @@ from ..functions.scalar import canonical_digest, canonical_json
 from ..operators.axis import Axis, Block
 from ..operators.entities import Entity, KeyRelation, SparseRelation
 from ..operators.source import ArraySource
-from ..operators.spaces import Space
+from ..operators.spaces import Space, from_plain, to_plain
 from ..plans.frame import Assay, Frame
 from ..plans.study import Collection, Events, Link, Study
 
@@ -98,14 +98,19 @@ def write_frame(frame: Frame, path: str) -> dict[str, object]:
         t.write.parquet(f"{path}/tables/{n}")
     m = manifest(frame)
     widths = {n: a.source.width for n, a in frame.assays.items()}
-    spark.createDataFrame([(canonical_json(m), json.dumps(widths))], "manifest string, widths string").coalesce(1).write.parquet(f"{path}/manifest")
+    space = json.dumps(to_plain(frame.space))
+    spark.createDataFrame([(canonical_json(m), json.dumps(widths), space)], "manifest string, widths string, space string").coalesce(1).write.parquet(f"{path}/manifest")
     return m
 
 
-def open_frame(spark: SparkSession, path: str, space: Space) -> Frame:
-    """The frame of a folder; no cell is read."""
+def open_frame(spark: SparkSession, path: str, space: Space | None = None) -> Frame:
+    """The frame of a folder, and the space that is stored with it, unless one is given, which must be the same; no cell is read."""
     row = spark.read.parquet(f"{path}/manifest").first()
     m, widths = check_manifest(json.loads(row["manifest"])), json.loads(row["widths"])
+    if space is None:
+        if "space" not in row:
+            raise ValueError("no space is stored with this frame: give it")
+        space = from_plain(json.loads(row["space"]))
     if space.digest != m["space"]:
         raise ValueError("the space is another")
     read = lambda p: spark.read.parquet(f"{path}/{p}")
@@ -152,14 +157,15 @@ def write_study(study: Study, path: str) -> dict[str, object]:
     return m
 
 
-def open_study(spark: SparkSession, path: str, spaces: Mapping[str, Space]) -> Study:
-    """The study of a folder; ``spaces`` has the space of each frame or collection."""
+def open_study(spark: SparkSession, path: str, spaces: Mapping[str, Space] | None = None) -> Study:
+    """The study of a folder; ``spaces`` may tell the space of each frame or collection, which is stored with it."""
+    spaces = spaces or {}
     m = check_manifest(json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"]))
     read = lambda p: spark.read.parquet(f"{path}/{p}")
     frames: dict[str, Frame | Collection] = {}
     for n, f in m["frames"].items():
         at = f"{path}/frames/{n}"
-        frames[n] = Collection({k: open_frame(spark, f"{at}/{k}", spaces[n]) for k in f["collection"]}) if "collection" in f else open_frame(spark, at, spaces[n])
+        frames[n] = Collection({k: open_frame(spark, f"{at}/{k}", spaces.get(n)) for k in f["collection"]}) if "collection" in f else open_frame(spark, at, spaces.get(n))
     return Study(
         frames,
         {n: Entity(n, read(f"entities/{n}"), k, _read_blocks(spark, m["entity_blocks"][n], f"{path}/entity-blocks/{n}")) for n, k in m["entities"].items()},
