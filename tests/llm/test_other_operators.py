@@ -397,6 +397,42 @@ def test_op9_has_recall_over_nine_tenths_on_even_spheres(spark, tmp_path, n):
     assert np.mean(hits) >= 0.93
 
 
+def test_inverted_files_give_the_footrule_distance():
+    r = np.random.default_rng(3)
+    x, pivots, n = r.normal(size=(50, 8)), r.normal(size=(20, 8)), 6
+    order = permutation_index.orders(x, pivots, n, at_once=7)
+    assert (order == np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :n]).all()
+    files = permutation_index.InvertedFiles(order, 20)
+    place = np.full((50, 20), n)
+    np.put_along_axis(place, order, np.arange(n)[None].repeat(50, 0), axis=1)
+    for q in range(50):
+        footrule = np.abs(place - place[q]).sum(axis=1)
+        largest = n * (n + 1)  # of two prefixes that share no pivot
+        assert (largest - 2 * files.closeness(order[q]) == footrule).all()
+
+
+@pytest.mark.parametrize("block_rows", [4096, 150])
+def test_repeated_rows_and_ids_count_once(spark, block_rows):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 8)).round(3)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    again = rows[:40] * 3  # rows alike, queries among them
+    many = [(20, v.tolist()) for v in r.normal(size=(400, 8)).round(3)] + [(7, (2 * v).tolist()) for v in x[:60]]  # an id with many vectors: a query, and a candidate
+    df = spark.createDataFrame(rows + again + many, "vec_id long, embedding array<double>")
+    got = permutation_index.search(df, df.where("vec_id % 20 = 0"), k=10, rerank=1.0, block_rows=block_rows, query_rows=4).collect()
+    vectors = {}
+    for i, v in rows + again + many:
+        vectors.setdefault(i, set()).add(tuple(v))
+    found = {}
+    for g in got:
+        found.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
+    assert set(found) == set(range(0, 300, 20))
+    for q, f in found.items():
+        asking = np.array(min(vectors[q]))
+        best = sorted((-max(float((np.array(v) * asking).sum()) for v in vs), i) for i, vs in vectors.items() if i != q)[:10]
+        assert [(n, i) for n, i, _ in sorted(f)] == [(n, i) for n, (_, i) in enumerate(best, 1)]
+
+
 def test_search_of_few_and_of_no_vectors(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = permutation_index.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
