@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.ordinal import ordinals
@@ -66,7 +66,11 @@ def sample_subjects(subjects: DataFrame, n: int | Mapping[str, int], seed: int,
     if not strata:
         ranked = subjects.join(ordinals(subjects.select(id, key.alias("__k")), ["__k", id], "__r").select(id, "__r"), id).withColumn("__s", F.lit(None).cast("string"))
     else:
-        ranked = subjects.withColumns({"__r": F.row_number().over(Window.partitionBy(strata).orderBy(key, id)).cast("long"), "__s": F.col(strata)})
+        # numbered by ranges over all strata, then from each stratum's first, so that a large stratum is many tasks
+        placed = ordinals(subjects.select(F.col(strata).alias("__s"), F.col(id).alias("__id"), key.alias("__k")), ["__s", "__k", "__id"], "__g")
+        first = placed.groupBy(F.col("__s").alias("__t")).agg((F.min("__g") - 1).alias("__before"))
+        number = placed.join(first, F.col("__s").eqNullSafe(F.col("__t"))).select("__id", (F.col("__g") - F.col("__before")).alias("__r"))
+        ranked = subjects.withColumn("__s", F.col(strata)).join(number, F.col(id) == F.col("__id")).drop("__id")
     same = F.col("a.__s").eqNullSafe(F.col("b.__s"))
     if not replace:
         return ranked.alias("a").join(F.broadcast(wanted).alias("b"), same & (F.col("__r") <= F.col("__d"))).select("a.*").drop("__r", "__s")

@@ -6,11 +6,16 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import canonical_digest, dtype_bytes
+from ..operators.source import ArraySource
 
 
 class OverBudget(MemoryError):
@@ -87,6 +92,50 @@ def execute(cells: DataFrame, plan: BlockPlan, f: Callable[[pd.DataFrame], pd.Da
     return keyed.groupBy("block_id").applyInPandas(f, schema)
 
 
+@dataclass(frozen=True)
+class Block:
+    """Values of a rectangle, NaN for null: a row for each of ``observations``, a column for each feature from ``first_feature`` on."""
+
+    block_id: int
+    observations: np.ndarray
+    first_feature: int
+    values: np.ndarray
+
+
+def execute_arrays(source: ArraySource, plan: BlockPlan, f: Callable[[Block], pd.DataFrame], schema: str, fingerprint: str | None = None) -> DataFrame:
+    """``f`` on each block of an array as a matrix.
+
+    Arrays are cut at the blocks' bounds inside their rows, and what is shuffled
+    is a slice of a row, not a row for each cell. A task holds a block at a time.
+    """
+    if fingerprint is not None and fingerprint != plan.fingerprint:
+        raise ValueError("the plan was made for another selection")
+    if source.shape != plan.shape:
+        raise ValueError("the plan is of another shape")
+    _, cols = plan.block
+    before, size = F.col("chunk") * source.width, F.size("values")
+    cut = source.pieces.where(size > 0).withColumn("__c", F.explode(F.sequence(F.floor(before / cols), F.floor((before + size - 1) / cols))))
+    start = F.greatest(F.lit(0), F.col("__c") * cols - before).cast("int")
+    end = F.least(size, (F.col("__c") + 1) * cols - before).cast("int")
+    first = (before + start + 1).cast("int")
+    slices = cut.select(plan.block_of(F.col("obs_idx"), first).cast("long").alias("block_id"), "obs_idx", first.alias("first"), F.slice("values", start + 1, end - start).alias("values"))
+    out = to_arrow_schema(slices.sparkSession.createDataFrame([], schema).schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        block, table = table.column("block_id")[0].as_py(), table.combine_chunks()
+        obs, row = np.unique(table.column("obs_idx").to_numpy(), return_inverse=True)
+        firsts, lists = table.column("first").to_numpy(), table.column("values").combine_chunks()
+        low = int(firsts.min())
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        x = np.full((len(obs), int((firsts + n).max()) - low), np.nan)
+        for at in np.unique(firsts):
+            mine = np.flatnonzero(firsts == at)
+            x[row[mine], at - low : at - low + n[mine[0]]] = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
+        return pa.Table.from_pandas(f(Block(block, obs, low, x)), schema=out, preserve_index=False)
+
+    return slices.groupBy("block_id").applyInArrow(run, schema)
+
+
 def block_apply(cells: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, block_size: int = 4096) -> DataFrame:
     """``f`` on all observations of ``block_size`` features at a time."""
     return cells.withColumn("block_id", F.floor((F.col("feat_idx") - 1) / block_size) + 1).groupBy("block_id").applyInPandas(f, schema)

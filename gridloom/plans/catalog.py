@@ -664,6 +664,21 @@ def block_udf(spark, sf_dir):
     return blocks.execute(src.long(), p, run, "block_id long, total double, cells long")
 
 
+@query(ORACLES["block_udf"])
+def block_arrays(spark, sf_dir):
+    """The same blocks as matrices cut from arrays of several chunks."""
+    src = _narrow(_vectors(spark, sf_dir))
+    p = blocks.plan_blocks(src.shape, chunks=(64, 8), target=4096)
+    run = lambda b: pd.DataFrame({"block_id": [b.block_id], "total": [round(float(b.values.sum()), 5)], "cells": [b.values.size]})
+    return blocks.execute_arrays(src, p, run, "block_id long, total double, cells long")
+
+
+@query(f"SELECT ((feat_idx - 1) // 24)::BIGINT AS block, round(max(value), 6) AS largest, count(*)::BIGINT AS cells FROM ({CELLS}) GROUP BY 1")
+def block_of_features(spark, sf_dir):
+    run = lambda pdf: pd.DataFrame({"block": [(int(pdf["feat_idx"].iloc[0]) - 1) // 24], "largest": [round(float(pdf["value"].max()), 6)], "cells": [len(pdf)]})
+    return blocks.block_apply(_vectors(spark, sf_dir).assays["value"].source.long(), run, "block long, largest double, cells long", 24)
+
+
 # Subjects
 
 

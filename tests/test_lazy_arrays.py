@@ -6,6 +6,7 @@ import os
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.cache import ReadCache, readable
 from gridloom.operators import axis as axes
 from gridloom.operators import feature_map as fm
-from gridloom.operators import gather, latent, source, spaces, validity
-from gridloom.plans import spatial
+from gridloom.operators import gather, groups, latent, source, spaces, validity
+from gridloom.plans import blocks, spatial
 from gridloom.plans.frame import Assay, Frame
 from gridloom.sources import archive, dataset, nifti, registry, store, zarr
 from gridloom.streaming import chunks
@@ -324,8 +325,6 @@ def test_native_maps_are_those_reconstructed(spark, images):
     few = f.take(None, ["voxel-8", "voxel-2"])
     assert spatial.execution_path(few, "spatial") == "reconstruct"
     assert {r["place"]: r["value"] for r in spatial.spatial_map(few, "o1").collect()} == {i: {2: x[0, 1], 8: x[0, 7]}.get(i) for i in range(1, 9)}
-    import pandas as pd
-
     total = spatial.execute_spatial(f, lambda pdf: pd.DataFrame({"obs_id": [pdf["obs_id"].iloc[0]], "total": [pdf["value"].sum()], "n": [len(pdf)]}), "obs_id string, total double, n long")
     assert {r["obs_id"]: (r["total"], r["n"]) for r in total.collect()} == {f"o{i + 1}": (x[i, [1, 2, 7]].sum(), 8) for i in range(13)}
 
@@ -414,3 +413,36 @@ def test_cache_keeps_what_was_used_last_within_its_bound(spark):
         with pytest.raises(ValueError, match="positive"):
             c.resize(bad)
     assert readable(0) == "0.0 B" and readable(1536) == "1.5 KB" and readable(3 << 30) == "3.0 GB"
+
+
+@pytest.mark.parametrize("layout", ["balanced", "imagewise", "featurewise"])
+@pytest.mark.parametrize("width", [4096, 4])
+def test_blocks_come_as_matrices(spark, layout, width):
+    x = np.arange(1, 78, dtype=float).reshape(7, 11)
+    data = x.tolist()
+    data[2][3] = None
+    x[2, 3] = np.nan
+    src = source.memory_source(spark, data, width=width)
+    plan = blocks.plan_blocks(src.shape, layout=layout, budget=8 * 22, target=8 * 22, chunks=(3, 3))
+    run = lambda b: pd.DataFrame({"id": [b.block_id], "obs": [b.observations.tolist()], "first": [b.first_feature], "values": [b.values.ravel().tolist()]})
+    got = {r["id"]: r for r in blocks.execute_arrays(src, plan, run, "id long, obs array<long>, first long, values array<double>", plan.fingerprint).collect()}
+    manifest = plan.manifest(spark).collect()
+    assert sorted(got) == sorted(b["block_id"] for b in manifest)
+    for b in manifest:
+        r = got[b["block_id"]]
+        assert r["obs"] == list(range(b["obs_start"], b["obs_end"] + 1)) and r["first"] == b["feat_start"]
+        part = x[b["obs_start"] - 1 : b["obs_end"], b["feat_start"] - 1 : b["feat_end"]]
+        assert same(np.array(r["values"], float).reshape(part.shape), part)
+    for bad in ((src, "another"), (source.memory_source(spark, [[1.0]]), None)):
+        with pytest.raises(ValueError, match="plan"):
+            blocks.execute_arrays(bad[0], plan, run, "id long", bad[1])
+
+
+def test_strata_are_numbered_by_ranges_and_samples_do_not_change(spark):
+    rows = [(f"s{i}", None if i % 10 == 0 else "big" if i % 7 else "small") for i in range(400)]
+    people = spark.createDataFrame(rows, "subject_id string, site string").repartition(7)
+    one, two = (sorted(r["subject_id"] for r in groups.sample_subjects(people, {"big": 50, "small": 5, None: 3}, 4, "site").collect()) for _ in range(2))
+    site = dict(rows)
+    assert one == two and len(set(one)) == 58 and [sum(site[i] == s for i in one) for s in ("big", "small", None)] == [50, 5, 3]
+    other = groups.sample_subjects(people, {"big": 50, "small": 5, None: 3}, 5, "site")
+    assert sorted(r["subject_id"] for r in other.collect()) != one
