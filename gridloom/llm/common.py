@@ -29,7 +29,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
     The sample is the rows with the smallest xxhash64(doc_id), up to the row
     that would exceed ``max_chars``, so it is the same in every run and what a
-    fit brings to the driver is bounded. Only its ids, at most ``max_rows`` of
+    fit brings to the driver is bounded. A text of more than a sixteenth of
+    ``max_chars`` is not learned from, so that no few texts use up the sample. Only its ids, at most ``max_rows`` of
     them, are broadcast; its texts are written to the shared folder once. Labels that contradict each other count as the larger
     one; null ids, null labels and repeated rows of an id are left out.
     """
@@ -44,6 +45,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     sample = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"))
     # one window over max_rows short rows at most
     sizes = sample.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).limit(max_rows)
+    sizes = sizes.where(F.col("n") <= max(1, max_chars // 16))
     kept = sizes.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= max_chars).select("doc_id")
     return sample.join(F.broadcast(kept), "doc_id", "left_semi")
 

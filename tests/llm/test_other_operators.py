@@ -306,6 +306,14 @@ def test_training_rows_are_bounded_in_rows_and_characters(spark):
     assert len({r["doc_id"] for r in training_rows(docs, labels, "quality", 50).collect()}) == 50
 
 
+def test_a_text_too_long_by_itself_does_not_end_the_sample(spark):
+    docs, labels, _ = labelled(spark, n=200)
+    ids = [r["doc_id"] for r in docs.where("doc_id < 200").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect() if not held(r["doc_id"])]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == ids[0], F.repeat(F.lit("w "), 40_000)).otherwise(F.col("text")))
+    some = {r["doc_id"] for r in training_rows(long, labels, "quality", 10_000, 60_000).collect()}
+    assert ids[0] not in some and len(some) > 50
+
+
 def test_filters_keep_columns_of_any_name(spark):
     docs, labels, _ = labelled(spark, n=60)
     odd = docs.withColumns({"__quality": F.lit("a"), "__TOXIC": F.lit("b"), "__tox": F.lit("c")})
