@@ -150,7 +150,8 @@ def periods_by_hand(i, t):
 
 def test_op12_is_that_of_plain_python(spark, tmp_path):
     r = random.Random(3)
-    rows = ODD + [(100 + i, r.choice([" ", "\n", " \t ", "\x0b"]).join(f"w{v}" for v in planted(r, r.randint(0, 260), r.choice([2, 50])))) for i in range(300)]
+    none = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = ODD + [(i, t) for i, t in zip(none, (None, "", " \n", "one", "a a"), strict=False)] + [(100 + i, r.choice([" ", "\n", " \t ", "\x0b"]).join(f"w{v}" for v in planted(r, r.randint(0, 260), r.choice([2, 50])))) for i in range(300)]
     got = entries.op12_periods(spark, written(spark, tmp_path / "t", rows))
     assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert Counter(tuple(x) for x in got.collect()) == Counter(periods_by_hand(i, t) for i, t in rows)
