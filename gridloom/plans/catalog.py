@@ -449,12 +449,12 @@ def masked_assay(spark, sf_dir):
     return _validity(spark, sf_dir).masked_source(f.assays["value"].source, obs, "label").long()
 
 
-@query(f"SELECT vec_id + 1 AS obs_idx, list_transform(generate_series(1, 64), lambda f: CASE WHEN {VALID} THEN embedding[f]::DOUBLE END) AS vals FROM embeddings")
+@query(f"SELECT vec_id + 1 AS obs_idx, list_transform(list_filter(generate_series(1, 64), lambda f: {VALID}), lambda f: embedding[f]::DOUBLE) AS vals FROM embeddings")
 def masked_arrays(spark, sf_dir):
     f = _vectors(spark, sf_dir)
     obs = f.observations.table.select(F.col("idx").alias("obs_idx"), F.col("label").cast("string").alias("label"))
     masked = _validity(spark, sf_dir).masked_source(_narrow(f), obs, "label")
-    return source.whole_rows(masked).select("obs_idx", F.col("values").alias("vals"))
+    return source.whole_rows(masked).select("obs_idx", F.filter("values", lambda v: v.isNotNull()).alias("vals"))
 
 
 @query(f"SELECT count(DISTINCT m)::BIGINT AS n_masks FROM (SELECT label, string_agg(CASE WHEN {VALID} THEN '1' ELSE '0' END, '' ORDER BY f) AS m FROM (SELECT DISTINCT label FROM embeddings), generate_series(1, 64) g(f) GROUP BY 1)")
