@@ -172,11 +172,17 @@ def resolve(observations: DataFrame, id: str, entities: Mapping[str, Entity], re
 
 
 def lift_block(observation_entity: DataFrame, id: str, entity_id: str, block: Block) -> DataFrame:
-    """(id, component_id, value) of an entity's block at the observations; a missing entity gives nulls."""
+    """(id, component_id, value) of an entity's block at the observations; a missing entity gives nulls.
+
+    The block becomes a row an entity first, an array by component, so that
+    each observation meets its entity once, and components come out of the row.
+    """
     names = [r["component_id"] for r in block.components.select("component_id").collect()]
-    every = observation_entity.select(F.col(id).alias("id"), F.col(entity_id).cast("string").alias("__e"), F.explode(F.array(*map(F.lit, names))).alias("component_id"))
-    cells = block.cells.select(F.col("id").alias("__e"), "component_id", "value")
-    return every.join(cells, ["__e", "component_id"], "left").select("id", "component_id", "value")
+    held = block.cells.groupBy(F.col("id").alias("__e")).agg(F.map_from_entries(F.collect_list(F.struct("component_id", "value"))).alias("__m"))
+    wide = held.select("__e", F.transform(F.array(*map(F.lit, names)), lambda c: F.element_at("__m", c)).alias("__v"))
+    met = observation_entity.select(F.col(id).alias("id"), F.col(entity_id).cast("string").alias("__e")).join(wide, "__e", "left")
+    each = F.transform(F.array(*map(F.lit, names)), lambda c, i: F.struct(c.alias("component_id"), F.get("__v", i).alias("value")))
+    return met.select("id", F.explode(each).alias("x")).select("id", "x.component_id", "x.value")
 
 
 def hierarchy(observations: DataFrame, id: str, levels: Sequence[str], entities: Mapping[str, Entity], relations: Sequence[KeyRelation], orders: Mapping[str, DataFrame]) -> DataFrame:

@@ -92,7 +92,7 @@ def column_stats(cells: DataFrame) -> DataFrame:
 
 
 def reconstruct_latent(scores: DataFrame, loadings: DataFrame, offset: DataFrame | None = None, max_components: int = 10_000) -> DataFrame:
-    """(t, v, value) = sum over k of score * loading, plus the voxel's offset, of long tables (t, k, score) and (v, k, loading).
+    """(t, v, value) = sum over k of score * loading, plus the voxel's offset (its run's, if it has a run_id), of long tables (t, k, score) and (v, k, loading).
 
     Each run takes its own loadings if they have a run_id. Scores are gathered
     to a row a time point, loadings to a row a voxel, and multiplied in blocks
@@ -121,7 +121,8 @@ def reconstruct_latent(scores: DataFrame, loadings: DataFrame, offset: DataFrame
     place = (F.col("v") - (ends["a"] - 1)).cast("int").alias("feat_idx")
     right = rows(loadings, [*run, "v"], "loading").select(*run, place, F.col("loadings"))
     if offset is not None:
-        right = right.join(offset.select(place, F.col("offset").cast("double")), "feat_idx", "left")
+        by = [*(c for c in run if c in offset.columns), "feat_idx"]
+        right = right.join(offset.select(*by[:-1], place, F.col("offset").cast("double")), by, "left")
     else:
         right = right.withColumn("offset", F.lit(0.0))
     carry = [*(c for c in keep if c not in run), "t"]

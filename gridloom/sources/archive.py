@@ -7,13 +7,15 @@ events, confounds, censor: by scan_name
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.latent import pca
 from ..operators.series import project, reconstruct_latent
+from ..operators.source import ArraySource
 
 NAMES = ("subject", "session", "task", "run")
 
@@ -87,6 +89,32 @@ def write(cells: DataFrame, scans: DataFrame, events: DataFrame, confounds: Data
         df.write.parquet(f"{path}/{name}")
 
 
+def write_components(sources: Mapping[str, ArraySource], k: int, scans: DataFrame, events: DataFrame, confounds: DataFrame, path: str, censor: DataFrame | None = None) -> None:
+    """An archive of each scan's scores on its own ``k`` leading components, with the loadings and offsets that give it back.
+
+    ``sources`` has the array of each scan by its name. Loadings (run_id, v, k,
+    loading) and offsets (run_id, v, offset) are kept beside the archive.
+    """
+    cells = loadings = offsets = None
+    for name, source in sources.items():
+        found = pca(source, k)
+        own = found.scores.select(F.lit(name).alias("scan_name"), F.col("obs_idx").cast("int").alias("timepoint"), F.posexplode("scores").alias("p", "value"))
+        own = own.select("scan_name", "timepoint", (F.col("p") + 1).alias("feature"), "value")
+        at = found.loadings.select(F.lit(name).alias("run_id"), F.col("feat_idx").alias("v"), "loadings", "offset")
+        of = at.select("run_id", "v", F.posexplode("loadings").alias("p", "loading")).select("run_id", "v", (F.col("p") + 1).alias("k"), "loading")
+        cells, loadings, offsets = (x if had is None else had.unionByName(x) for had, x in ((cells, own), (loadings, of), (offsets, at.drop("loadings"))))
+    if cells is None:
+        raise ValueError("no scan")
+    write(cells, scans, events, confounds, path, censor)
+    loadings.write.parquet(f"{path}/loadings")
+    offsets.write.parquet(f"{path}/offsets")
+
+
+def read_components(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Loadings and offsets of an archive of components, as Archive.reconstruct() takes them."""
+    return spark.read.parquet(f"{path}/loadings"), spark.read.parquet(f"{path}/offsets")
+
+
 def read(spark: SparkSession, path: str) -> Archive:
     names = {c: "string" for c in NAMES}
     assay = spark.read.parquet(f"{path}/assay")

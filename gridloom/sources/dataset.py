@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.source import ArraySource, row_sharded
+from ..operators.source import ArraySource, memory_source, row_sharded
+
+if TYPE_CHECKING:
+    from ..plans.frame import Frame
 
 
 @dataclass(frozen=True)
@@ -49,15 +55,84 @@ class Dataset:
         return self.events.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def mem_dataset(spark: SparkSession, scans: Sequence[np.ndarray], mask: np.ndarray, tr: float, run_lengths: Sequence[int] | None = None, events: DataFrame | None = None, censor: Sequence[int] | None = None) -> Dataset:
+    """A dataset of volumes that the caller holds, (x, y, z, time) each and one a run, over the cells of a mask (x, y, z), the first axis fastest."""
+    mask = np.asarray(mask) != 0
+    if mask.ndim != 3 or not len(scans) or any(np.ndim(s) != 4 or np.shape(s)[:3] != mask.shape for s in scans):
+        raise ValueError("scans have four dimensions, the first three those of the mask")
+    lengths = tuple(int(np.shape(s)[3]) for s in scans)
+    own = lengths if run_lengths is None else tuple(run_lengths)
+    if sum(own) != sum(lengths):
+        raise ValueError("run lengths must sum to the scans' time points")
+    flat = mask.ravel(order="F")
+    rows = np.concatenate([np.asarray(s, float).reshape(-1, np.shape(s)[3], order="F")[flat].T for s in scans])
+    return Dataset(memory_source(spark, rows.tolist()), own, tr, events, (True,) * int(flat.sum()), None if censor is None else tuple(censor))
+
+
+def file_dataset(spark: SparkSession, paths: Sequence[str], tr: float | None = None, mask: Sequence[bool] | None = None, run_lengths: Sequence[int] | None = None, events: DataFrame | None = None, censor: Sequence[int] | None = None) -> Dataset:
+    """A dataset of image files, one a run. Run lengths are the files' own; where they are given, each must agree with its file, or all of them with the sum of all files. Without ``tr`` it is the files' own, which must agree. No image is read."""
+    from .nifti import headers, nifti_source
+
+    found = {r["path"].split(":", 1)[-1].lstrip("/"): r for r in headers(spark, paths).collect()}
+    rows = [found[p.split(":", 1)[-1].lstrip("/")] for p in paths]
+    lengths = tuple(r["n_times"] for r in rows)
+    own = lengths if run_lengths is None else tuple(run_lengths)
+    if sum(own) != sum(lengths) or len(own) == len(lengths) and own != lengths:
+        raise ValueError(f"run lengths {own} are not those of the files, {lengths}")
+    if tr is None:
+        if len({round(r["tr"], 6) for r in rows}) > 1:
+            raise ValueError("the files differ in TR: give it")
+        tr = rows[0]["tr"]
+    cells = None if mask is None else [i for i, m in enumerate(mask, 1) if m]
+    source, _ = nifti_source(spark, paths, cells)
+    return Dataset(source, own, tr, events, (True,) * source.shape[1], None if censor is None else tuple(censor))
+
+
+def described(d: Dataset) -> dict[str, object]:
+    """What a dataset is, without reading a cell."""
+    return {"n_runs": len(d.run_lengths), "run_lengths": list(d.run_lengths), "n_timepoints": d.source.shape[0], "n_features": d.source.shape[1], "TR": d.tr, "duration": d.tr * d.source.shape[0], "censored": sum(d.censor or ()), "event_columns": [] if d.events is None else d.events.columns, "dtype": d.source.dtype}
+
+
+def with_row_data(d: Dataset, row_data: DataFrame, by: Sequence[str] = ("obs_idx",)) -> DataFrame:
+    """The dataset's long cells with metadata of their rows, found by their index or by run and time point; rows without any keep nulls."""
+    return d.cells().join(row_data, list(by), "left")
+
+
+def as_frame(x: object, observation_prefix: str = "obs") -> Frame:
+    """A frame of whatever holds an array: a frame as it is, a dataset with its runs and time points, or an array by itself."""
+    from ..operators.axis import Axis
+    from ..operators.spaces import IndexSpace
+    from ..plans.frame import Assay, Frame
+
+    if isinstance(x, Frame):
+        return x
+    if not isinstance(x, (Dataset, ArraySource)):
+        raise TypeError(f"{type(x).__name__} holds no array that a frame could be made of")
+    source = x.source if isinstance(x, Dataset) else x
+    spark = source.pieces.sparkSession
+    space = IndexSpace(source.shape[1], namespace=source.fingerprint)
+    rows = x.times() if isinstance(x, Dataset) else spark.range(1, source.shape[0] + 1).select(F.col("id").alias("obs_idx"))
+    named = rows.withColumnRenamed("obs_idx", "idx").withColumn("obs_id", F.concat(F.lit(f"{observation_prefix}-"), F.col("idx")))
+    tables = {"events": x.events} if isinstance(x, Dataset) and x.events is not None else {}
+    return Frame({"signal": Assay(source, "signal")}, Axis(named, "obs_id"), Axis(space.features(spark).withColumn("idx", F.col("feat_idx").cast("long")), "feature_id"), space, {}, {}, tables)
+
+
 def study(datasets: Sequence[Dataset], subjects: Sequence[str]) -> tuple[Dataset, DataFrame]:
-    """Subjects one below the other, with (subject_id, start, end); TR must agree. Censors are kept."""
+    """Subjects one below the other, with (subject_id, start, end); TR must agree. Censors are kept.
+
+    Events are told apart by subject. Those without a run_id get 1 where the
+    subject has one run, null and a warning where it has several.
+    """
     if len({d.tr for d in datasets}) != 1 or len(set(subjects)) != len(datasets):
         raise ValueError("subjects need one TR and names of their own")
     src = row_sharded([d.source for d in datasets], list(subjects))
     events = None
     for d, s in zip(datasets, subjects, strict=True):
         if d.events is not None:
-            own = d.events.withColumn("subject_id", F.lit(s))
+            if "run_id" not in d.events.columns and len(d.run_lengths) > 1:
+                warnings.warn(f"events of {s} name no run, of which there are {len(d.run_lengths)}", stacklevel=2)
+            run = F.col("run_id") if "run_id" in d.events.columns else F.lit(1 if len(d.run_lengths) == 1 else None).cast("int")
+            own = d.events.withColumns({"run_id": run, "subject_id": F.lit(s)})
             events = own if events is None else events.unionByName(own, allowMissingColumns=True)
     censor = tuple(c for d in datasets for c in (d.censor or (0,) * d.source.shape[0])) if any(d.censor for d in datasets) else None
     return Dataset(src, tuple(n for d in datasets for n in d.run_lengths), datasets[0].tr, events, None, censor), src.shards.select(F.col("shard_id").alias("subject_id"), "start", "end")

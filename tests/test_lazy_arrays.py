@@ -446,3 +446,51 @@ def test_strata_are_numbered_by_ranges_and_samples_do_not_change(spark):
     assert one == two and len(set(one)) == 58 and [sum(site[i] == s for i in one) for s in ("big", "small", None)] == [50, 5, 3]
     other = groups.sample_subjects(people, {"big": 50, "small": 5, None: 3}, 5, "site")
     assert sorted(r["subject_id"] for r in other.collect()) != one
+
+
+def test_archives_of_components_give_their_scans_back(spark, tmp_path):
+    r = np.random.default_rng(1)
+    x = {n: r.normal(size=(t, 2)) @ r.normal(size=(2, 5)) + 7 for n, t in (("a", 6), ("b", 9))}
+    scans = spark.createDataFrame([(n, n, "s", "t", "1") for n in x], "scan_name string, subject string, session string, task string, run string")
+    none = spark.createDataFrame([], "scan_name string, onset double")
+    archive.write_components({n: source.memory_source(spark, v.tolist()) for n, v in x.items()}, 2, scans, none, none, str(tmp_path / "c"))
+    got = archive.read(spark, str(tmp_path / "c"))
+    assert {r["scan_name"]: (r["n_time"], r["n_features"]) for r in got.scan_index.collect()} == {"a": (6, 2), "b": (9, 2)}
+    back = got.reconstruct(*archive.read_components(spark, str(tmp_path / "c"))).collect()
+    assert len(back) == 15 * 5 and all(abs(c["value"] - x[c["run_id"]][c["t"] - 1, c["v"] - 1]) < 1e-9 for c in back)
+    with pytest.raises(ValueError, match="no scan"):
+        archive.write_components({}, 2, scans, none, none, str(tmp_path / "d"))
+
+
+def test_datasets_of_volumes_and_files(spark, images):
+    paths, x = images
+    d = dataset.file_dataset(spark, paths, mask=[i in (2, 3, 8) for i in range(1, 9)])
+    assert d.run_lengths == (10, 3) and d.tr == 2.0 and same(matrix(d.source.long(), 13, 3), x[:, [1, 2, 7]])
+    assert dataset.file_dataset(spark, paths, 1.5, run_lengths=[6, 4, 3]).run_lengths == (6, 4, 3)
+    for bad in ([3, 10], [5]):
+        with pytest.raises(ValueError, match="lengths"):
+            dataset.file_dataset(spark, paths, run_lengths=bad)
+    volumes = [x[:10].T.reshape(2, 2, 2, 10, order="F"), x[10:].T.reshape(2, 2, 2, 3, order="F")]
+    mask = np.zeros(8)
+    mask[[1, 2, 7]] = 1
+    m = dataset.mem_dataset(spark, volumes, mask.reshape(2, 2, 2, order="F"), 2.0, events=spark.createDataFrame([("face", 1.0)], "trial_type string, onset double"), censor=[1] + [0] * 12)
+    assert same(matrix(m.source.long(), 13, 3), x[:, [1, 2, 7]]) and dataset.described(m)["censored"] == 1
+    assert dataset.described(d) == {"n_runs": 2, "run_lengths": [10, 3], "n_timepoints": 13, "n_features": 3, "TR": 2.0, "duration": 26.0, "censored": 0, "event_columns": [], "dtype": "float32"}
+    with pytest.raises(ValueError, match="dimensions"):
+        dataset.mem_dataset(spark, volumes, np.ones((2, 2)), 2.0)
+    told = spark.createDataFrame([(2, 1, "x")], "run_id int, timepoint int, note string")
+    assert {(r["obs_idx"], r["note"]) for r in dataset.with_row_data(m, told, ["run_id", "timepoint"]).collect()} == {(i, "x" if i == 11 else None) for i in range(1, 14)}
+    f = dataset.as_frame(m).validate()
+    assert dataset.as_frame(f) is f and f.filter_obs(F.col("run_id") == 2).cells().count() == 9 and f.tables["events"].count() == 1
+    assert same(matrix(dataset.as_frame(d.source).cells(), 13, 3), x[:, [1, 2, 7]])
+    with pytest.raises(TypeError):
+        dataset.as_frame([1, 2])
+
+
+def test_events_of_a_study_name_their_run(spark):
+    events = spark.createDataFrame([("face",)], "trial_type string")
+    one = dataset.Dataset(source.memory_source(spark, [[1.0], [2.0]]), (2,), 2.0, events)
+    two = dataset.Dataset(source.memory_source(spark, [[1.0], [2.0]]), (1, 1), 2.0, events)
+    with pytest.warns(UserWarning, match="s2"):
+        whole, _ = dataset.study([one, two], ["s1", "s2"])
+    assert {(r["subject_id"], r["run_id"]) for r in whole.events.collect()} == {("s1", 1), ("s2", None)}
