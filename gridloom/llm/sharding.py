@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TABLE_SIZE = 65537
 
 
@@ -61,9 +63,9 @@ def lookup_table(shards: Sequence[str] | Mapping[str, int], table_size: int = TA
 
 def hot_keys(df: DataFrame, key: Sequence[str], share: float) -> DataFrame:
     """Keys with more than ``share`` of all rows: fewer than 1/share of them, whatever the input."""
-    counts = df.groupBy(*key).count()
-    total = df.count()
-    return counts.where(F.col("count") > share * total).select(*key)
+    n = fresh("n", key)
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    return counts.where(F.col(n) > share * df.count()).select(*key)
 
 
 def assign(
@@ -86,14 +88,14 @@ def assign(
     base = df.drop("slot", "shard")
     placed = F.pmod(F.xxhash64(*key), F.lit(table_size)).cast("long")
     if spread:
-        flag = "__hot"
+        flag, other = fresh("hot", base.columns), {k: fresh(f"k_{k}", base.columns) for k in key}
         hot = hot_keys(base, key, hot_share).withColumn(flag, F.lit(True))
-        renamed = hot.select(*[F.col(k).alias(f"__k_{k}") for k in key], flag)
-        same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key]
+        renamed = hot.select(*[F.col(k).alias(other[k]) for k in key], flag)
+        same = [F.col(k).eqNullSafe(F.col(other[k])) for k in key]
         cond = same[0]
         for c in same[1:]:
             cond = cond & c
-        base = base.join(F.broadcast(renamed), cond, "left").drop(*[f"__k_{k}" for k in key])
+        base = base.join(F.broadcast(renamed), cond, "left").drop(*other.values())
         none = F.lit(False)
         for k in key:
             none = none | F.col(k).isNull()

@@ -61,6 +61,14 @@ def test_assign_keeps_rows_and_spreads_hot_and_null_keys(spark):
     assert sharding.assign(df.limit(0), ["key"], shards, 1009).count() == 0
 
 
+def test_assign_leaves_columns_named_as_its_helpers(spark):
+    rows = [("hot" if i % 2 else f"k{i}", i, i + 1, i + 2, i + 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "count string, i long, __hot long, __k_count long, __n long")
+    got = sharding.assign(df, ["count"], [f"s{i}" for i in range(16)], 1009, spread=["i"], hot_share=0.1)
+    assert sorted(got.select(*df.columns).collect(), key=lambda r: r["i"]) == [tuple(r) for r in rows]
+    assert got.where(F.col("count") == "hot").select("shard").distinct().count() > 8
+
+
 def test_op1_places_every_document_by_brute_force(spark, tmp_path):
     import xxhash
 
