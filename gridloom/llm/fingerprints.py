@@ -71,8 +71,11 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fing
     and compared by bytes. A bitmap of their hashed ids, broadcast, keeps the
     others out of that shuffle: eight bits for each, in maps of 32,768 and at
     most ``max_bits`` (16 MB); those that it lets pass cost time and change
-    nothing. Copies meet as one row a task, as the grouping adds up before it
-    shuffles.
+    nothing. Copies meet as one text a task, as the grouping adds up before it
+    shuffles. Rows then find their group by the fingerprint, without their
+    text; groups of over a thousandth of all copies, of which there are fewer
+    than 1,000, are broadcast to them. Where different texts have one
+    fingerprint, the rows of it find their group by their bytes.
     """
     per = 32768  # bits of one bitmap of bitmap_construct_agg
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -98,11 +101,20 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fing
         )
 
     rest = flagged(known).where(~F.col("__maybe")).select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-    canon = flagged(docs).where("__maybe").select("doc_id", canonical(F.col("text")).alias("__canon"))
-    maybe = canon.withColumn("fingerprint", wide_hash(F.col("__canon")))
-    firsts = maybe.groupBy("fingerprint", "__canon").agg(F.min("doc_id").alias("group_id"))
-    same = maybe.join(firsts, ["fingerprint", "__canon"]).select("doc_id", "fingerprint", "group_id")
-    return rest.unionByName(same)
+    checked = flagged(docs).where("__maybe").select("doc_id", canonical(F.col("text")).alias("__canon")).withColumn("fingerprint", wide_hash(F.col("__canon")))
+    texts = checked.groupBy("fingerprint", "__canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    groups = cut(texts.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts")))
+    common = (F.col("n") > 1) & (F.col("n") * 1000 > copies)  # fewer than 1,000 groups
+    hot = groups.where(common & (F.col("n_texts") == 1)).select("fingerprint", F.col("group_id").alias("__group"), F.lit(True).alias("__hot"))
+    maybe = flagged(known).where("__maybe").select("doc_id", "fingerprint").join(F.broadcast(hot), "fingerprint", "left")
+    told = maybe.where("__hot").select("doc_id", "fingerprint", F.col("__group").alias("group_id"))
+    others = groups.where(~common & (F.col("n_texts") == 1)).select("fingerprint", "group_id")
+    out = rest.unionByName(told).unionByName(maybe.where("__hot is null").join(others, "fingerprint").select("doc_id", "fingerprint", "group_id"))
+    collided = groups.where("n_texts > 1").select("fingerprint")
+    if collided.limit(1).count():
+        apart = checked.join(collided, "fingerprint", "left_semi").join(texts.drop("n"), ["fingerprint", "__canon"])
+        out = out.unionByName(apart.select("doc_id", "fingerprint", "group_id"))
+    return out
 
 
 def with_next(df: DataFrame, doc_id: str, columns: Mapping[str, str], buckets: int | None = None) -> DataFrame:

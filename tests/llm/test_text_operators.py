@@ -133,6 +133,31 @@ def test_groups_of_equal_canonical_bytes(spark, bits):
     assert sorted((r["doc_id"], r["group_id"]) for r in got) == sorted((i, first[canonical(t)]) for i, t in rows)
 
 
+def test_groups_hold_where_different_texts_share_a_fingerprint(spark, monkeypatch):
+    """Texts of equal length are made to collide: bytes tell them apart, whether their group is large, small or of one."""
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda canon: F.lpad(F.length(canon).cast("string"), 32, "0"))
+    texts = ["aa"] * 40 + ["bb"] * 3 + ["ccc"] * 2 + ["dddd", "eeeee"] + ["ffffff"] * 30 + [None, "", "  "]
+    rows = list(enumerate(texts, 1)) + [(None, "aa"), (None, "ffffff"), (7, "aa"), (7, "gggg")]
+    got = fingerprints.exact_groups(frame(spark, rows)).collect()
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[canonical(t)] = min(i, first.get(canonical(t), i))
+    key = lambda r: (r[0] or 0, r[1], r[2])
+    want = sorted(((i, str(len(canonical(t))).zfill(32), first[canonical(t)]) for i, t in rows), key=key)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["group_id"]) for r in got), key=key) == want
+    assert fingerprints.exact_groups(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_common_groups_find_their_first_by_broadcast_and_others_by_their_fingerprint(spark):
+    rows = [(i, "copied" if i % 2 else f"pair {i // 4}") for i in range(8000)]
+    got = fingerprints.exact_groups(frame(spark, rows))
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    assert sorted((r["doc_id"], r["group_id"]) for r in got.collect()) == [(i, first[t]) for i, t in rows]
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 50])
 def test_next_text_wraps_around(spark, buckets):
     rows = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)] + [(None, "no next"), (None, "none")]
