@@ -15,7 +15,7 @@ from ..functions.storage import shared_dir
 from ..operators import axis as axes
 from ..operators import entities as ent
 from ..operators import feature_map as fm
-from ..operators import gather, groups, latent, series, source, spaces, validity
+from ..operators import gather, groups, latent, selection, series, source, spaces, validity
 from ..sources import archive, bids, store, zarr
 from ..streaming import chunks
 from . import blocks, spatial, study
@@ -541,6 +541,28 @@ def series_long(spark, sf_dir):
     return series.series(f.assays["value"].source.long(), times, GRID.features(spark))
 
 
+def _by_runs(f: Frame) -> DataFrame:
+    z = F.col("idx") - 1
+    return f.observations.table.select(F.col("idx").alias("obs_idx"), (F.floor(z / 100) + 1).cast("int").alias("run_id"), (z % 100 + 1).cast("int").alias("timepoint"))
+
+
+BALL_SQL = "SELECT feat_idx, row_number() OVER (ORDER BY feat_idx) AS pos FROM (SELECT g::INT AS feat_idx, (g - 1) % 4 + 1 AS i, (g - 1) // 4 % 4 + 1 AS j, (g - 1) // 16 + 1 AS k FROM generate_series(1, 64) h(g)) WHERE (i - 2) * (i - 2) + (j - 2) * (j - 2) + (k - 2) * (k - 2) <= 2.25"
+
+
+@query(f"SELECT c.obs_idx AS time_pos, c.obs_idx, ((c.obs_idx - 1) // 100 + 1)::INT AS run_id, ((c.obs_idx - 1) % 100 + 1)::INT AS timepoint, b.pos, c.feat_idx, c.value AS signal FROM ({CELLS}) c JOIN ({BALL_SQL}) b USING (feat_idx)")
+def series_ball(spark, sf_dir):
+    """Every time point of the cells of a ball, cut out of the pieces of each row."""
+    f = _vectors(spark, sf_dir)
+    return selection.sliced(_narrow(f), GRID, selection.Ball((2, 2, 2), 1.5), labels=_by_runs(f)).long()
+
+
+@query(f"SELECT c.obs_idx AS time_pos, c.obs_idx, b.pos, c.feat_idx, c.value AS signal FROM ({CELLS}) c JOIN (VALUES (64, 1::BIGINT), (1, 2), (64, 3), (7, 4)) b(feat_idx, pos) USING (feat_idx)")
+def series_coordinates(spark, sf_dir):
+    """Cells by coordinates, in the order asked for, one of them twice."""
+    f = _vectors(spark, sf_dir)
+    return selection.sliced(_narrow(f), GRID, selection.At(((4, 4, 4), (1, 1, 1), (4, 4, 4), (3, 2, 1)))).long()
+
+
 @query(f"SELECT feat_idx, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance, max(value) AS maximum FROM ({CELLS}) GROUP BY 1")
 def column_stats(spark, sf_dir):
     s = series.column_stats(_vectors(spark, sf_dir).assays["value"].source.long())
