@@ -81,12 +81,16 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fing
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = with_fingerprint(docs).drop("text") if fingerprints is None else fingerprints.select("doc_id", "fingerprint")
     known = known if fingerprints is not None else cut(known)
-    shared = known.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(known.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     copies = int(shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    common = (F.col("n") > 1) & (F.col("n") * 1000 > copies)  # fewer than 1,000 fingerprints
     bits = min(max_bits, max(per, 1 << (8 * copies).bit_length()))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    often = shared.where(common).select("fingerprint", F.lit(True).alias("__often"))
+    met = known.join(F.broadcast(often), "fingerprint", "left")
+    seldom = met.where("__often is null").join(shared.where(~common), "fingerprint", "left_semi")
     maps = (
-        known.join(shared.select("fingerprint"), "fingerprint", "left_semi")
+        met.where("__often").unionByName(seldom)
         .select(bit.alias("__bit"))
         .groupBy(F.floor(F.col("__bit") / per).alias("__map"))
         .agg(F.expr(f"bitmap_construct_agg(__bit % {per})").alias("__bits"))
@@ -104,7 +108,6 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fing
     checked = flagged(docs).where("__maybe").select("doc_id", canonical(F.col("text")).alias("__canon")).withColumn("fingerprint", wide_hash(F.col("__canon")))
     texts = checked.groupBy("fingerprint", "__canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
     groups = cut(texts.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts")))
-    common = (F.col("n") > 1) & (F.col("n") * 1000 > copies)  # fewer than 1,000 groups
     hot = groups.where(common & (F.col("n_texts") == 1)).select("fingerprint", F.col("group_id").alias("__group"), F.lit(True).alias("__hot"))
     maybe = flagged(known).where("__maybe").select("doc_id", "fingerprint").join(F.broadcast(hot), "fingerprint", "left")
     told = maybe.where("__hot").select("doc_id", "fingerprint", F.col("__group").alias("group_id"))
