@@ -93,7 +93,7 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs).select("doc_id", "source", "block", "place", "slot", "release", "due", "in_mix")
+    return mixing.mix(docs, period=262_144).select("doc_id", "source", "block", "place", "slot", "release", "due", "in_mix")
 
 
 def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:

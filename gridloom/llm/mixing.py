@@ -12,9 +12,17 @@ block, and handed to Spark in parts of ``chunk`` blocks as one row for each
 source in it. What passes there is bounded: a block has ``block_rows`` rows, or
 as many as make at most ``max_blocks`` blocks of all rows, so that the driver's
 work is the same for any larger input; the guarantee is in blocks and does not
-change. Rows get their slots by a join on (source, block). A ``period`` rounds
-the weights to whole units of it first, for a mix that is to repeat; what it
-holds to is then those units.
+change. Rows get their slots by a join on (source, block).
+
+A ``period`` makes the mix repeat. Weights are then whole units of that many
+slots, by largest remainders, one unit at least; what the mix holds to is those
+units, which are the weights themselves where these are whole in them.
+At the end of a period every source has had exactly its units, so block
+c * units + j of a source has the slot of its block j, c periods later. The
+driver works out one period, as long for any number of rows; the slots and
+windows of all blocks follow from it in Spark, and blocks keep ``block_rows``
+rows at any size. This is the way for large tables: unlike the exact schedule,
+it costs the driver nothing as they grow.
 
 Ranks within a source are not taken by one window over the source, which may
 hold a third of all rows: rows are dealt by a hash of all their columns to
@@ -26,7 +34,9 @@ or repeats are dealt by their other columns, and rows alike in all columns are
 interchangeable; an empty table gives an empty result; input columns with a
 result's name are replaced by mix() and returned as they were by interleaved().
 No row is dropped: once the first source has run out, the blocks left keep
-their windows but not the weights, so ``in_mix`` is true before that.
+their windows but not the weights, so ``in_mix`` is true before that. In a mix
+that repeats they keep their slots as well, and those of a source that has run
+out stay empty.
 """
 
 from __future__ import annotations
@@ -42,9 +52,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import fresh, shared_dir
 
-_SOURCE, _SALT, _TIE = "__source", "__salt", "__tie"
+_SOURCE = "__source"
 ADDED = ("block", "slot", "release", "due", "place", "in_mix")
 
 
@@ -139,6 +149,27 @@ def _schedule(spark: SparkSession, units: Mapping[str, int], blocks: Mapping[str
     return F.broadcast(out) if n <= chunk else out
 
 
+def _repeated(blocks: DataFrame, source: str, units: Mapping[str, int], counts: Mapping[str, int], block_rows: int) -> DataFrame:
+    """Blocks with their slots, windows and ``in_mix``, all from the slots of one period, which are broadcast: a row for each of its units."""
+    at: dict[str, list[int]] = {s: [] for s in units}
+    for t, (s, _) in enumerate(edf_period(units)):
+        at[s].append(t)
+    cycle = sum(units.values())
+    missing = {s: divmod(-(-n // block_rows), units[s]) for s, n in counts.items()}  # each source's first block that isn't there
+    end = min((c * cycle + at[s][j] for s, (c, j) in missing.items()), default=0)
+    unit, j, first = (fresh(x, blocks.columns) for x in ("units", "in_period", "first"))
+    period = blocks.sparkSession.createDataFrame([(s, units[s], x) for s, x in at.items()], f"{source} string, {unit} long, at array<long>")
+    of_block = blocks.join(F.broadcast(period.select(source, unit)), source).withColumn(j, F.expr(f"int(block % {unit})"))
+    return (
+        of_block.join(F.broadcast(period.select(source, F.posexplode("at").alias(j, first))), [source, j])
+        .withColumn("slot", F.expr(f"block div {unit} * {cycle} + {first}"))
+        .withColumn("release", F.expr(f"block * {cycle} div {unit}"))
+        .withColumn("due", F.expr(f"((block + 1) * {cycle} + {unit} - 1) div {unit}"))
+        .withColumn("in_mix", F.col("slot") < end)
+        .drop(unit, j, first)
+    )
+
+
 def _hash_of_all(df: DataFrame) -> Column:
     """A hash of all columns that can be hashed."""
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().count("map<") and not isinstance(f.dataType, T.VariantType)]
@@ -164,7 +195,8 @@ def mix(
     Without ``weights``, a source's weight is its row count to the power
     ``temperature``; sources that ``weights`` doesn't name get its least weight.
     More than ``max_sources`` sources is an error, as their weights are held on
-    the driver. ``deal_by`` is a whole number by which rows go to salts; without
+    the driver. A ``period`` makes the mix repeat; ``max_blocks`` and ``chunk``
+    are for exact schedules. ``deal_by`` is a whole number by which rows go to salts; without
     it, it is a hash of all columns.
     """
     spark = df.sparkSession
@@ -176,27 +208,25 @@ def mix(
     else:
         named = {("" if s is None else f"={s}"): v for s, v in weights.items()}
         w = {s: named.get(s, min(named.values())) for s in counts}
-    units = exact_units(w) if period is None or not w else weight_units(w, period)
     total = sum(counts.values())
-    block_rows = max(block_rows, -(-total // max(1, max_blocks - len(counts))))
-    slots = _schedule(spark, units, {s: -(-n // block_rows) for s, n in counts.items()}, chunk)
+    if period is None:
+        block_rows = max(block_rows, -(-total // max(1, max_blocks - len(counts))))
 
+    src, salt, tie, rank, before = (fresh(x, df.columns) for x in ("source", "salt", "tie", "rank", "before"))
     salts = max(64, -(-total // salt_rows))
     deal = _hash_of_all(df) if deal_by is None else deal_by
-    rows = df.withColumns({_SOURCE: _key(source), _TIE: deal}).withColumn(_SALT, F.pmod(_TIE, F.lit(salts))).drop(*ADDED)
-    before = (
-        rows.groupBy(_SOURCE, _SALT)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "__before",
-            F.coalesce(F.sum("__n").over(Window.partitionBy(_SOURCE).orderBy(_SALT).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .drop("__n")
-    )
-    rank = F.row_number().over(Window.partitionBy(_SOURCE, _SALT).orderBy(F.xxhash64(row_id, F.lit(1)), row_id, _TIE)) - 1
-    ranked = rows.withColumn("__rank", rank.cast("long")).join(before, [_SOURCE, _SALT]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    blocks = ranked.withColumns({"block": F.floor(F.col("__rank") / block_rows).cast("long"), "place": (F.col("__rank") % block_rows).cast("int")})
-    return blocks.join(slots, [_SOURCE, "block"]).drop(_SOURCE, _SALT, _TIE, "__rank", "__before")
+    rows = df.withColumns({src: _key(source), tie: deal}).withColumn(salt, F.pmod(tie, F.lit(salts))).drop(*ADDED)
+    running = Window.partitionBy(src).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rows.groupBy(src, salt).agg(F.count(F.lit(1)).alias("n")).select(src, salt, F.coalesce(F.sum("n").over(running), F.lit(0)).alias(before))
+    number = F.row_number().over(Window.partitionBy(src, salt).orderBy(F.xxhash64(row_id, F.lit(1)), row_id, tie)) - 1
+    ranked = rows.withColumn(rank, number.cast("long")).join(shifts, [src, salt]).withColumn(rank, F.col(rank) + F.col(before))
+    blocks = ranked.withColumns({"block": F.floor(F.col(rank) / block_rows).cast("long"), "place": (F.col(rank) % block_rows).cast("int")})
+    if period is None or not w:
+        slots = _schedule(spark, exact_units(w), {s: -(-n // block_rows) for s, n in counts.items()}, chunk)
+        placed = blocks.join(slots.withColumnRenamed(_SOURCE, src), [src, "block"])
+    else:
+        placed = _repeated(blocks, src, weight_units(w, period), counts, block_rows)
+    return placed.drop(src, salt, tie, rank, before)
 
 
 def interleaved(df: DataFrame, source: str = "source", row_id: str = "doc_id", **options) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -143,8 +144,6 @@ def test_interleaved_returns_clashing_columns_as_they_were(spark):
 
 def test_schedule_is_that_of_brute_force_and_blocks_are_bounded(spark):
     """op10's whole schedule: at every slot the released block with the earliest deadline, by exact fractions."""
-    from fractions import Fraction
-
     rows = [(i, None if i % 13 == 0 else "\u0000" if i % 17 == 0 else "hot" if i % 3 == 0 else f"s{i % 6}") for i in range(700)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=3).collect()
     counts = Counter(s for _, s in rows)
@@ -197,6 +196,72 @@ def test_a_hot_source_beside_more_than_1024_others_gets_its_weight(spark, chunk)
     assert had > 20
 
 
+def brute_slots(counts, block_rows, period=262_144):
+    """{(source, block): (slot, release, due)}: at every slot, of the blocks released, the one due first, by exact fractions; sources that have run out keep their slots, empty."""
+    key = lambda s: "" if s is None else f"={s}"
+    units = mixing.weight_units({key(s): n**0.5 for s, n in counts.items()}, period)
+    share = {s: Fraction(units[key(s)], sum(units.values())) for s in counts}
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    done, out, t = dict.fromkeys(counts, 0), {}, 0
+    while any(done[s] < n for s, n in blocks.items()):
+        free = [(-(-(done[s] + 1) // w), key(s), s, done[s] / w // 1) for s, w in share.items() if done[s] / w // 1 <= t]
+        due, _, s, release = min(free)
+        if done[s] < blocks[s]:
+            out[s, done[s]] = (t, release, due)
+        done[s] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("period", [262_144, 97, 3])
+def test_schedule_is_that_of_brute_force_over_many_periods(spark, period):
+    """The whole schedule, by periods of many and of few slots; three slots are too few for five sources, which get one each."""
+    rows = [(i, None if i % 13 == 0 else "\u0000" if i % 17 == 0 else "hot" if i % 3 == 0 else f"s{i % 6}") for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=3, period=period).collect()
+    assert {(r["source"], r["block"]): (r["slot"], r["release"], r["due"]) for r in got} == brute_slots(Counter(s for _, s in rows), 3, period)
+
+
+def test_query_of_the_mix_against_brute_force(spark, tmp_path):
+    """op10 itself: the table's schedule, whole blocks, places from 0, and the end of the mix at the first empty slot."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"s{i % 5}", "t") for i in range(3000)] + [(None, "hot", "t"), (7, None, "t"), (7, None, "t")]
+    from gridloom.llm import entries
+
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entries.op10_mixing(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((i, s) for i, s, _ in rows)
+    counts = Counter(s for _, s, _ in rows)
+    want = brute_slots(counts, 16)
+    assert {(r["source"], r["block"]): (r["slot"], r["release"], r["due"]) for r in got} == want
+    taken, end = {x[0] for x in want.values()}, 0
+    while end in taken:
+        end += 1
+    assert all(r["in_mix"] == (r["slot"] < end) for r in got)
+    places = {}
+    for r in got:
+        places.setdefault((r["source"], r["block"]), []).append(r["place"])
+    assert all(sorted(x) == list(range(min(16, counts[s] - 16 * b))) for (s, b), x in places.items())
+
+
+def test_blocks_have_the_callers_size_and_every_period_is_alike(spark):
+    """Blocks of two rows in 40,000 rows, over periods of 10 slots, in which these weights are whole: the schedule is worked out for 10 slots alone."""
+    df = spark.range(40_000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'a' when id % 10 < 7 then 'b' else 'c' end as source")
+    got = mixing.mix(df, {"a": 0.5, "b": 0.3, "c": 0.2}, block_rows=2, period=10).select("source", "block", "slot", "in_mix").distinct().collect()
+    assert len(got) == 20_000
+    at = {(r["source"], r["block"]): r["slot"] for r in got}
+    per = {"a": 5, "b": 3, "c": 2}
+    assert all(at[s, b] == at[s, b % per[s]] + b // per[s] * 10 for s, b in at)
+    assert len(set(at.values())) == 20_000
+
+
+def test_helper_columns_of_the_mix_never_clash(spark):
+    names = ["doc_id", "source", "__source", "__salt", "__tie", "__rank", "__before", "__units", "__in_period", "__first", "n", "at"]
+    df = spark.createDataFrame([(i, f"s{i % 3}", *[f"{n}{i}" for n in names[2:]]) for i in range(50)], names)
+    for period in (None, 100):
+        got = mixing.mix(df, block_rows=2, period=period)
+        assert sorted(got.columns) == sorted([*names, *mixing.ADDED])
+        assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, df.collect()))
+
+
 # classifiers
 
 
@@ -463,8 +528,6 @@ def test_search_of_few_and_of_no_vectors(spark):
 
 def brute_schedule(counts, block_rows=16):
     """The sources of all rows in the order of the mix, by exact fractions: of the blocks released, the one due first."""
-    from fractions import Fraction
-
     weights = {s: Fraction(n**0.5) for s, n in counts.items()}
     total, done, left, t, out = sum(weights.values()), dict.fromkeys(counts, 0), dict(counts), 0, []
     while any(left.values()):
