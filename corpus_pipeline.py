@@ -16,6 +16,8 @@ from gridloom.llm import entries, mixing, ngram_join, quality, toxicity
 from gridloom.llm.common import shared_dir, table
 
 MIX = ("slot", "place", "in_mix")
+#: Slots after which the mix repeats: the driver works out these alone, however many rows there are.
+PERIOD = 262_144
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -57,12 +59,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_mix_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: by the slot of their block, so that any stretch of the files keeps the target weights.
 
-    No row goes. A null source is a source of its own; rows with null or
+    No row goes; a source that has run out leaves its slots empty. A null source is a source of its own; rows with null or
     repeated ids get places by their other columns, and rows alike in all
     columns are interchangeable; columns named as the mix's own stay as they
     were; an empty table stays empty.
     """
-    return mixing.interleaved(docs)
+    return mixing.interleaved(docs, period=PERIOD)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null ids get a row each; columns of the input other than the id are left
     behind; an empty table gives an empty result.
     """
-    return entries._encoded(mixing.mix(docs), MIX)
+    return entries._encoded(mixing.mix(docs, period=PERIOD), MIX)
 
 
 STAGES = [
