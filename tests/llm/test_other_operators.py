@@ -527,28 +527,9 @@ def test_search_of_few_and_of_no_vectors(spark):
 
 
 def brute_schedule(counts, block_rows=16):
-    """The sources of all rows in the order of the mix, by exact fractions: of the blocks released, the one due first."""
-    weights = {s: Fraction(n**0.5) for s, n in counts.items()}
-    total, done, left, t, out = sum(weights.values()), dict.fromkeys(counts, 0), dict(counts), 0, []
-    while any(left.values()):
-        free = []
-        for s in done:
-            i, w = done[s], weights[s] / total
-            if i / w // 1 <= t:
-                free.append((-(-(i + 1) // w), "" if s is None else f"={s}", s))
-        if not free:
-            t += 1
-            continue
-        _, _, s = min(free)
-        if not left[s]:
-            del done[s]
-            continue
-        n = min(block_rows, left[s])
-        out += [s] * n
-        left[s] -= n
-        done[s] += 1
-        t += 1
-    return out
+    """The sources of all rows in the order of the mix, which repeats."""
+    order = sorted((slot, b, s) for (s, b), (slot, _, _) in brute_slots(counts, block_rows).items())
+    return [s for _, b, s in order for _ in range(min(block_rows, counts[s] - block_rows * b))]
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -660,5 +641,5 @@ def test_result_keeps_the_target_weights_up_to_the_end_of_the_mix(spark, tmp_pat
             assert all(abs(had[s] / 16 - n**0.5 / total * (k + 1) / 16) < 1 + 1e-9 for s, n in counts.items())
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.tokens(spark, docs, str(tmp_path))
-    slots = {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in mixing.mix(docs).collect()}
+    slots = {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in mixing.mix(docs, period=corpus_pipeline.PERIOD).collect()}
     assert {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in got.collect()} == slots
