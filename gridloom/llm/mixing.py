@@ -44,6 +44,7 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
+from array import array
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
@@ -82,9 +83,9 @@ def edf_slots(units: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[t
         t += 1
 
 
-def edf_period(units: Mapping[str, int]) -> list[tuple[str, int]]:
+def edf_period(units: Mapping[str, int]) -> Iterator[tuple[str, int]]:
     """(source, place from 0 among its blocks) of every slot of one period."""
-    return [(s, i) for s, i, *_ in edf_slots(units, units)]
+    return ((s, i) for s, i, *_ in edf_slots(units, units))
 
 
 def exact_units(weights: Mapping[str, float]) -> dict[str, int]:
@@ -150,23 +151,22 @@ def _schedule(spark: SparkSession, units: Mapping[str, int], blocks: Mapping[str
 
 
 def _repeated(blocks: DataFrame, source: str, units: Mapping[str, int], counts: Mapping[str, int], block_rows: int) -> DataFrame:
-    """Blocks with their slots, windows and ``in_mix``, all from the slots of one period, which are broadcast: a row for each of its units."""
-    at: dict[str, list[int]] = {s: [] for s in units}
+    """Blocks with their slots, windows and ``in_mix``, all from the slots of one period, which are broadcast: a row for each source, with the slots of its units as an array."""
+    at: dict[str, array] = {s: array("q") for s in units}
     for t, (s, _) in enumerate(edf_period(units)):
         at[s].append(t)
     cycle = sum(units.values())
     missing = {s: divmod(-(-n // block_rows), units[s]) for s, n in counts.items()}  # each source's first block that isn't there
     end = min((c * cycle + at[s][j] for s, (c, j) in missing.items()), default=0)
-    unit, j, first = (fresh(x, blocks.columns) for x in ("units", "in_period", "first"))
-    period = blocks.sparkSession.createDataFrame([(s, units[s], x) for s, x in at.items()], f"{source} string, {unit} long, at array<long>")
-    of_block = blocks.join(F.broadcast(period.select(source, unit)), source).withColumn(j, F.expr(f"int(block % {unit})"))
+    unit, slots = (fresh(x, blocks.columns) for x in ("units", "slots"))
+    period = blocks.sparkSession.createDataFrame([(s, units[s], x.tolist()) for s, x in at.items()], f"{source} string, {unit} long, {slots} array<long>")
     return (
-        of_block.join(F.broadcast(period.select(source, F.posexplode("at").alias(j, first))), [source, j])
-        .withColumn("slot", F.expr(f"block div {unit} * {cycle} + {first}"))
+        blocks.join(F.broadcast(period), source)
+        .withColumn("slot", F.expr(f"block div {unit} * {cycle} + {slots}[int(block % {unit})]"))
         .withColumn("release", F.expr(f"block * {cycle} div {unit}"))
         .withColumn("due", F.expr(f"((block + 1) * {cycle} + {unit} - 1) div {unit}"))
         .withColumn("in_mix", F.col("slot") < end)
-        .drop(unit, j, first)
+        .drop(unit, slots)
     )
 
 

@@ -253,6 +253,24 @@ def test_blocks_have_the_callers_size_and_every_period_is_alike(spark):
     assert len(set(at.values())) == 20_000
 
 
+def test_the_mix_broadcasts_a_row_for_each_source(spark):
+    """Not one for each slot of the period, which the driver would gather and hash."""
+    df = spark.range(5000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "concat('t', id) as text")
+    out = mixing.mix(df, period=4096)
+    plan = out._jdf.queryExecution().executedPlan()
+    assert out._jdf.queryExecution().toRdd().count() == 5000
+    left, sent = [plan], []
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "BroadcastExchangeExec":
+            sent.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        left += inner + [node.children().apply(i) for i in range(node.children().size())]
+    assert sent and max(sent) <= 3 * 64  # salts of a source at most
+    assert {(r["source"], r["block"]): (r["slot"], r["release"], r["due"]) for r in out.collect()} == brute_slots({"s0": 1667, "s1": 1667, "s2": 1666}, 16, 4096)
+
+
 def test_helper_columns_of_the_mix_never_clash(spark):
     names = ["doc_id", "source", "__source", "__salt", "__tie", "__rank", "__before", "__units", "__in_period", "__first", "n", "at"]
     df = spark.createDataFrame([(i, f"s{i % 3}", *[f"{n}{i}" for n in names[2:]]) for i in range(50)], names)
