@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordinal import ordinals
 from .axis import InvalidAxis, key_problems
@@ -84,16 +87,68 @@ def iterate(subjects: DataFrame, order_by: str | None = None, prefetch: bool = F
     return (subjects.orderBy(F.asc_nulls_last(order_by)) if order_by else subjects).toLocalIterator(prefetchPartitions=prefetch)
 
 
+def _unused(name: str, taken: Iterable[str]) -> str:
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def _restored(piece: pd.DataFrame, nulls: np.ndarray, of: Sequence[tuple[str, bool]]) -> pd.DataFrame:
+    """The nulls of whole numbers and booleans, which Spark filled: as pandas has them, by columns that hold any."""
+    for k in np.flatnonzero(nulls.any(axis=0)):
+        name, truth = of[k]
+        piece[name] = piece[name].astype(object if truth else "float64").mask(nulls[:, k], None if truth else np.nan)
+    return piece
+
+
+def _stretches(batches: Iterable[pd.DataFrame], names: Sequence[str], first: str, flags: Sequence[str], of: Sequence[tuple[str, bool]]) -> Iterator[pd.DataFrame]:
+    """The rows of each subject, which follow each other, from the row that ``first`` marks; a subject may span batches."""
+
+    def whole(parts: list[tuple[pd.DataFrame, np.ndarray]]) -> pd.DataFrame:
+        frames, nulls = zip(*parts, strict=True)
+        piece = frames[0].reset_index(drop=True) if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        return _restored(piece, np.concatenate(nulls), of) if any(n.any() for n in nulls) else piece
+
+    parts: list[tuple[pd.DataFrame, np.ndarray]] = []
+    for batch in batches:
+        marks, nulls, rows = batch[first].to_numpy(), batch[list(flags)].to_numpy(bool), batch[list(names)]
+        cut = lambda a, b: (rows.iloc[a:b], nulls[a:b])  # noqa: B023, E731
+        cuts = [*np.flatnonzero(marks), len(batch)]
+        if cuts[0]:
+            parts.append(cut(0, cuts[0]))
+        for a, b in pairwise(cuts):
+            if parts:
+                yield whole(parts)
+            parts = [cut(a, b)]
+    if parts:
+        yield whole(parts)
+
+
+def _together(frames: Iterable[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Frames of the same columns and types that follow each other, in frames of about ``rows`` rows."""
+    held, n, kind = [], 0, None
+    for x in frames:
+        now = (list(x.columns), list(x.dtypes))
+        if held and (n >= rows or now != kind):
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+        held.append(x)
+        n, kind = n + len(x), now
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def group_map(rows: DataFrame, id: str, f: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, on_error: str = "stop") -> DataFrame:
-    """``f`` on the rows of each subject; None gives no rows. on_error: stop, or skip the subject."""
+    """``f`` on the rows of each subject; None gives no rows. on_error: stop, or skip the subject.
+
+    Subjects pass to Python and back in batches of many, as most have few rows;
+    a subject's rows are together in memory, as ``f`` asks for them.
+    """
     if on_error not in ("stop", "skip", "warn"):
         raise ValueError("on_error is stop, warn or skip")
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    parsed = _parse_datatype_string(schema)
-    names = parsed.names if isinstance(parsed, StructType) else []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame | None:
         try:
             out = f(pdf)
         except Exception:
@@ -103,10 +158,24 @@ def group_map(rows: DataFrame, id: str, f: Callable[[pd.DataFrame], pd.DataFrame
                 import warnings
 
                 warnings.warn(f"skipped {pdf[id].iloc[0]!r}", stacklevel=1)
-            out = None
-        return pd.DataFrame(columns=names) if out is None else out
-
-    return rows.groupBy(id).applyInPandas(run, schema)
+            return None
+        if out is not None and not isinstance(out, pd.DataFrame):
+            raise TypeError(f"a pandas.DataFrame or None is expected, not {type(out).__name__}")
+        return out
+
+    # one batch holds subjects with nulls and without: whole numbers and booleans pass filled, with their nulls beside them
+    names, first = rows.columns, _unused("__first", rows.columns)
+    of = [(x.name, isinstance(x.dataType, T.BooleanType)) for x in rows.schema.fields if x.nullable and isinstance(x.dataType, (T.IntegralType, T.BooleanType))]
+    flags = [_unused(f"__null_{k}", names) for k in range(len(of))]
+    start = F.row_number().over(Window.partitionBy(id).orderBy(id)) == 1
+    filled = {c: F.coalesce(F.col(c), F.lit(False) if truth else F.lit(0).cast(rows.schema[c].dataType)).alias(c) for c, truth in of}
+    marked = rows.withColumn(first, start).select(*[filled.get(c, F.col(c)) for c in names], first, *[F.col(c).isNull().alias(x) for (c, _), x in zip(of, flags, strict=True)])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        outs = map(run, _stretches(batches, names, first, flags, of))
+        return _together(x for x in outs if x is not None and len(x))
+
+    return marked.mapInPandas(each, schema)
 
 
 def group_reduce(mapped: DataFrame, value: str, merge: Callable[[Column, Column], Column], init: Column, order_by: str, run_rows: int = 1024) -> DataFrame:

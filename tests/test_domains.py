@@ -335,6 +335,35 @@ def test_a_changed_image_is_refused(spark, tmp_path):
         src.long().count()
 
 
+def test_subjects_reach_python_in_batches_as_they_would_alone(spark):
+    """Against Spark's own grouping, with subjects over several batches, null ids, and nulls of whole numbers and booleans in some subjects only."""
+    big = 2**53 + 1
+    rows = [(None if i % 11 == 0 else float("nan") if i % 11 == 1 else i % 11 - 3.0, big + i if i % 7 or i % 11 < 5 else None, i % 2 == 0 if i % 5 else None, f"t{i}" if i % 3 else None, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "sub double, a long, bc boolean, __first string, __null_0 int").withColumn("at", F.timestamp_seconds("__null_0"))
+
+    def f(pdf):
+        if pdf["sub"].iloc[0] == 2:
+            return None
+        pdf = pdf.sort_values("__null_0")
+        cells = [[str(t), *("null" if pd.isna(x) else repr(x) for x in pdf[c])] for c, t in pdf.dtypes.items()]
+        return pd.DataFrame({"said": [str(cells)], "n": [len(pdf)]})
+
+    def alone(pdf):
+        out = f(pdf)
+        return pd.DataFrame(columns=["said", "n"]) if out is None else out
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = groups.group_map(df, "sub", f, "said string, n long")
+        want = df.groupBy("sub").applyInPandas(alone, "said string, n long")
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 10
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        assert groups.group_map(df.where("at is null"), "sub", f, "said string, n long").count() == 0
+        assert groups.group_map(df.limit(1), "sub", lambda p: pd.DataFrame([[1, "x"]]), "n long, s string").first()["s"] == "x"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_edges_need_finite_weights(spark):
     rows = [("a", "b", 1.0), ("a", "c", float("inf")), ("b", "c", None), ("c", "d", float("nan")), (None, "d", 1.0)]
     assert ent.SparseRelation(spark.createDataFrame(rows, "from_id string, to_id string, weight double"), "x", "y").problems() == 4
