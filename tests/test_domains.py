@@ -364,6 +364,33 @@ def test_subjects_reach_python_in_batches_as_they_would_alone(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_task_on_edges_groups_no_more_for_more_edges(spark):
+    """Peak memory of the tasks that look for pairs that repeat, in a session of one shuffle partition."""
+
+    def largest(n):
+        rows = spark.range(n).selectExpr("id div 3 as from_id", "id % 3 as to_id", "1.0D as weight").union(spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "from_id long, to_id long, weight double"))
+        known = {x.stageId() for x in stages()}
+        assert ent.SparseRelation(rows, "x", "y").problems() == 2
+        return max(peak(x) for x in stages() if x.stageId() not in known)
+
+    store = spark._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    def peak(stage):
+        tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+        metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+        return max([0, *(m.get().peakExecutionMemory() for m in metrics if m.isDefined())])
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert largest(2_000_000) < 150_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_edges_need_finite_weights(spark):
     rows = [("a", "b", 1.0), ("a", "c", float("inf")), ("b", "c", None), ("c", "d", float("nan")), (None, "d", 1.0)]
     assert ent.SparseRelation(spark.createDataFrame(rows, "from_id string, to_id string, weight double"), "x", "y").problems() == 4
