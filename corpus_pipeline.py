@@ -11,9 +11,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import entries, mixing, ngram_join, quality, toxicity
-from gridloom.llm.common import shared_dir, table
+from gridloom.llm.common import cut, shared_dir, table
 
 MIX = ("slot", "place", "in_mix")
 #: Slots after which the mix repeats: the driver works out these alone, however many rows there are.
@@ -75,7 +76,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null ids get a row each; columns of the input other than the id are left
     behind; an empty table gives an empty result.
     """
-    return entries._encoded(mixing.mix(docs, period=PERIOD), MIX)
+    rows = docs.select("doc_id", "text", "source", mixing.hash_of_all(docs).alias("__deal"))
+    found = cut(entries._encoded(rows, ("source", "__deal")))  # texts are read once and move nowhere; digests get their places
+    return mixing.mix(found, period=PERIOD, deal_by=F.col("__deal")).select(*entries.DIGESTS, *MIX)
 
 
 STAGES = [

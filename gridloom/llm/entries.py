@@ -12,6 +12,7 @@ from . import bpe, fingerprints, infill, language, mixing, ngram_join, periods,
 from .common import cut, held_out, table
 
 SHARDS = {f"shard-{i:03d}": 1 for i in range(256)}
+DIGESTS = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
 
 

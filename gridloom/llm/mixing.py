@@ -170,8 +170,8 @@ def _repeated(blocks: DataFrame, source: str, units: Mapping[str, int], counts:
     )
 
 
-def _hash_of_all(df: DataFrame) -> Column:
-    """A hash of all columns that can be hashed."""
+def hash_of_all(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, by which mix() deals rows to salts."""
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not f.dataType.simpleString().count("map<") and not isinstance(f.dataType, T.VariantType)]
     return F.xxhash64(*plain)
 
@@ -214,7 +214,7 @@ def mix(
 
     src, salt, tie, rank, before = (fresh(x, df.columns) for x in ("source", "salt", "tie", "rank", "before"))
     salts = max(64, -(-total // salt_rows))
-    deal = _hash_of_all(df) if deal_by is None else deal_by
+    deal = hash_of_all(df) if deal_by is None else deal_by
     rows = df.withColumns({src: _key(source), tie: deal}).withColumn(salt, F.pmod(tie, F.lit(salts))).drop(*ADDED)
     running = Window.partitionBy(src).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     shifts = rows.groupBy(src, salt).agg(F.count(F.lit(1)).alias("n")).select(src, salt, F.coalesce(F.sum("n").over(running), F.lit(0)).alias(before))
@@ -232,6 +232,6 @@ def mix(
 def interleaved(df: DataFrame, source: str = "source", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df``, same columns, in the order of the mix: by slot, then place. Slots are those that mix() gives the same rows."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    packed = df.select(F.col(source).alias("__from"), F.col(row_id).alias("__id"), _hash_of_all(df).alias("__deal"), row.alias("__row"))
+    packed = df.select(F.col(source).alias("__from"), F.col(row_id).alias("__id"), hash_of_all(df).alias("__deal"), row.alias("__row"))
     mixed = mix(packed, source="__from", row_id="__id", deal_by=F.col("__deal"), **options)
     return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select("__row.*")

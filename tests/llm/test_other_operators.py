@@ -661,3 +661,20 @@ def test_result_keeps_the_target_weights_up_to_the_end_of_the_mix(spark, tmp_pat
     got = corpus_pipeline.tokens(spark, docs, str(tmp_path))
     slots = {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in mixing.mix(docs, period=corpus_pipeline.PERIOD).collect()}
     assert {x["doc_id"]: (x["slot"], x["place"], x["in_mix"]) for x in got.collect()} == slots
+
+
+def test_places_of_tokens_are_found_without_texts(spark, tmp_path):
+    """Texts are not in the plan that gives digests their places, and rows that repeat an id keep their own."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    rows = [(None if i % 50 == 0 else i % 120, None if i % 37 == 0 else plain_text(r, 9000 if i % 100 == 1 else 5), "en", None if i % 9 == 0 else f"s{i % 3}", i % 2) for i in range(300)]
+    rows += rows[:20]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string, __deal string"
+    spark.createDataFrame([(*x, "a", "b") for x in rows], schema).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place", "in_mix"]
+    assert "text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = mixing.mix(docs, period=corpus_pipeline.PERIOD).select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "slot", "place", "in_mix")
+    assert Counter(map(tuple, got.select("doc_id", "decoded_sha256", "slot", "place", "in_mix").collect())) == Counter(map(tuple, want.collect()))
