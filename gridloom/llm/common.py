@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir, written as cut
 
-__all__ = ["cut", "file_system", "fresh", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "table", "tidied", "training_rows"]
+__all__ = ["cut", "file_system", "fresh", "held_out", "parts_of", "shared_dir", "shuffle_partitions", "shuffles_removed", "table", "tidied", "training_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, what an execution was shuffled through goes as soon as it ends, rather than when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder or file, whether local, HDFS or an object store."""
     from pyarrow import fs

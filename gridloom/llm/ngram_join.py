@@ -22,13 +22,20 @@ gathered by blocks of bounded size and verified in two steps:
   as many as the set has tokens, that tells whether an odd number of its tokens
   hash there. Every bit in which two bitmaps differ stands for a token that one
   set alone has, so two sets of sizes x and y have at most (x + y - bits) / 2
-  tokens in common. Who can reach the threshold with none of the block goes.
+  tokens in common. The longer of two bitmaps is folded to the other's length.
+  Who can reach the threshold with none of the block goes.
 * With whole sets: all are compared with the centre; those that reach the
   threshold are in one component already, and whatever does not is compared
   with all others of that block. No pairs are emitted: what leaves a block are
-  the links that span it. At first each set goes to one centre alone, the one
-  with most members. Then all blocks are done whose sets are not in one
-  component yet and were not all there the first time.
+  the links that span it. At first each set goes to one block of one centre
+  alone, the centre with most members. Then all blocks are done whose sets are
+  not in one component yet and were not all there the first time. Both times,
+  bitmaps are compared again first, so that whole sets move only of those that
+  could be similar to one that is there, and the second time to one of another
+  component.
+
+The join never shuffles texts: sets are made where texts are read, of the
+documents asked for. What a written table was shuffled through is removed behind it.
 
 Equal sets count as one set from the start, under their smallest document.
 All comparisons are exact counts of common tokens. A token is a 64-bit hash of
@@ -58,7 +65,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_of, tidied
+from .common import cut, parts_of, shuffles_removed, tidied
 from .components import connected
 
 _U = np.uint64
@@ -248,16 +255,21 @@ class _Postings:
         return np.bincount(self.owner[at], minlength=len(self.sets))
 
 
-def could_link(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets could be similar to another, by their sizes and bitmaps."""
+def could_link(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Which of the sets could be similar to another, of another label if there are labels, by their sizes and bitmaps."""
     order = np.argsort(sizes, kind="stable")
-    n, rows, fit = sizes[order], folded(bitmaps)[order], np.zeros(len(sizes), bool)
+    n, maps, fit = sizes[order], [bitmaps[k] for k in order], np.zeros(len(sizes), bool)
+    label = np.arange(len(sizes)) if labels is None else labels[order]
     to = np.searchsorted(n * percent, n * 100, side="right")  # the first set too large for each
-    for i in range(len(n)):
-        apart = np.bitwise_count(rows[i + 1 : to[i]] ^ rows[i]).sum(axis=1, dtype=np.int64)
-        near = (100 + percent) * apart <= (100 - percent) * (n[i + 1 : to[i]] + n[i])
-        fit[i] |= near.any()
-        fit[i + 1 : to[i]] |= near
+    words = np.array([len(b) for b in maps])
+    for w in np.unique(words):  # larger sets have no shorter bitmaps
+        a, z = np.searchsorted(words, w), np.searchsorted(words, w, side="right")
+        rows = folded(maps[a : to[z - 1]])
+        for i in range(a, z):
+            apart = np.bitwise_count(rows[i + 1 - a : to[i] - a] ^ rows[i - a]).sum(axis=1, dtype=np.int64)
+            near = ((100 + percent) * apart <= (100 - percent) * (n[i + 1 : to[i]] + n[i])) & (label[i + 1 : to[i]] != label[i])
+            fit[i] |= near.any()
+            fit[i + 1 : to[i]] |= near
     out = np.zeros(len(sizes), bool)
     out[order] = fit
     return out
@@ -282,22 +294,23 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list[np.ndarray]] | None]:
-    """Key (c, i, j), ids, sizes and the 64-bit words in each ``value`` of each run of rows with one key; None where a batch ends."""
-    key, ids, sizes, found = None, [], [], []
+def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list[int], list[np.ndarray]] | None]:
+    """Key (c, i, j), ids, sizes, labels and the 64-bit words in each ``value`` of each run of rows with one key; None where a batch ends."""
+    key, ids, sizes, labels, found = None, [], [], [], []
     for b in batches:
         keys = zip(*(b.column(k).to_pylist() for k in "cij"), strict=True)
-        for k, x, n, words in zip(keys, b.column("x").to_pylist(), b.column("n").to_pylist(), b.column(value), strict=True):
+        for k, x, n, label, words in zip(keys, *(b.column(name).to_pylist() for name in ("x", "n", "label")), b.column(value), strict=True):
             if k != key:
                 if len(ids) > 1:
-                    yield key, ids, sizes, found
-                key, ids, sizes, found = k, [], [], []
+                    yield key, ids, sizes, labels, found
+                key, ids, sizes, labels, found = k, [], [], [], []
             ids.append(x)
             sizes.append(n)
+            labels.append(label)
             found.append(np.frombuffer(words.as_buffer(), "<u8").copy())
         yield None
     if len(ids) > 1:
-        yield key, ids, sizes, found
+        yield key, ids, sizes, labels, found
 
 
 def _if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -305,8 +318,23 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _of_nodes(docs: DataFrame, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the distinct ``nodes``, found where they are read.
+
+    Beyond ``broadcast_rows`` nodes, others may be among them: as many words of
+    64 bits are broadcast, in which each node sets the bit its hash falls on.
+    """
+    if nodes.count() <= broadcast_rows:
+        return docs.join(F.broadcast(nodes), "doc_id", "left_semi")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * max(1, broadcast_rows)))
+    at = {"word": F.shiftright(place, 6), "bit": F.expr("shiftleft(1L, cast(place & 63 as int))")}
+    words = nodes.withColumn("place", place).withColumns(at).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    known = docs.withColumn("place", place).withColumns(at).join(F.broadcast(words), "word")
+    return known.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*docs.columns)
+
+
 def _dealt(rows: DataFrame, value: str) -> DataFrame:
-    return rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("x") != F.col("c"), "x").select("c", "i", "j", "x", "n", value)
+    return rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("x") != F.col("c"), "x").select("c", "i", "j", "x", "n", "label", value)
 
 
 def star_rows(posts: DataFrame, percent: int) -> DataFrame:
@@ -377,25 +405,31 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
     members = stars.join(blocks, "c").select("c", "x", F.explode(tile).alias("t"))
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     centres = blocks.select("c", F.col("c").alias("x"), F.explode(every).alias("t"))
-    wanted = cut(members.unionByName(centres).select("c", "x", F.col("t.i").alias("i"), F.col("t.j").alias("j")))
+    wanted = cut(members.unionByName(centres).select("c", "x", F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("x").alias("label")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         for group in _groups(batches, "bits"):
             if group:
-                (c, i, j), ids, sizes, bitmaps = group
-                out += [(c, i, j, ids[k]) for k in np.flatnonzero(could_link(bitmaps, np.array(sizes), percent))]
+                (c, i, j), ids, sizes, labels, bitmaps = group
+                out += [(c, i, j, ids[k], labels[k]) for k in np.flatnonzero(could_link(bitmaps, np.array(sizes), percent, np.array(labels)))]
             else:
                 yield rows_of(out)
                 out = []
         yield rows_of(out)
 
-    def rows_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        c, i, j, x = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x, pa.int64())], names=["c", "i", "j", "x"])
+    def rows_of(out: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, kinds, strict=True)], names=["c", "i", "j", "x", "label"])
 
     bitmaps = classes_of.select(F.col("rep").alias("x"), "n", "bits")
-    left = cut(_dealt(bitmaps.join(_if_small(wanted, broadcast_rows), "x"), "bits").mapInArrow(tidied(kept), "c long, i int, j int, x long"))
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        """Of ``rows`` (c, i, j, x, label), those that could be similar to one of another label of their block."""
+        return cut(_dealt(bitmaps.join(_if_small(rows, broadcast_rows), "x"), "bits").mapInArrow(tidied(kept), "c long, i int, j int, x long, label long"))
+
+    left = fitting(wanted).select("c", "i", "j", "x")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -407,7 +441,7 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
         out: list[tuple[int, int]] = []
         for group in _groups(batches, "tokens"):
             if group:
-                out += links_of(group[1], group[3], percent)
+                out += links_of(group[1], group[4], percent)
             else:
                 yield pairs_of(out)
                 out = []
@@ -419,27 +453,26 @@ def similar_links(classes_of: DataFrame, docs: DataFrame, width: int, percent: i
 
     def verified(rows: DataFrame) -> DataFrame:
         nodes = rows.select(F.col("x").alias("doc_id")).distinct()
-        tokens = docs.join(_if_small(nodes, broadcast_rows), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens binary").where("n > 0")
+        tokens = _of_nodes(docs, nodes, broadcast_rows).select("doc_id", "text").mapInArrow(sets, "x long, n long, tokens binary").where("n > 0")
         return cut(_dealt(tokens.join(_if_small(rows, broadcast_rows), "x"), "tokens").mapInArrow(tidied(links), "a long, b long"))
 
     tile = ["c", "i", "j"]
     members = left.where("x <> c").select("c", "x").distinct()
     best = members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c").groupBy("x").agg(F.max(F.struct("m", -F.col("c"))).alias("b")).select("x", (-F.col("b.col2")).alias("c"))
-    chosen = left.join(best, ["c", "x"], "left_semi")
+    chosen = left.join(best, ["c", "x"], "left_semi").where("i = j")
     here = chosen.select(*tile).distinct()
     once = cut(chosen.unionByName(left.where("x = c").join(here, tile, "left_semi").select(*chosen.columns)))
-    first = verified(once)
+    first = verified(fitting(once.withColumn("label", F.col("x"))))
     label = connected(first).select(F.col("node").alias("x"), "component")
     seen = once.withColumn("seen", F.lit(True))
+    labelled = left.join(label, "x", "left").select(*tile, "x", F.coalesce("component", "x").alias("label"))
     open_tiles = (
-        left.join(label, "x", "left")
-        .join(seen, [*tile, "x"], "left")
-        .withColumn("label", F.coalesce("component", "x"))
+        labelled.join(seen, [*tile, "x"], "left")
         .groupBy(*tile)
         .agg((F.min("label") != F.max("label")).alias("apart"), F.bool_and(F.coalesce("seen", F.lit(False))).alias("done"))
         .where("apart and not done")
     )
-    return first.unionByName(verified(cut(left.join(open_tiles.select(*tile), tile, "left_semi").select("c", "i", "j", "x"))))
+    return first.unionByName(verified(fitting(cut(labelled.join(open_tiles.select(*tile), tile, "left_semi")))))
 
 
 def join(
@@ -448,6 +481,16 @@ def join(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    with shuffles_removed(docs.sparkSession):
+        sizes, component = _components(rows, width, percent, share, least, classes, pairs_up_to, block_tokens, broadcast_rows)
+    out = sizes.join(component, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _components(
+    rows: DataFrame, width: int, percent: int, share: float, least: int, classes: int, pairs_up_to: int, block_tokens: int, broadcast_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles) of every row, and (node, component) of the documents that are not alone; both written."""
     frequent, counts = frequent_tokens(rows, width, share, least)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,9 +515,7 @@ def join(
     )
     links = similar_links(classes_of, rows, width, percent, block_tokens, broadcast_rows)
     again = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    component = connected(links.unionByName(again))
-    out = signed_rows.select("doc_id", F.col("n").alias("n_shingles")).join(component, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return signed_rows.select("doc_id", F.col("n").alias("n_shingles")), connected(links.unionByName(again))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import unicodedata
 import zlib
@@ -252,6 +253,42 @@ def test_bitmaps_never_exclude_similar_sets():
     assert not ngram_join.could_link([ngram_join.bitmap(s) for s in far], np.full(50, 200), 80).any()
 
 
+def test_bitmaps_are_compared_by_pairs_and_across_labels():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (9, 10, 12, *range(300, 340))]
+    maps, sizes = [ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    assert not ngram_join.could_link(maps, sizes, 80)[3:].any()  # a small set in the block does not blur large ones
+    sets += [np.r_[sets[20], sets[3][:2]], sets[0]]
+    maps, sizes = [ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    assert set(np.flatnonzero(ngram_join.could_link(maps, sizes, 80))) >= {0, 20, len(sets) - 2, len(sets) - 1}
+    labels = np.arange(len(sets))
+    labels[[-2, 20]] = 77
+    fit = ngram_join.could_link(maps, sizes, 80, labels)
+    assert not fit[[20, -2]].any() and fit[[0, -1]].all()
+
+
+def test_the_join_moves_no_texts_and_leaves_no_shuffle_files(spark):
+    r = random.Random(1)
+    texts = [" ".join(f"{r.randrange(1 << 40):x}" for _ in range(2000)) for _ in range(200)]
+    texts += [t + " one more" for t in texts[:20]]
+    docs = frame(spark, list(enumerate(texts)))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    shuffles = lambda: {str(b) for b in manager.diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in b}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+    moved = lambda: sum(x.shuffleWriteBytes() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())))
+    left, before = shuffles(), moved()
+    found = ngram_join.join(docs, broadcast_rows=4)
+    for _ in range(40):
+        if not shuffles() - left:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - left
+    assert moved() - before < sum(map(len, texts)) / 2
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i if i < 200 else i - 200 for i in range(220)}
+    assert found.collect() and ngram_join._of_nodes(docs, docs.where("doc_id < 20").select("doc_id"), 4).where("doc_id < 20").count() == 20
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_stars_of_a_signature_that_spans_many_tasks(spark, partitions):
     r = random.Random(partitions)
